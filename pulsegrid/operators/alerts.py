@@ -34,7 +34,7 @@ def silence_spans(silences: DataFrame) -> DataFrame:
 
     A later silence of the same fingerprint replaces the one before it.
     """
-    end = F.timestamp_micros((micros(F.col("start_ts")) + F.col("minutes") * 60_000_000).cast("bigint"))
+    end = F.timestamp_micros((micros(F.col("start_ts")) + F.col("minutes").cast("double") * 60e6).cast("bigint"))
     following = F.lead("start_ts").over(Window.partitionBy("fingerprint").orderBy("start_ts"))
     return silences.select("fingerprint", "start_ts",
                            F.least(end, F.coalesce(following, end)).alias("until_ts"))

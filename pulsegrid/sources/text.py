@@ -20,10 +20,9 @@ def number(text: Column) -> Column:
 
 def map_last_wins(entries: Column) -> Column:
     """Array of (key, value) structs to a map; of equal keys the last one counts."""
-    n = F.size(entries)
-    kept = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(kept)
+    empty = F.create_map().cast("map<string,string>")
+    return F.aggregate(entries, empty, lambda m, e: F.map_concat(
+        F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
 
 
 def pair(key: Column, value: Column) -> Column:

@@ -597,7 +597,7 @@ def alert_history(spark, d):
 
 @query
 def alert_escalated(spark, d):
-    runs_ = al.episodes(tb.fires(spark, d).filter("value < 150"), dedup_seconds=86_400.0)
+    runs_ = al.episodes(tb.fires(spark, d).filter("value < 150"), dedup_seconds=2400.0)
     return al.escalate(runs_, tb.ticks(spark, d)).select("id", "severity")
 
 
