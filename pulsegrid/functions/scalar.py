@@ -85,8 +85,13 @@ def severity_emoji(level: Column) -> Column:
     return _named(SEVERITY_EMOJI, level, "❓")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Number as text with a fixed number of decimals, rounding the stored binary value."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+
+
 def alert_message(name: Column, value: Column, score: Column) -> Column:
-    return F.format_string("Anomaly detected on %s: value=%.2f, score=%.2f", name, value, score)
+    return F.format_string("Anomaly detected on %s: value=%s, score=%s", name, fixed(value, 2), fixed(score, 2))
 
 
 def minutes_between(start: Column, end: Column) -> Column:

@@ -35,15 +35,19 @@ class ZScore(RowDetector):
         return score > self.threshold
 
 
-class SlidingZScore(ZScore):
+class SlidingZScore(Detector):
     """z-score against the row itself and the ``window`` rows before it.
 
     Series no longer than the window are scored against the fitted rows.
     """
 
+    name = "zscore"
+
     def __init__(self, window: int, threshold: float = 3.0, layout: Layout = DEFAULT):
-        super().__init__(threshold)
-        self.window, self.layout = window, layout
+        self.window, self.layout, self.overall = window, layout, ZScore(threshold)
+
+    def fit(self, rows: DataFrame) -> DataFrame:
+        return self.overall.fit(rows)
 
     def detect(self, rows: DataFrame, params: DataFrame | None = None) -> DataFrame:
         w = self.window
@@ -58,9 +62,9 @@ class SlidingZScore(ZScore):
             "_s": F.stddev_pop(v).over(win.rowsBetween(-w, 0))}, self.layout)
         near = join_stats(near, stats)
         local = F.when(F.col("_c") > 1, F.abs(safe_div(v - F.col("_m"), F.col("_s"))))
-        score = F.when(F.col("_rows") > w, local).otherwise(self.score(v, F.col))
+        score = F.when(F.col("_rows") > w, local).otherwise(self.overall.score(v, F.col))
         near = near.withColumn("_z", F.coalesce(score, F.lit(0.0)))
-        return scored(near, self.name, F.col("_z"), self.flag(F.col("_z")))
+        return scored(near, self.name, F.col("_z"), self.overall.flag(F.col("_z")))
 
 
 class Iqr(RowDetector):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.functions.scalar import severity_label
+from pulsegrid.functions.scalar import fixed
 from pulsegrid.operators.alerts import alert_dict
 
 # Fixed values.
@@ -32,10 +32,10 @@ def _webhook() -> Column:
 def _email(title: str) -> Column:
     subject = F.format_string(f"[{title} %s] %s", F.upper("label"), F.col("metric_name"))
     body = F.format_string(
-        "Alert: %s\n\nMetric: %s\nValue: %.4f\nScore: %.4f\nSeverity: %s\nState: %s\nLabels: %s\n"
-        "Duration: %.1f minutes\nCount: %d\n",
-        "message", "metric_name", "value", "score", "label", "state", F.to_json("labels"),
-        "duration_minutes", "count")
+        "Alert: %s\n\nMetric: %s\nValue: %s\nScore: %s\nSeverity: %s\nState: %s\nLabels: %s\n"
+        "Duration: %s minutes\nCount: %d\n",
+        "message", "metric_name", fixed(F.col("value"), 4), fixed(F.col("score"), 4), "label", "state",
+        F.to_json("labels"), fixed(F.col("duration_minutes"), 1), "count")
     return F.to_json(F.struct(subject.alias("subject"), body.alias("body")))
 
 
@@ -45,9 +45,9 @@ def _slack(title: str, channel: str | None) -> Column:
         _lookup(SEVERITY_COLOURS, F.col("label"), DEFAULT_COLOUR).alias("color"),
         F.concat(F.upper("label"), F.lit(": "), F.col("metric_name")).alias("title"),
         F.col("message").alias("text"),
-        F.array(field("Value", F.format_string("%.4f", "value")),
-                field("Score", F.format_string("%.4f", "score")),
-                field("Duration", F.format_string("%.1fm", "duration_minutes")),
+        F.array(field("Value", fixed(F.col("value"), 4)),
+                field("Score", fixed(F.col("score"), 4)),
+                field("Duration", F.concat(fixed(F.col("duration_minutes"), 1), F.lit("m"))),
                 field("Count", F.col("count").cast("string"))).alias("fields"),
         F.lit(f"{title} Anomaly Detection").alias("footer"))
     parts = [F.lit(title).alias("username"), F.array(card).alias("attachments")]

@@ -21,7 +21,7 @@ def parse_statsd(lines: DataFrame, column: str = "value", received: Column | Non
     code = F.trim(F.get(fields, F.lit(1)))
     names = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
     kind = F.coalesce(F.element_at(names, code), code)
-    extras = F.transform(F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(0))), F.trim)
+    extras = F.transform(F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(0))), lambda e: F.trim(e))
     rates = F.filter(F.transform(F.filter(extras, lambda e: F.startswith(e, F.lit("@"))),
                                  lambda e: number(F.substr(e, F.lit(2)))), lambda r: r.isNotNull())
     rate = F.coalesce(F.get(rates, F.size(rates) - 1), F.lit(1.0))

@@ -31,7 +31,8 @@ def hourly(agg: str = "avg(value)") -> str:
 
 
 def rnd(expr: str, name: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    scale = 10.0 ** digits
+    return f"floor(({expr}) * {scale} + 0.501) / {scale} AS {name}"
 
 
 FP = "substr(sha256({name}), 1, 16)"
@@ -317,14 +318,14 @@ out AS (SELECT m.series_id, m.seq, coalesce(f, 0) / top AS s, coalesce(f > t, fa
         FROM m JOIN lim USING (series_id) LEFT JOIN fac USING (series_id, idx)) """ + scores("out", "s", "hit")
 
 Z95 = 1.959963984540054
-FI = """f AS (SELECT *, regr_slope(value, at) OVER r AS slope, lag(value) OVER (PARTITION BY series_id ORDER BY at) AS level,
+FI = """f AS (SELECT *, regr_slope(value, pos) OVER r AS slope, lag(value) OVER (PARTITION BY series_id ORDER BY pos) AS level,
              stddev_pop(value) OVER r AS sd FROM x
-      WINDOW r AS (PARTITION BY series_id ORDER BY at ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-out AS (SELECT series_id, seq, CASE WHEN at >= 20 THEN abs(value - level - slope) / greatest({z} * sd, 0.5e-10) ELSE 0 END AS s,
-               at >= 20 AND abs(value - level - slope) > {z} * sd AS hit FROM f WHERE current)""".format(z=Z95)
-ORACLE["detect_forecast_interval"] = f"WITH {M}, x AS (SELECT *, idx AS at, true AS current FROM m), {FI} " + scores("out", "s", "hit", 4)
+      WINDOW r AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+out AS (SELECT series_id, seq, CASE WHEN pos >= 20 THEN abs(value - level - slope) / greatest({z} * sd, 0.5e-10) ELSE 0 END AS s,
+               pos >= 20 AND abs(value - level - slope) > {z} * sd AS hit FROM f WHERE current)""".format(z=Z95)
+ORACLE["detect_forecast_interval"] = f"WITH {M}, x AS (SELECT *, idx AS pos, true AS current FROM m), {FI} " + scores("out", "s", "hit", 4)
 ORACLE["detect_forecast_interval_baseline"] = f"""WITH {M}, x AS (
-  SELECT series_id, seq, value, idx + n AS at, true AS current FROM m
+  SELECT series_id, seq, value, idx + n AS pos, true AS current FROM m
   UNION ALL SELECT series_id, seq, value, idx, false FROM m), {FI} """ + scores("out", "s", "hit", 4)
 ORACLE["detect_custom"] = f"""WITH {M},
 c AS (SELECT *, abs(value - median(value) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS s
@@ -356,7 +357,7 @@ ORACLE["ensemble_threshold"] = three("votes / 3.0 >= 0.6")
 TWO = f"""{Q},
 s AS (SELECT series_id, event_id AS seq, ts, value, {ZS} AS s0, {IQ} AS s1, {ZS} > 3 AS f0, {IQR_OUT} AS f1 FROM {E}),
 top AS (SELECT series_id, max(s0) AS t0, max(s1) AS t1 FROM s GROUP BY 1),
-both AS (SELECT *, (s0 / t0 + s1 / t1) / 2 AS score FROM s JOIN top USING (series_id))"""
+pair AS (SELECT *, (s0 / t0 + s1 / t1) / 2 AS score FROM s JOIN top USING (series_id))"""
 ORACLE["detector_report"] = f"""WITH {TWO},
 l AS (SELECT series_id, 'zscore' AS detector, s0 AS s, CAST(f0 AS INTEGER) AS f FROM s
       UNION ALL SELECT series_id, 'iqr', s1, CAST(f1 AS INTEGER) FROM s)
@@ -368,7 +369,7 @@ def grade(score: str) -> str:
     return f"CASE WHEN {score} >= 0.9 THEN 4 WHEN {score} >= 0.7 THEN 3 WHEN {score} >= 0.5 THEN 2 WHEN {score} >= 0.3 THEN 1 ELSE 0 END"
 
 
-ANOM = f"{TWO}, a AS (SELECT *, epoch_us(ts) AS us, {grade('score')} AS severity FROM both WHERE f0 AND f1)"
+ANOM = f"{TWO}, a AS (SELECT *, epoch_us(ts) AS us, {grade('score')} AS severity FROM pair WHERE f0 AND f1)"
 AOUT = (f"SELECT series_id, seq, us, {rnd('value', 'value')}, {rnd('score', 'score')}, severity, "
         "'zscore,iqr' AS detectors FROM a")
 ORACLE["detect_ensemble"] = f"WITH {ANOM} {AOUT}"

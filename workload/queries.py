@@ -34,9 +34,14 @@ def query(fn: Query) -> Query:
 
 
 def r(c: str | Column, digits: int = 6, name: str | None = None) -> Column:
-    """Rounded value, without negative zero."""
+    """Value on a grid of ``digits`` decimals.
+
+    Half steps go up with a thousandth of tolerance, so means of cents that lie
+    exactly between two steps do not depend on the last bit.
+    """
     col = F.col(c) if isinstance(c, str) else c
-    return (F.round(col, digits) + F.lit(0.0)).alias(name or (c if isinstance(c, str) else "value"))
+    scale = 10.0 ** digits
+    return (F.floor(col * scale + 0.501) / scale).alias(name or (c if isinstance(c, str) else "value"))
 
 
 def flag(c: str) -> Column:
