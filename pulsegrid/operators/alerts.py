@@ -12,7 +12,7 @@ from pulsegrid.functions.labels import alert_fingerprint, literal_labels
 from pulsegrid.functions.scalar import alert_message, minutes_between, severity_label
 from pulsegrid.operators.ordering import DEFAULT, Layout, with_neighbour, with_running
 from pulsegrid.schema import micros
-from pulsegrid.session import sized
+from pulsegrid.session import shared, sized
 
 DEDUP_SECONDS = 300.0
 ESCALATION_MINUTES = 30.0
@@ -73,9 +73,14 @@ def episodes(fires: DataFrame, dedup_seconds: float = DEDUP_SECONDS, silences: D
                           F.lit("fire").alias("kind"), *facts, F.to_json("labels").alias("labels"))
     rest = None
     if silences is not None:
-        key = events.withColumn("fingerprint", F.col("series_id"))
-        rest = silenced(key, silences).drop("fingerprint").withColumn("kind", F.lit("muted"))
-        events = not_silenced(key, silences).drop("fingerprint")
+        # spans of a fingerprint do not overlap, so a fire meets at most one
+        span = sized(silence_spans(silences), "silences").withColumnRenamed("fingerprint", "_fp")
+        inside = ((F.col("series_id") == F.col("_fp")) & (F.col("ts") >= F.col("start_ts"))
+                  & (F.col("ts") < F.col("until_ts")))
+        events = shared(events.join(span, inside, "left").withColumn("muted", F.col("_fp").isNotNull())
+                        .drop("_fp", "start_ts", "until_ts"), "fires")
+        rest = events.filter("muted").withColumn("kind", F.lit("muted")).drop("muted")
+        events = events.filter("not muted").drop("muted")
     if commands is not None:
         given = commands.select(F.col("fingerprint").alias("series_id"), "ts", "seq",
                                 F.col("action").alias("kind"))
@@ -89,7 +94,7 @@ def episodes(fires: DataFrame, dedup_seconds: float = DEDUP_SECONDS, silences: D
     marked = marked.withColumn("starts", fresh.cast("bigint")).drop("cell", "sub", "prev_ts", "prev_kind")
     if rest is not None:
         marked = marked.unionByName(rest.withColumn("starts", F.lit(0).cast("bigint")), allowMissingColumns=True)
-    numbered = with_running(marked, {"episode": F.col("starts")}, layout).filter("episode > 0")
+    numbered = with_running(shared(marked, "events"), {"episode": F.col("starts")}, layout).filter("episode > 0")
 
     order = F.struct("ts", "seq")
     fired = F.col("kind") == "fire"
@@ -104,6 +109,7 @@ def episodes(fires: DataFrame, dedup_seconds: float = DEDUP_SECONDS, silences: D
         F.min(F.when(fired, F.col("ts"))).alias("first_seen"), F.max(F.when(fired, F.col("ts"))).alias("last_fire"),
         F.count_if(fired).alias("count"), F.min(F.when(F.col("kind") == "resolve", F.col("ts"))).alias("resolved_at"),
         F.max_by(change, F.when(change.isNotNull(), order)).alias("state"))
+    runs = shared(runs, "runs")
     newest = runs.groupBy("series_id").agg(F.max("episode").alias("newest"))
     runs = runs.join(sized(newest, "newest"), "series_id")
     return runs.select(

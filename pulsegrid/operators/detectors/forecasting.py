@@ -18,22 +18,29 @@ from pulsegrid.session import shared
 MIN_CONTEXT = 20
 
 
-def _fold(xs: Column, term: Callable[..., Column]) -> Column:
-    return F.aggregate(F.transform(xs, term), F.lit(0.0), lambda a, x: a + x)
+def trend_forecast(recent: Column) -> Column:
+    """Struct of ``level`` (last value), least-squares ``slope`` and ``spread`` (sd) of an array.
 
+    One pass with running mean and squares.  A single value has slope 0 and sd 1;
+    none at all forecasts 0 with sd 0.
+    """
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("m"), zero.alias("mean"), zero.alias("sq"), zero.alias("iv"), zero.alias("level"))
 
-def trend_forecast(recent: Column) -> dict[str, Column]:
-    """Last value, least-squares slope and sd of an array of recent values.
+    def add(a: Column, v: Column) -> Column:
+        m, off = a["m"] + 1, v - a["mean"]
+        mean = a["mean"] + off / m
+        return F.struct(m.alias("m"), mean.alias("mean"), (a["sq"] + off * (v - mean)).alias("sq"),
+                        (a["iv"] + a["m"] * v).alias("iv"), v.alias("level"))
 
-    A single value has slope 0 and sd 1; none at all forecasts 0 with sd 0.
-    """
-    m = F.size(recent).cast("double")
-    mean = safe_div(_fold(recent, lambda v: v), m)
-    sxy = _fold(recent, lambda v, i: (i - (m - 1) / 2) * v)
-    slope = F.when(m >= 2, safe_div(sxy, m * (m * m - 1) / 12)).otherwise(F.lit(0.0))
-    var = safe_div(_fold(recent, lambda v: (v - mean) * (v - mean)), m)
-    sd = F.when(m > 1, F.sqrt(var)).when(m == 1, F.lit(1.0)).otherwise(F.lit(0.0))
-    return {"level": F.when(m >= 1, F.element_at(recent, -1)).otherwise(F.lit(0.0)), "slope": slope, "spread": sd}
+    def finish(a: Column) -> Column:
+        m = a["m"]
+        slope = F.when(m >= 2, safe_div(a["iv"] - (m - 1) / 2 * a["mean"] * m, m * (m * m - 1) / 12))
+        spread = F.when(m > 1, F.sqrt(safe_div(a["sq"], m))).when(m == 1, F.lit(1.0))
+        return F.struct(a["level"].alias("level"), F.coalesce(slope, zero).alias("slope"),
+                        F.coalesce(spread, zero).alias("spread"))
+
+    return F.aggregate(recent, start, add, finish)
 
 
 def _recent(rows: DataFrame, context: int, trend_window: int, layout: Layout) -> DataFrame:
@@ -80,10 +87,10 @@ class ForecastInterval(Detector):
         need = min(self.context, MIN_CONTEXT)
         indexed = shared(indexed, "indexed")
         around = _recent(indexed, self.context, self.trend_window, self.layout).filter("current")
-        f = around.withColumns(trend_forecast(F.col("recent")))
+        f = around.withColumn("f", trend_forecast(F.col("recent")))
         z = normal_quantile((1 + self.confidence) / 2)
-        off = F.abs(F.col("value") - (F.col("level") + F.col("slope")))
-        half = z * F.col("spread")
+        off = F.abs(F.col("value") - (F.col("f.level") + F.col("f.slope")))
+        half = z * F.col("f.spread")
         enough = F.col("at") >= need
         f = f.select(*ROW_KEY, F.when(enough, off / F.greatest(half, F.lit(0.5e-10))).alias("score"),
                      F.when(enough, off > half).alias("is_anomaly"))
@@ -98,7 +105,8 @@ def forecast_tail(rows: DataFrame, horizon: int, confidence: float = 0.95, trend
     ``noise_scale`` adds random noise of that many standard deviations (off by
     default).  Series without a value forecast 0.
     """
-    tails = _tails(rows, trend_window, layout).withColumns(trend_forecast(F.col("context")))
+    tails = _tails(rows, trend_window, layout).select("series_id", trend_forecast(F.col("context")).alias("f"))
+    tails = tails.select("series_id", "f.*")
     steps = tails.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))))
     mean = F.col("level") + F.col("slope") * (F.col("step") + 1)
     if noise_scale:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.operators.ordering import DEFAULT, Layout, with_latest, with_neighbour
+from pulsegrid.operators.ordering import DEFAULT, Layout, with_around, with_latest, with_neighbour
 from pulsegrid.operators.stats import join_stats, quantiles, steps
 from pulsegrid.schema import micros
 from pulsegrid.session import shared
@@ -54,9 +54,7 @@ def _directional(rows: DataFrame, backward: bool, max_gap: float | None, layout:
 
 def _linear(rows: DataFrame, max_gap: float | None, layout: Layout) -> DataFrame:
     valid = F.col("value").isNotNull()
-    counts = rows.groupBy("series_id").agg(F.count("value").alias("_valid"))
-    rows = with_latest(rows, valid, ["ts", "value"], "_left", layout=layout)
-    rows = with_latest(rows, valid, ["ts", "value"], "_right", forward=True, layout=layout)
+    rows = with_around(rows, valid, ["ts", "value"], "_left", "_right", "_valid", layout)
     t, lt, rt = (micros(F.col(c)) for c in ("ts", "_left.ts", "_right.ts"))
     lv, rv = F.col("_left.value"), F.col("_right.value")
     inner = F.when(rt == lt, lv).otherwise(lv + (rv - lv) * F.try_divide(t - lt, rt - lt))
@@ -68,7 +66,6 @@ def _linear(rows: DataFrame, max_gap: float | None, layout: Layout) -> DataFrame
         guess = (F.when(both & (rt - lt <= limit), inner)
                  .when(rt.isNull() & (t - lt <= limit), lv))
     # a series with a single valid value has nothing to interpolate between
-    rows = join_stats(rows, counts)
     guess = F.when(F.col("_valid") >= 2, guess)
     return (rows.withColumn("value", F.when(valid, F.col("value")).otherwise(guess))
             .drop("_left", "_right", "_valid"))

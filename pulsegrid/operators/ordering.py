@@ -162,6 +162,26 @@ def with_latest(rows: DataFrame, when: Column, cols: list[str], name: str, forwa
             .drop("_found", "_inherited"))
 
 
+def with_around(rows: DataFrame, when: Column, cols: list[str], left: str, right: str, count: str,
+                layout: Layout = DEFAULT) -> DataFrame:
+    """:func:`with_latest` in both directions at once, and how often ``when`` holds in the series."""
+    rows = with_cells(rows, layout)
+    found = F.when(when, F.struct("ts", "seq", *[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)]))
+    rows = rows.withColumn("_found", found)
+    whole = Window.partitionBy("series_id")
+    rows = carry(
+        rows, {"_first": F.min("_found"), "_last": F.max("_found"), "_c": F.count("_found")},
+        lambda before, after: {"_in_l": F.last("_last", ignorenulls=True).over(before),
+                               "_in_r": F.last("_first", ignorenulls=True).over(after),
+                               count: F.sum("_c").over(whole)})
+    for name, asc, inherited in ((left, True, "_in_l"), (right, False, "_in_r")):
+        here = F.last("_found", ignorenulls=True).over(_up_to_here(in_cell(asc)))
+        rows = rows.withColumn(inherited, F.coalesce(here, F.col(inherited)))
+        picked = F.struct(*[F.col(f"{inherited}.v{i}").alias(c) for i, c in enumerate(cols)])
+        rows = rows.withColumn(name, F.when(F.col(inherited).isNotNull(), picked))
+    return rows.drop("_found", "_in_l", "_in_r")
+
+
 def with_running(rows: DataFrame, sums: dict[str, Column], layout: Layout = DEFAULT) -> DataFrame:
     """Add running totals, this row included."""
     rows = with_cells(rows, layout)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.operators.stats import clamp, join_stats, mad, moments, quantiles
 from pulsegrid.schema import safe_div
+from pulsegrid.session import shared
 
 METHODS = ("iqr", "zscore", "modified_zscore")
 REPLACEMENTS = ("nan", "median", "mean", "clip")
@@ -66,7 +67,7 @@ def replace_outliers(rows: DataFrame, method: str = "iqr", replacement: str = "n
     """Replace outliers by nothing, or by a statistic of the values that are not outliers."""
     if replacement not in REPLACEMENTS:
         raise ValueError(f"unknown replacement {replacement!r}, expected one of {REPLACEMENTS}")
-    marked = mark_outliers(rows, method, **options)
+    marked = shared(mark_outliers(shared(rows, "rows"), method, **options), "marked")
     v, bad = F.col("value"), F.col("is_outlier")
     if replacement == "nan":
         return marked.withColumn("value", F.when(~bad, v)).drop("is_outlier")

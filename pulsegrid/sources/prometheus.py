@@ -19,13 +19,15 @@ def parse_exposition(lines: DataFrame, source: str | Column = "prometheus", colu
 
     Times are milliseconds; a line without one gets ``received``.
     """
-    text = F.trim(F.regexp_replace(F.col(column), r"[\r\n]+$", ""))
-    part = lambda i: F.regexp_extract(text, LINE, i)
+    text = F.trim(F.rtrim(F.col(column), F.lit("\r\n \t")))
+    # one match per line: its groups, set apart by a character no line contains
+    lines = lines.withColumn("_p", F.split(F.regexp_replace(text, LINE, "$1\u0001$2\u0001$3\u0001$4"), "\u0001"))
+    part = lambda i: F.get("_p", F.lit(i - 1))
     value = number(part(3))
     found = lambda i: F.regexp_extract_all(part(2), F.lit(LABEL), F.lit(i))
     own = map_last_wins(F.zip_with(found(1), found(2), pair))
     stamp = F.timestamp_millis(F.nullif(part(4), F.lit("")).try_cast("bigint"))
-    ok = text.rlike(LINE) & ~F.startswith(text, F.lit("#")) & value.isNotNull()
+    ok = (F.size("_p") == 4) & value.isNotNull()
     return lines.filter(ok).select(
         part(1).alias("name"), null_if_nan(value).alias("value"),
         F.coalesce(stamp, received if received is not None else F.current_timestamp()).alias("ts"),

@@ -12,11 +12,15 @@ from pulsegrid.sources.text import map_last_wins, number, pair
 TYPES = {"c": "counter", "g": "gauge", "ms": "timer", "s": "set", "h": "histogram"}
 
 
+def _after_colon(text: Column) -> Column:
+    return F.substr(text, F.instr(text, ":") + 1)
+
+
 def parse_statsd(lines: DataFrame, column: str = "value", received: Column | None = None,
                  labels: dict[str, str] | None = None) -> DataFrame:
     """Metric rows; the type and the tags become labels, counters are scaled by their sample rate."""
     text = F.trim(F.col(column))
-    fields = F.split(F.regexp_replace(text, r"^[^:]*:", ""), r"\|")
+    fields = F.split(_after_colon(text), r"\|")
     value = number(F.get(fields, F.lit(0)))
     code = F.trim(F.get(fields, F.lit(1)))
     names = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
@@ -29,7 +33,7 @@ def parse_statsd(lines: DataFrame, column: str = "value", received: Column | Non
                                  lambda e: F.split(F.substr(e, F.lit(2)), ",")))
     entries = F.transform(tags, lambda t: F.when(
         F.contains(t, F.lit(":")),
-        pair(F.trim(F.substring_index(t, ":", 1)), F.trim(F.regexp_replace(t, r"^[^:]*:", ""))))
+        pair(F.trim(F.substring_index(t, ":", 1)), F.trim(_after_colon(t))))
         .otherwise(pair(F.trim(t), F.lit("true"))))
     own = map_last_wins(F.concat(F.array(pair(F.lit("type"), kind)), entries))
     scaled = F.when((kind == "counter") & (rate > 0) & (rate != 1.0), F.try_divide(value, rate)).otherwise(value)
