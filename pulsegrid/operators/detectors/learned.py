@@ -107,7 +107,8 @@ class IsolationForest(Detector):
 
         def score(key: tuple, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
             if rows.empty or trees.empty:
-                return pd.DataFrame({"series_id": [], "idx": [], "score": []})
+                return pd.DataFrame({"series_id": pd.Series(dtype=object), "idx": pd.Series(dtype="int64"),
+                                     "score": pd.Series(dtype="float64")})
             x = np.stack(rows["vec"].to_numpy())
             depth = np.zeros(len(x))
             for t in trees.sort_values("tree").itertuples():
