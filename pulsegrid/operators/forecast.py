@@ -42,11 +42,13 @@ def fit_line(indexed: DataFrame) -> DataFrame:
     x, y = F.col("idx").cast("double"), F.col("value")
     sums = indexed.groupBy("series_id").agg(
         F.count(y).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        F.coalesce(F.regr_r2(y, x), F.lit(0.0)).alias("r_squared"), F.avg(y).alias("mean"),
+        F.regr_r2(y, x).alias("r_squared"), F.avg(y).alias("mean"),
         F.stddev_pop(y).alias("sd"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
         F.max_by(y, x).alias("current_value"))
     left = F.greatest((F.col("syy") - F.col("slope") * F.col("sxy")) / F.col("n"), F.lit(0.0))
-    return sums.withColumn("residual_sd", F.sqrt(left)).drop("syy", "sxy").filter(F.col("n") >= MIN_POINTS)
+    # a constant explains nothing, where SQL says it explains all
+    fit = F.when(F.col("syy") == 0, F.lit(0.0)).otherwise(F.col("r_squared"))
+    return sums.withColumns({"residual_sd": F.sqrt(left), "r_squared": fit}).drop("syy", "sxy").filter(F.col("n") >= MIN_POINTS)
 
 
 def fit_forecast(rows: DataFrame, interval: float | None = None, layout: Layout = DEFAULT,
