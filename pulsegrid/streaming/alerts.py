@@ -115,6 +115,8 @@ def alert_stream(events: DataFrame, watermark: str = "10 minutes", rules: AlertR
         if not state.hasTimedOut:
             for e in pd.concat(batches).sort_values(["us", "seq"]).itertuples(index=False):
                 raise_until(a, e.us, fp, out)
+                if e.us >= max(a.last + idle, a.muted_until):
+                    a = _Alert()
                 what = _apply(a, e, fp, rules)
                 if what:
                     out.append(a.change(fp, e.us, e.seq, what))
