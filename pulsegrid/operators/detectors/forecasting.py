@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.distributions import normal_quantile
 from pulsegrid.operators.detectors.base import Detector, scored
-from pulsegrid.operators.ordering import DEFAULT, Layout, framed, with_index
+from pulsegrid.operators.ordering import DEFAULT, Layout, framed, last_per_series, with_index
 from pulsegrid.operators.stats import join_stats
 from pulsegrid.schema import ROW_KEY, safe_div
 from pulsegrid.session import shared
@@ -119,10 +119,9 @@ def forecast_tail(rows: DataFrame, horizon: int, confidence: float = 0.95, trend
 
 def _tails(rows: DataFrame, length: int, layout: Layout) -> DataFrame:
     """``(series_id, context)``: the last ``length`` values of every series, in order."""
-    valid = with_index(rows.filter("value is not null").select(*ROW_KEY, "value"), layout)
-    totals = valid.groupBy("series_id").agg(F.count("*").alias("_n"))
-    last = join_stats(valid, totals).filter(F.col("idx") >= F.col("_n") - length)
-    last = last.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("idx", "value")))["value"].alias("context"))
+    last = last_per_series(rows.filter("value is not null").select(*ROW_KEY, "value"), length, layout)
+    last = last.groupBy("series_id").agg(
+        F.sort_array(F.collect_list(F.struct("ts", "seq", "value")))["value"].alias("context"))
     return rows.select("series_id").distinct().join(last, "series_id", "left").withColumn(
         "context", F.coalesce("context", F.array().cast("array<double>")))
 

@@ -83,7 +83,7 @@ class IsolationForest(Detector):
         trees = F.sequence(F.lit(0), F.lit(self.trees - 1))
         # each window joins a tree with chance sample / n
         share = F.lit(psi) / F.col("_n")
-        mine = F.filter(trees, lambda t: F.pmod(F.xxhash64("idx", t, F.lit(seed)), F.lit(1_000_003)) < share * 1_000_003)
+        mine = F.filter(trees, lambda t: F.pmod(F.xxhash64("idx", t, F.lit(seed)), F.lit(2 ** 53)) < share * 2.0 ** 53)
         picked = join_stats(vectors, n).select("series_id", "idx", "vec", F.explode(mine).alias("tree"))
         limit = max(1, math.ceil(math.log2(psi)))
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from pulsegrid.schema import micros
-from pulsegrid.session import planned_bytes, written
+from pulsegrid.session import planned_bytes, sized, written
 
 CELL = ["series_id", "cell", "sub"]
 PIECES = 1024
@@ -228,3 +228,18 @@ def smallest_per_series(rows: DataFrame, k: int, *order: Column, name: str = "ra
     """
     w = Window.partitionBy("series_id").orderBy(*order)
     return rows.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
+def last_per_series(rows: DataFrame, k: int, layout: Layout = DEFAULT) -> DataFrame:
+    """The last ``k`` rows of each series.
+
+    Row counts per cell tell which cells can hold them; only the rows of those
+    cells, about ``k`` and one cell per series, are shuffled.
+    """
+    celled = with_cells(rows, layout)
+    counts = celled.groupBy(*CELL).agg(F.count("*").alias("_n"))
+    later = Window.partitionBy("series_id").orderBy(F.desc("cell"), F.desc("sub")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    needed = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).filter(F.col("_later") < k)
+    near = celled.join(sized(needed.select(*CELL), "cells"), CELL, "left_semi")
+    return smallest_per_series(near, k, F.desc("ts"), F.desc("seq")).select(*rows.columns)

@@ -42,10 +42,8 @@ def name_samples(samples: DataFrame, names: DataFrame | None = None, strict_pari
     ``strict_parity`` looks up base identifiers only, so scalars whose known
     form ends in ``.0`` keep their raw identifier.
     """
-    if names is None:
-        names = oid_names(samples.sparkSession)
-    # two lookups on equality; the dictionary's size is known to the planner
-    table = sized(names, "oids")
+    # the built-in dictionary is twelve rows; the size of another one is checked
+    table = F.broadcast(oid_names(samples.sparkSession)) if names is None else sized(names, "oids")
     by_base = table.select(F.col("known").alias("_base"), F.col("oid_name").alias("_n1"), F.col("oid_unit").alias("_u1"))
     out = samples.withColumn("_base", base_oid(F.col("oid"))).join(by_base, "_base", "left")
     name, unit = F.col("_n1"), F.col("_u1")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from pulsegrid.operators.ordering import smallest_per_series, with_index
-from pulsegrid.operators.stats import join_stats
+from pulsegrid.operators.ordering import last_per_series
 from pulsegrid.schema import from_seconds, null_if_nan
 
 _PAYLOAD = "array<struct<name:string,value:double,timestamp:double,labels:map<string,string>>>"
@@ -55,14 +54,7 @@ def by_label(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def last_points(rows: DataFrame, limit: int = 1000) -> DataFrame:
     """The newest ``limit`` rows of every series (all rows for 0)."""
-    if limit == 0:
-        return rows
-    if limit > 1000:
-        # beyond what each map task may pre-select: cut by position instead
-        totals = rows.groupBy("series_id").agg(F.count("*").alias("_n"))
-        kept = join_stats(with_index(rows), totals).filter(F.col("idx") >= F.col("_n") - limit)
-        return kept.select(*rows.columns)
-    return smallest_per_series(rows, limit, F.desc("ts"), F.desc("seq")).drop("rank")
+    return rows if limit == 0 else last_per_series(rows, limit)
 
 
 def top_anomalies(anomalies: DataFrame, limit: int = 10) -> DataFrame:
