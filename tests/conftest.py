@@ -19,7 +19,7 @@ TINY = Layout(cell_seconds=300.0, block_rows=16)
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", "tests", spark__sql__shuffle__partitions="4")
+    s = build_session("local[8]", "tests", spark__sql__shuffle__partitions="4")
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
