@@ -34,7 +34,7 @@ def with_too_few_points(rows: DataFrame, at_least: int = 10) -> DataFrame:
 def _compact(rows: DataFrame, layout: Layout) -> DataFrame:
     """Rows with a value, numbered without the gaps the others leave."""
     valid = rows.filter("value is not null").select("series_id", "ts", "seq", "value")
-    return shared(with_index(valid, layout), "valid")
+    return written(with_index(valid, layout).drop("cell", "sub"), "valid")
 
 
 def fit_line(indexed: DataFrame) -> DataFrame:
