@@ -30,3 +30,18 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size)) AS BIGINT) AS taken
 FROM q
 """
+
+ORACLE["op5_topk"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * x::DOUBLE) AS DOUBLE) for x in embedding] AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+WHERE rank <= 5
+"""

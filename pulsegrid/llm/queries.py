@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.llm import neighbours, topk
 from pulsegrid.llm.common import table
 from pulsegrid.llm.mixing import mix, schedule, words
 from pulsegrid.llm.packing import pack
@@ -27,4 +28,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_mixing)}
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every 50th vector with all others."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op4_mixing, op5_topk, op10_neighbours)}
