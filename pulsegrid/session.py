@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,32 @@ def build_session(master: str | None = None, app: str = "pulsegrid", **conf) ->
     }
     for k, v in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that jobs run from any folder."""
+    import pulsegrid
+
+    application = spark.conf.get("spark.app.id", "")
+    if application in _shipped:
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(pulsegrid.__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pulsegrid-code-"), "pulsegrid_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for top in ("pulsegrid", "workload"):
+            for folder, _, names in os.walk(os.path.join(home, top)):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, home))
+    spark.addArtifacts(archive, pyfile=True)
+    _shipped.add(application)
 
 
 def work_dir(spark: SparkSession) -> str:
