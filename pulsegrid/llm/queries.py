@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import neighbours, topk
-from pulsegrid.llm.common import table
+from pulsegrid.llm import language, neighbours, quality, topk, toxicity
+from pulsegrid.llm.common import remainder, table
 from pulsegrid.llm.mixing import mix, schedule, words
 from pulsegrid.llm.packing import pack
 
@@ -34,10 +34,36 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.where("vec_id % 50 = 0"), 5)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of all documents; graded 0 poor, 1 good but toxic, 2 good and clean."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2)).when(F.col("quality") == 0, 0)
+    model = quality.fit(docs, labels, grade, use=remainder("doc_id", 5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "expected_grade", F.col("tail").alias("score"), "grade",
+        (F.col("tail") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    net = language.fit(docs, use=remainder("doc_id", 3) != 1)
+    return language.predict(docs.select("doc_id", "text"), net).select(
+        "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), use=remainder("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every 20th vector."""
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.search(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_mixing, op5_topk, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_mixing, op5_topk, op6_quality, op7_language, op9_toxicity, op10_neighbours)}
