@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import language, neighbours, quality, topk, toxicity
+from pulsegrid.llm import language, neighbours, ppm, quality, topk, toxicity
 from pulsegrid.llm.common import remainder, table
 from pulsegrid.llm.mixing import mix, schedule, words
 from pulsegrid.llm.packing import pack
@@ -20,6 +20,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a byte model learned from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ppm.score(docs, remainder("doc_id", 7) != 2).select(
+        "doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     scheduled = schedule(table(spark, sf_dir, "documents").select("doc_id", "source", words("text").alias("size")), size=F.col("size"))
@@ -66,4 +73,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_mixing, op5_topk, op6_quality, op7_language, op9_toxicity, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_ppm, op4_mixing, op5_topk, op6_quality, op7_language, op9_toxicity, op10_neighbours)}
