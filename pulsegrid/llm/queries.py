@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import language, neighbours, ppm, quality, topk, toxicity
+from pulsegrid.llm import jaccard, language, neighbours, ppm, quality, topk, toxicity
 from pulsegrid.llm.common import remainder, table
 from pulsegrid.llm.mixing import mix, schedule, words
 from pulsegrid.llm.packing import pack
@@ -14,6 +14,11 @@ from pulsegrid.llm.packing import pack
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 1024 ids."""
     return pack(table(spark, sf_dir, "documents"), TOKENIZER).select(
@@ -73,4 +78,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_ppm, op4_mixing, op5_topk, op6_quality, op7_language, op9_toxicity, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_packing, op3_ppm, op4_mixing, op5_topk, op6_quality, op7_language, op9_toxicity, op10_neighbours)}
