@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import jaccard, language, neighbours, ppm, quality, topk, toxicity
+from pulsegrid.llm import jaccard, language, neighbours, ppm, quality, repeats, topk, toxicity
 from pulsegrid.llm.common import remainder, table
 from pulsegrid.llm.mixing import mix, schedule, words
 from pulsegrid.llm.packing import pack
@@ -64,6 +64,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of all documents without strings of 400 bytes that repeat."""
+    removed = F.col("removed")
+    return repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", F.aggregate(removed, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_removed"),
+        F.size(removed).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,4 +86,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_packing, op3_ppm, op4_mixing, op5_topk, op6_quality, op7_language, op9_toxicity, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_packing, op3_ppm, op4_mixing, op5_topk, op6_quality, op7_language, op8_repeats, op9_toxicity, op10_neighbours)}
