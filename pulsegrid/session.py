@@ -88,6 +88,17 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``written`` returned and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = getattr(spark, "_jvm", None)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if jvm is not None and "/pulsegrid/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _sources(df: DataFrame) -> list[int]:
     """Planner sizes of every source the plan reads, once per read."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
