@@ -1,30 +1,83 @@
-"""Training-corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Training-corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsegrid.llm.queries import TOKENIZER
+from pulsegrid.llm import jaccard, repeats, toxicity
+from pulsegrid.llm.common import remainder, table
+from pulsegrid.llm.mixing import first_words, mix, schedule, words
 from pulsegrid.llm.packing import pack
-from pulsegrid.session import written
+from pulsegrid.llm.queries import TOKENIZER
+from pulsegrid.session import discard, written
 
-from pyspark.sql import functions as F
+
+def _with_text(docs: DataFrame, names: list[str], text: Column) -> DataFrame:
+    """The columns ``names`` of ``docs`` with another text, and its number of characters where there is such a column."""
+    out = docs.withColumn("text", text)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in names])
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic.  Labels are learned from rows whose crc32(doc_id) mod 5 is not 0."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), use=remainder("doc_id", 5) != 0)
+    return toxicity.score(docs, model).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near duplicates; of several rows with an id, the least.
+
+    Documents without an id or without words are linked with nothing and stay.
+    """
+    found = jaccard.join(docs)
+    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
+    if kept.count() <= jaccard.SENT:
+        kept = F.broadcast(kept)
+    names = docs.columns
+    joined = docs.join(kept, "doc_id").select(*[F.col(f"`{c}`") for c in names], "__rows")
+    single = joined.where("__rows = 1").drop("__rows")
+    several = (joined.where("__rows > 1").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__one"))
+               .select("__one.*"))
+    return single.unionAll(several.select(*[F.col(f"`{c}`") for c in names])).unionAll(docs.where("doc_id is null"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 400 bytes that repeat; characters that are cut stay whole."""
+    out = repeats.remove(docs, whole_characters=True)
+    return _with_text(out, docs.columns, F.col("kept").cast("string"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources in its order: a document once for each time it is taken, the last of a source cut to the words taken."""
+    stream = mix(schedule(docs, size=words("text")))
+    text = F.when(F.col("served") < F.col("size"), first_words("text", "served")).otherwise(F.col("text"))
+    return _with_text(stream, docs.columns, text)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 1024 ids."""
-    return pack(docs, TOKENIZER).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(docs, TOKENIZER).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("packing", packing)]
+STAGES = [("toxicity", clean), ("jaccard", one_of_each), ("repeats", without_repeats), ("mixing", mixed), ("packing", packed)]
 
-#: SQL cannot express the stages.
+#: SQL cannot express the stages; each is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        out = written(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.session import written
+from pulsegrid.session import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     while True:
+        before = now
         # Large star: larger neighbours of a node go to the smallest one around it.
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -26,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = now.join(least, "u")
         now = written(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                       .unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(got):
             break

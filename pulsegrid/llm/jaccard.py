@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.graph import components
 from pulsegrid.llm.texts import chunks, mix, shingle_sets
-from pulsegrid.session import written
+from pulsegrid.session import discard, written
 
 #: Random orders for step 2.
 ORDERS = 4
@@ -249,6 +249,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5
     all_rows = written(matrix_rows(docs, text, width, late, part, whole), "matrix")
     shared = shared_tokens(all_rows.where("not late").select("token", "f1")).unionAll(all_rows.where("late").select("token", "f1").distinct())
     shared = written(shared.join(member.select("f1", "rep", "part", "size", "block"), "f1").drop("f1"), "shared")
+    discard(all_rows)
     rank = F.struct("size", "part")
     ends = (shared.groupBy("token").agg(F.max(rank).alias("top"), F.min(rank).alias("low")).where("low <> top").select("token", "top"))
     met = shared.join(ends, "token")
@@ -284,8 +285,10 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     opened = bounded.mapInArrow(open_, "a bigint, b bigint")
-    more = linked(docs, opened, id, text, width, part, whole)
-    final = components(links.unionAll(written(more, "links")))
+    more = written(linked(docs, opened, id, text, width, part, whole), "links")
+    discard(shared, member, parts)
+    final = components(links.unionAll(more))
+    discard(links, more)
     reps = classes.select("f1", "f2", "rep").join(final, F.col("rep") == F.col("node"), "left").select(
         "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     return rows.select(F.col("doc"), "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(reps, ["f1", "f2"], "left").select(

@@ -15,6 +15,7 @@ an anchor's run are compared string by string: small groups in one task each, la
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.texts import _VALUE, buffer, chunks, mix, powers
-from pulsegrid.session import written
+from pulsegrid.session import discard, written
 
 #: Bits of a packed key that hold a place; a piece of text that is searched at once is shorter.
 PLACE = 22
@@ -158,8 +159,13 @@ class Levels:
             (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
             merged = a.unionAll(b).groupBy("run").agg(F.sum("times").alias("times")).sortWithinPartitions("run")
             self.levels.append((rank + 1, written(merged, "suffixes")))
+            discard(a, b)
         return hits
 
+    def close(self) -> None:
+        """Delete the arrays."""
+        discard(*[level for _, level in self.levels])
+
 
 def _with_text(texts: DataFrame, side: DataFrame) -> DataFrame:
     """``texts`` joined with ``side``, which has one line for a row, by row; the texts are only shuffled where there is one."""
@@ -171,11 +177,12 @@ def _with_text(texts: DataFrame, side: DataFrame) -> DataFrame:
 def spans(texts: DataFrame, length: int = 400, gram: int = 200, batches: int = 3) -> DataFrame:
     """(row, spans): of every row (row, text) with repeated bytes the stretches to remove, which may overlap."""
     index = written(sampled(texts, length, gram), "anchors")
-    levels, hits = Levels(), None
+    levels, hits = Levels(), []
     for b in range(batches):
-        found = levels.add(index.where((F.pmod(F.xxhash64("row"), F.lit(batches)) == b) & (F.col("times") > 0)).select("run", "times"))
-        hits = found if hits is None else hits.unionAll(found)
-    matched = index.where("times > 0").join(hits.distinct(), "run")
+        hits.append(levels.add(index.where((F.pmod(F.xxhash64("row"), F.lit(batches)) == b) & (F.col("times") > 0)).select("run", "times")))
+    levels.close()
+    matched = written(index.where("times > 0").join(functools.reduce(DataFrame.unionAll, hits).distinct(), "run"), "matched")
+    discard(*hits)
     stretch = F.struct("row", "low", "back", "wide")
     variants = written(matched.groupBy("run", "stretch").agg(F.sum("times").alias("times"), F.min(stretch).alias("one")), "variants")
     whole = matched.join(variants.where("times > 1").select("run", "stretch"), ["run", "stretch"]).select("row", "low", "wide")
@@ -257,14 +264,17 @@ def spans(texts: DataFrame, length: int = 400, gram: int = 200, batches: int = 3
     large = each.where("single").join(again, "string").select(
         "row", (F.col("low") + F.col("i")).alias("start"), (F.col("low") + F.col("i") + length).alias("end"))
     found = sure.unionAll(small).unionAll(large)
-    return written(found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    out = written(found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    discard(index, matched, variants, open_, some)
+    return out
 
 
-def remove(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 200, batches: int = 3) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 200, batches: int = 3,
+           whole_characters: bool = False) -> DataFrame:
     """All rows with n_bytes, removed (the maximal runs of removed bytes) and kept (the other bytes, joined).
 
     A byte goes if a string of ``length`` bytes that covers it starts at another place too, of the same text or another; strings are
-    judged on the input and none crosses texts.  A null text is empty; a text shorter than ``length`` keeps all.
+    judged on the input and none crosses texts.  With ``whole_characters`` a character of which a byte stays, stays.  A null text is empty; a text shorter than ``length`` keeps all.
     Repeated rows repeat each other's text.  Columns of these names are replaced.
     """
     added = ("n_bytes", "removed", "kept")
@@ -285,6 +295,13 @@ def remove(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 2
                 start, end = start[order], np.maximum.accumulate(end[order])
                 new = np.append(True, start[1:] > end[:-1])
                 start, end = start[new], end[np.append(np.flatnonzero(new)[1:], len(end)) - 1]
+                if whole_characters:
+                    inner = np.append(data & 0xC0 == 0x80, False)
+                    while inner[start].any():
+                        start = start + inner[start]
+                    while inner[end].any():
+                        end = end - inner[end]
+                    start, end = start[start < end], end[start < end]
                 removed.append([{"start": int(a), "end": int(b)} for a, b in zip(start, end)])
                 gone = np.zeros(len(data) + 1, np.int64)
                 np.add.at(gone, start, 1)
