@@ -6,7 +6,7 @@
 3. The token-group matrix holds, for every group, the tokens that can prove a link, which are the first tokens of its members in one
    order of all tokens (of two sets that overlap enough, each has one of the other's among its first n - need + 1).  The order puts
    tokens that many documents share last; any order gives the same links.  A class meets the groups of other components through these
-   tokens.
+   tokens, if a member of the group has a size that can match.
 4. The overlap of a class with a group's token union is bounded by bitmaps of hashed tokens.  Only groups that can hold a partner are
    opened, and only members that can be partners are compared, set with set.
 
@@ -209,7 +209,7 @@ def linked(docs: DataFrame, pairs: DataFrame, id: str, text: str, width: int, pa
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, part: int = 80, whole: int = 100,
-         group: int = 16, late_tokens: int = 1 << 17) -> DataFrame:
+         group: int = 32, late_tokens: int = 1 << 17) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the size of its set and the smallest id reachable by links, its own included.
 
     Two documents link when whole * |A and B| >= part * |A or B|.  Words are split at space and U+0009 to U+000D, A-Z count as a-z, and
@@ -242,20 +242,24 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5
     member = classes.select("f1", "rep", "n", "bits").join(parts, F.col("rep") == F.col("node"), "left").select(
         "f1", "rep", "n", "bits", F.coalesce("component", "rep").alias("part"))
     sizes = member.groupBy("part").agg(F.count("*").alias("size"))
-    member = written(member.join(sizes, "part").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / group).cast("long"))), "member")
+    member = member.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / group).cast("long")))
+    extent = member.groupBy("part", "block").agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
+    member = written(member.join(extent, ["part", "block"]), "member")
 
     # Step 3: a class meets the groups of larger components (by size, then id) that have one of its first tokens.
     all_rows = written(matrix_rows(docs, text, width, late, part, whole), "matrix")
     shared = shared_tokens(all_rows.where("not late").select("token", "f1")).unionAll(all_rows.where("late").select("token", "f1").distinct())
-    shared = written(shared.join(member.select("f1", "rep", "part", "size", "block"), "f1").drop("f1"), "shared")
+    shared = written(shared.join(member.select("f1", "rep", "n", "part", "size", "block", "fewest", "most"), "f1").drop("f1"), "shared")
     discard(all_rows)
     rank = F.struct("size", "part")
     ends = (shared.groupBy("token").agg(F.max(rank).alias("top"), F.min(rank).alias("low")).where("low <> top").select("token", "top"))
     met = shared.join(ends, "token")
-    asking = met.where(rank != F.col("top")).select("token", "rep", rank.alias("own"))
-    matrix = met.select("token", "part", "size", "block").distinct().select("token", rank.alias("theirs"), "part", "block")
-    meetings = asking.join(matrix, "token").where("own < theirs").select("rep", "part", "block").distinct()
+    asking = met.where(rank != F.col("top")).select("token", "rep", "n", rank.alias("own"))
+    matrix = met.select("token", "part", "size", "block", "fewest", "most").distinct().select(
+        "token", rank.alias("theirs"), "part", "block", "fewest", "most")
+    meetings = asking.join(matrix, "token").where(
+        (F.col("own") < F.col("theirs")) & (F.col("n") * whole >= F.col("fewest") * part) & (F.col("most") * whole >= F.col("n") * part)
+    ).select("rep", "part", "block").distinct()
 
     # Step 4: bound by the union's bits, open, bound by the members' bits, compare.
     blocks = member.groupBy("part", "block").agg(F.collect_list(F.struct("rep", "n", "bits")).alias("members"))
