@@ -10,7 +10,7 @@ alike, and becomes the lowest level; two levels of equal size merge into one of
 
 The suffixes that matched are then resolved exactly.  An anchor speaks for the strings whose least run it is, which start in a
 range.  Where the whole stretch that the range covers occurs again, all of it is repeated.  Otherwise the stretches that share
-an anchor's run are compared string by string: small groups in one task each, large ones by a sum over the hashes of all their strings.
+an anchor's run are compared string by string, by counts of the hashes of all their strings.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from pulsegrid.session import discard, written
 
 #: Bits of a packed key that hold a place; a piece of text that is searched at once is shorter.
 PLACE = 22
-#: Stretches that share a run and are compared in one task.
-TOGETHER = 64
 #: Rows whose numbers are sent to the tasks that read texts; beyond it the texts are joined by a shuffle.
 SENT = 1 << 20
 
@@ -191,9 +189,9 @@ def spans(texts: DataFrame, length: int = 400, gram: int = 200, batches: int = 3
 
     # Stretches that differ although they share a run, where one of them occurs only once.
     group = variants.groupBy("run").agg(F.count("*").alias("n"), F.min("times").alias("fewest")).where("n > 1 and fewest = 1")
-    open_ = written(variants.join(group.select("run", "n"), "run").select(
-        "one.row", "one.low", "one.wide", "run", "n", (F.col("times") == 1).alias("single")), "open")
-    by_row = open_.groupBy("row").agg(F.collect_list(F.struct("low", "wide", "run", "n", "single")).alias("parts"))
+    open_ = written(variants.join(group.select("run"), "run").select(
+        "one.row", "one.low", "one.wide", (F.col("times") == 1).alias("single")), "open")
+    by_row = open_.groupBy("row").agg(F.collect_list(F.struct("low", "wide", "single")).alias("parts"))
 
     def strings(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -215,55 +213,19 @@ def spans(texts: DataFrame, length: int = 400, gram: int = 200, batches: int = 3
                     start = np.arange(n.sum()) + np.repeat(low[own] - origin - first, n)
                     h = hashes(sums, down, start, start + length).view(np.int64)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(own), batch.column("row")[i].as_py())), pa.array(low[own]), part.field("run").take(pa.array(own)),
-                        part.field("n").take(pa.array(own)), part.field("single").take(pa.array(own)),
+                        pa.array(np.full(len(own), batch.column("row")[i].as_py())), pa.array(low[own]), part.field("single").take(pa.array(own)),
                         pa.ListArray.from_arrays(pa.array(np.append(first, n.sum()).astype(np.int32)), pa.array(h))],
-                        names=["row", "low", "run", "n", "single", "strings"])
+                        names=["row", "low", "single", "strings"])
                     b = e
 
     some = written(_with_text(texts, by_row).mapInArrow(
-        strings, "row bigint, low bigint, run bigint, n bigint, single boolean, strings array<bigint>"), "strings")
-
-    def together(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "start", "end"]
-
-        def of(t: pa.Table) -> pa.RecordBatch:
-            run = np.repeat(t["run"].to_numpy(), n := t["strings"].combine_chunks().value_lengths().to_numpy())
-            h = t["strings"].combine_chunks().flatten().to_numpy()
-            key = mix(run.view(np.uint64) + h.view(np.uint64) * np.uint64(3))
-            _, to, count = np.unique(key, return_inverse=True, return_counts=True)
-            first = np.cumsum(n) - n
-            hit = (count[to] > 1) & np.repeat(t["single"].to_numpy(), n)
-            start = np.arange(len(h)) - np.repeat(first, n) + np.repeat(t["low"].to_numpy(), n)
-            row = np.repeat(t["row"].to_numpy(), n)
-            row, start = row[hit], start[hit]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-            begin = np.flatnonzero(new)
-            last = np.append(begin[1:], len(row))[:len(begin)] - 1
-            return pa.RecordBatch.from_arrays([pa.array(row[begin]), pa.array(start[begin]), pa.array(start[last] + length)], names=names)
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches_:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            t = pa.Table.from_batches(held)
-            run = t["run"].to_numpy()
-            cut = int(np.flatnonzero(np.append(True, run[1:] != run[:-1]))[-1])  # the last run may go on
-            if cut:
-                yield of(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-        if held:
-            yield of(pa.Table.from_batches(held))
+        strings, "row bigint, low bigint, single boolean, strings array<bigint>"), "strings")
 
-    small = (some.where(F.col("n") <= TOGETHER).repartition("run").sortWithinPartitions("run", "row", "low")
-             .select("row", "low", "run", "single", "strings").mapInArrow(together, "row bigint, start bigint, end bigint"))
-    each = some.where(F.col("n") > TOGETHER).select("row", "low", "single", F.posexplode("strings").alias("i", "string"))
+    each = some.select("row", "low", "single", F.posexplode("strings").alias("i", "string"))
     again = each.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string")
-    large = each.where("single").join(again, "string").select(
+    partly = each.where("single").join(again, "string").select(
         "row", (F.col("low") + F.col("i")).alias("start"), (F.col("low") + F.col("i") + length).alias("end"))
-    found = sure.unionAll(small).unionAll(large)
+    found = sure.unionAll(partly)
     out = written(found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     discard(index, matched, variants, open_, some)
     return out
