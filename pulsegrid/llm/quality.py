@@ -66,7 +66,7 @@ def train(text: np.ndarray, bin: np.ndarray, value: np.ndarray, grade: np.ndarra
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, id: str = "doc_id", text: str = "text", use: Column | None = None,
-        train_rows: int = 8000, bins: int = 1 << 18) -> Model:
+        train_rows: int = 5000, bins: int = 1 << 18) -> Model:
     """A model from about ``train_rows`` rated documents, as many of each grade or all there are; rows that ``use`` excludes are not learned from.
 
     Whole-number grades that are found there make the levels.  With one grade or none nothing is learned: that grade (0 for none) is

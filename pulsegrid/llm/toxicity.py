@@ -70,7 +70,7 @@ def train(words: dict[str, np.ndarray], toxic: np.ndarray, stands_for: np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic",
-        use: Column | None = None, train_rows: int = 8000) -> Model:
+        use: Column | None = None, train_rows: int = 3000) -> Model:
     """A model from about ``train_rows`` labelled documents, half of each label or all there are; rows that ``use`` excludes are not learned from.
 
     Without a toxic and a clean document nothing is learned, and every text scores near 0.
@@ -82,12 +82,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             found = sentence_words(batch.column("__text"))
             term_at = np.searchsorted(found["owner"][found["sentence"]], np.arange(batch.num_rows + 1))
             spans = list(zip(term_at[:-1], term_at[1:]))
-            parts = {k: [found[k][b:e].astype(np.int64) for b, e in spans] for k in ("term", "sentence")}
+            parts = {k: [found[k][b:e].astype(t) for b, e in spans] for k, t in (("term", np.int64), ("sentence", np.int32))}
             yield pa.RecordBatch.from_pydict({
                 "key": batch.column("__key").cast(pa.int64()), "label": batch.column("__label"), "weight": batch.column("__weight"),
-                **{k: pa.array(v, pa.list_(pa.int64())) for k, v in parts.items()}})
+                "term": pa.array(parts["term"], pa.list_(pa.int64())), "sentence": pa.array(parts["sentence"], pa.list_(pa.int32()))})
 
-    got = some.mapInArrow(read, "key bigint, label int, weight double, term array<bigint>, sentence array<bigint>").toArrow()
+    got = some.mapInArrow(read, "key bigint, label int, weight double, term array<bigint>, sentence array<int>").toArrow()
     got = got.sort_by("key").combine_chunks()
     toxic = got["label"].to_numpy().astype(bool) if got.num_rows else np.zeros(0, bool)
     if not toxic.any() or toxic.all():
@@ -98,7 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     new = np.ones(len(term), bool)
     new[1:] = (text_of[1:] != text_of[:-1]) | (inner[1:] != inner[:-1])
     words = {"term": term.view(np.uint64), "sentence": np.cumsum(new) - 1, "owner": text_of[new]}
-    return train(words, toxic, got["weight"].to_numpy())
+    weight = got["weight"].to_numpy()
+    del got, term, inner
+    return train(words, toxic, weight)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
