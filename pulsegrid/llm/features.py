@@ -113,7 +113,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: Colu
     chosen = (marked.where(F.pmod(F.xxhash64("__key", F.lit(11)), F.lit(bits)) < share * bits)
               .groupBy("__key").agg(F.min("__label").alias("__label")).limit(2 * most))
     return (docs.select(F.col(f"`{id}`").alias("__key"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(chosen), "__key")
-            .select("__key", "__text", "__label", (1 / share).alias("__weight")).limit(2 * most))
+            .select("__key", "__text", "__label", F.when(share > 0, 1 / share).alias("__weight")).limit(2 * most))
 
 
 class Adam:

@@ -165,7 +165,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", size: int
             x, owner, own = windows(data, at, size)
             logs = net.probabilities(x, tables) * own[:, None]
             total = np.stack([np.bincount(owner, logs[:, c], n) for c in range(len(net.languages))], axis=1)
-            total /= np.maximum(np.diff(at), 1)[:, None]
+            total = total / np.maximum(np.diff(at), 1)[:, None]
             p = np.exp(total - total.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             best = p.argmax(1)

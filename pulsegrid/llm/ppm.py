@@ -256,14 +256,14 @@ def _pass(sent, mine: np.ndarray, first: bool, ends: int):
                 place = table.find(span_hashes(data, starts, stops))
                 owner = np.repeat(np.arange(n), np.diff(begin))
                 known = np.bincount(owner, place >= 0, n).astype(np.int64)
-                logs = np.bincount(owner, log[place], n)
+                logs = np.bincount(owner, log[place], n).astype(float)
             if trie is not None:
                 keys, head = byte_runs(data, at)
                 owner = np.repeat(np.arange(n), np.diff(head))
                 if not mine.all():
                     own = mine[((keys >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]
                     keys, owner = keys[own], owner[own]
-                score = np.bincount(owner, trie.log10(keys), n)
+                score = np.bincount(owner, trie.log10(keys), n).astype(float)
             tokens = np.zeros(n, np.int64)
             if first:
                 tokens = np.diff(begin) + 1
