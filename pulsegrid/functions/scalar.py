@@ -30,7 +30,9 @@ def log_normalize(value: Column, offset: float = 1.0) -> Column:
 
 
 def local_time(ts: Column, zone: str = "UTC") -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz")) if zone != "UTC" else ts
+    """Wall clock of a zone at an instant, whatever the zone of the session."""
+    utc = F.timestamp_add("MICROSECOND", micros(ts), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc) if zone != "UTC" else utc
 
 
 def temporal_context(ts: Column, business_hours: tuple[int, int] = (8, 18),
@@ -57,7 +59,11 @@ def threshold_multiplier(ts: Column, business_hours: tuple[int, int] = (8, 18),
 
 def severity(score: Column, duration_minutes: Column | None = None, metric_type: Column | None = None,
              correlated: Column | None = None) -> Column:
-    """Severity 0..4 of a score in [0, 1], raised by duration, metric type and correlation."""
+    """Severity 0..4 of a score in [0, 1], raised by duration, metric type and correlation.
+
+    A missing or NaN score has the lowest grade.
+    """
+    score = F.nanvl(score.cast("double"), F.lit(0.0))
     level = (F.when(score >= 0.9, 4).when(score >= 0.7, 3)
              .when(score >= 0.5, 2).when(score >= 0.3, 1).otherwise(0))
     if duration_minutes is not None:
@@ -100,7 +106,7 @@ def minutes_between(start: Column, end: Column) -> Column:
 
 def iso_time(ts: Column, zone: str = "UTC") -> Column:
     """ISO-8601 date and time in a zone, to the second."""
-    return F.date_format(local_time(ts, zone), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.translate(F.substring(local_time(ts, zone).cast("string"), 1, 19), " ", "T")
 
 
 def trend_direction(slope: Column) -> Column:

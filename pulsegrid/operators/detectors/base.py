@@ -18,11 +18,15 @@ from pulsegrid.schema import ROW_KEY
 SCORE_COLUMNS = [*ROW_KEY, "value", "detector", "score", "is_anomaly"]
 
 
+def defined(score: Column) -> Column:
+    """The score, or 0 if it is missing or NaN, which Spark would order above every number."""
+    return F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0))
+
+
 def scored(rows: DataFrame, name: str, score: Column, flag: Column) -> DataFrame:
-    """Score rows; a missing score is 0 and is never an anomaly."""
-    return rows.select(*ROW_KEY, "value", F.lit(name).alias("detector"),
-                       F.coalesce(score, F.lit(0.0)).alias("score"),
-                       F.coalesce(flag, F.lit(False)).alias("is_anomaly"))
+    """Score rows; a missing or undefined score is 0 and is never an anomaly."""
+    return rows.select(*ROW_KEY, "value", F.lit(name).alias("detector"), defined(score).alias("score"),
+                       F.coalesce(flag & ~F.isnan(score), F.lit(False)).alias("is_anomaly"))
 
 
 class Detector:
@@ -47,6 +51,9 @@ class RowDetector(Detector):
     shuffle of the rows.
     """
 
+    #: Scores grow away from the centre, so the extreme values of a series have its largest score.
+    outward = False
+
     def score(self, value: Column, params: Callable[[str], Column]) -> Column:
         """Score of a value; ``params(x)`` is the fitted column ``x``."""
         raise NotImplementedError
@@ -60,7 +67,7 @@ class RowDetector(Detector):
         fitted = params.select("series_id", F.struct(
             *[c for c in params.columns if c != "series_id"]).alias("_p"))
         joined = join_stats(rows, fitted)
-        s = F.coalesce(self.score(F.col("value"), lambda x: F.col(f"_p.{x}")), F.lit(0.0))
+        s = defined(self.score(F.col("value"), lambda x: F.col(f"_p.{x}")))
         return scored(joined.withColumn("_s", s), self.name, F.col("_s"), self.flag(F.col("_s")))
 
 

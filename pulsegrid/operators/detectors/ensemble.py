@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.operators.detectors.base import Detector, RowDetector
+from pulsegrid.operators.detectors.base import Detector, RowDetector, defined
 from pulsegrid.operators.stats import join_stats
 from pulsegrid.schema import ROW_KEY, safe_div
 
@@ -69,8 +69,9 @@ class Ensemble(Detector):
         if other:
             wide = wide.join(self._pivoted(rows, other), ROW_KEY, "left")
         wide = self._by_row(wide, rows, byrow) if byrow else wide
-        if other:
-            peaks = wide.groupBy("series_id").agg(*[F.max(f"s{i}").alias(f"top{i}") for i, _, _ in other])
+        measured = [i for i, _, _ in other] + [i for i, d, _ in byrow if not d.outward]
+        if measured:
+            peaks = wide.groupBy("series_id").agg(*[F.max(f"s{i}").alias(f"top{i}") for i in measured])
             wide = join_stats(wide, peaks)
         return self._combined(wide, keep)
 
@@ -81,12 +82,11 @@ class Ensemble(Detector):
             fitted = fitted.join(p.select("series_id", F.struct(*fields).alias(f"p{i}")), "series_id", "left")
 
         def score(i: int, d: RowDetector, v: Column) -> Column:
-            return F.coalesce(d.score(v, lambda x: F.col(f"p{i}.{x}")), F.lit(0.0))
+            return defined(d.score(v, lambda x: F.col(f"p{i}.{x}")))
 
-        # scores grow away from the centre, so the extremes of the series give the largest
         fitted = fitted.withColumns({
             f"top{i}": F.greatest(score(i, d, F.col("vmin")), score(i, d, F.col("vmax")))
-            for i, d, _ in byrow}).drop("vmin", "vmax")
+            for i, d, _ in byrow if d.outward}).drop("vmin", "vmax")
         wide = join_stats(wide, fitted).withColumns({f"s{i}": score(i, d, F.col("value")) for i, d, _ in byrow})
         wide = wide.withColumns({f"f{i}": F.coalesce(d.flag(F.col(f"s{i}")), F.lit(False)) for i, d, _ in byrow})
         return wide.drop(*[f"p{i}" for i, _, _ in byrow])
@@ -105,7 +105,7 @@ class Ensemble(Detector):
         share, votes, weighted = F.lit(0.0), F.lit(0), F.lit(0.0)
         for i, d in enumerate(self.detectors):
             w, s, top = self.weight(d), F.col(f"s{i}"), F.col(f"top{i}")
-            share = share + w * F.when(top > 0, safe_div(s, top)).otherwise(s)
+            share = share + w * defined(F.when(top > 0, safe_div(s, top)).otherwise(s))
             votes = votes + F.col(f"f{i}").cast("int")
             weighted = weighted + w * F.col(f"f{i}").cast("int")
         score = share / F.lit(total) if total > 0 else share

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.distributions import t_quantile
-from pulsegrid.operators.detectors.base import Detector, RowDetector, scored
+from pulsegrid.operators.detectors.base import Detector, RowDetector, defined, scored
 from pulsegrid.operators.ordering import DEFAULT, Layout, framed, smallest_per_series, with_index
 from pulsegrid.operators.seasonal import seasonal_decompose
 from pulsegrid.operators.stats import guarded, join_stats, moments, quantiles
@@ -21,6 +21,7 @@ class ZScore(RowDetector):
     """|value - mean| / sd above a threshold, over the fitted rows."""
 
     name = "zscore"
+    outward = True
 
     def __init__(self, threshold: float = 3.0):
         self.threshold = threshold
@@ -63,7 +64,7 @@ class SlidingZScore(Detector):
         near = join_stats(near, stats)
         local = F.when(F.col("_c") > 1, F.abs(safe_div(v - F.col("_m"), F.col("_s"))))
         score = F.when(F.col("_rows") > w, local).otherwise(self.overall.score(v, F.col))
-        near = near.withColumn("_z", F.coalesce(score, F.lit(0.0)))
+        near = near.withColumn("_z", defined(score))
         return scored(near, self.name, F.col("_z"), self.overall.flag(F.col("_z")))
 
 
@@ -71,6 +72,7 @@ class Iqr(RowDetector):
     """Distance outside the quartile fences, in interquartile ranges."""
 
     name = "iqr"
+    outward = True
 
     def __init__(self, factor: float = 1.5):
         self.factor = factor

@@ -57,7 +57,7 @@ def with_cells(rows: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     })
     if planned_bytes(rows) <= layout.check_above_bytes:
         return rows
-    for _ in range(5):
+    while True:
         t = micros(F.col("ts"))
         hot = written(
             rows.groupBy(*CELL)

@@ -21,7 +21,8 @@ def outliers_iqr(rows: DataFrame, factor: float = 1.5) -> DataFrame:
     q = quantiles(rows, {"_q1": 0.25, "_q3": 0.75}).withColumnRenamed("n", "_n")
     v, q1, q3 = F.col("value"), F.col("_q1"), F.col("_q3")
     reach = factor * (q3 - q1)
-    return _flag(join_stats(rows, q), (F.col("_n") >= 4) & ((v < q1 - reach) | (v > q3 + reach)),
+    fences = (F.col("_n") >= 4) & ~F.isnan(reach)
+    return _flag(join_stats(rows, q), fences & ((v < q1 - reach) | (v > q3 + reach)),
                  "_n", "_q1", "_q3")
 
 
@@ -30,7 +31,7 @@ def outliers_zscore(rows: DataFrame, threshold: float = 3.0) -> DataFrame:
     m = moments(rows).select("series_id", F.col("n").alias("_n"), F.col("mean").alias("_m"),
                              F.col("sd").alias("_s"))
     z = F.abs(safe_div(F.col("value") - F.col("_m"), F.col("_s")))
-    return _flag(join_stats(rows, m), (F.col("_n") >= 2) & (z > threshold), "_n", "_m", "_s")
+    return _flag(join_stats(rows, m), (F.col("_n") >= 2) & ~F.isnan(z) & (z > threshold), "_n", "_m", "_s")
 
 
 def outliers_modified_zscore(rows: DataFrame, threshold: float = 3.5) -> DataFrame:
@@ -38,7 +39,7 @@ def outliers_modified_zscore(rows: DataFrame, threshold: float = 3.5) -> DataFra
     m = mad(rows).select("series_id", F.col("n").alias("_n"), F.col("median").alias("_m"),
                          F.col("mad").alias("_s"))
     z = F.abs(safe_div(0.6745 * (F.col("value") - F.col("_m")), F.col("_s")))
-    return _flag(join_stats(rows, m), (F.col("_n") >= 2) & (z > threshold), "_n", "_m", "_s")
+    return _flag(join_stats(rows, m), (F.col("_n") >= 2) & ~F.isnan(z) & (z > threshold), "_n", "_m", "_s")
 
 
 def mark_outliers(rows: DataFrame, method: str = "iqr", **options) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -64,7 +65,7 @@ def work_dir(spark: SparkSession) -> str:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="pulsegrid-")
     if not spark.sparkContext.getCheckpointDir():
@@ -105,6 +106,12 @@ def _sources(df: DataFrame) -> list[int]:
     return [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
 
 
+def _multiplies(df: DataFrame) -> bool:
+    """Whether the plan makes rows of its own, so that the bytes it reads say nothing about its size."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return re.search(r"\b(Generate|Expand|Range) ", plan) is not None
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Bytes the plan reads."""
     return sum(_sources(df))
@@ -118,11 +125,11 @@ def broadcast_limit(spark: SparkSession) -> int:
 def sized(df: DataFrame, label: str = "params") -> DataFrame:
     """A small-side table whose size the planner can trust.
 
-    Left lazy when the whole input is smaller than a broadcast anyway.  Otherwise
-    written once, so the join that follows is a broadcast if the true size
-    allows it and a skew-aware shuffle join if not.
+    Left lazy when the whole input is smaller than a broadcast anyway and the plan
+    makes no further rows.  Otherwise written once, so the join that follows is a
+    broadcast if the true size allows it and a skew-aware shuffle join if not.
     """
-    if planned_bytes(df) <= broadcast_limit(df.sparkSession):
+    if planned_bytes(df) <= broadcast_limit(df.sparkSession) and not _multiplies(df):
         return df
     return written(df, label)
 
@@ -136,5 +143,5 @@ SHARE_ABOVE_READS = 3
 def shared(df: DataFrame, label: str = "shared") -> DataFrame:
     """A table that several branches of one job read; written once if it is expensive."""
     reads = _sources(df)
-    cheap = sum(reads) <= SHARE_ABOVE_BYTES and len(reads) <= SHARE_ABOVE_READS
+    cheap = sum(reads) <= SHARE_ABOVE_BYTES and len(reads) <= SHARE_ABOVE_READS and not _multiplies(df)
     return df if cheap else written(df, label)

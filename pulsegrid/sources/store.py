@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from pulsegrid.functions.scalar import local_time
 from pulsegrid.operators.ordering import last_per_series
 from pulsegrid.schema import from_seconds, null_if_nan
+from pulsegrid.sources.text import number
 
-_PAYLOAD = "array<struct<name:string,value:double,timestamp:double,labels:map<string,string>>>"
+_PAYLOAD = "array<struct<name:string,value:string,timestamp:string,labels:map<string,string>>>"
 
 
 def parse_payloads(payloads: DataFrame, column: str = "value", received: Column | None = None) -> DataFrame:
-    """Metric rows from JSON texts, each one object or a list; entries need a name and a value."""
+    """Metric rows from JSON texts, each one object or a list; entries need a name and a value, as a number or as text."""
     rows = payloads.select(F.explode(F.from_json(F.col(column), _PAYLOAD)).alias("e"))
     now = received if received is not None else F.current_timestamp()
-    return rows.filter((F.col("e.name") != "") & F.col("e.value").isNotNull()).select(
-        F.col("e.name").alias("name"), null_if_nan(F.col("e.value")).alias("value"),
-        F.coalesce(from_seconds(F.col("e.timestamp")), now).alias("ts"),
+    value, at = number(F.col("e.value")), number(F.col("e.timestamp"))
+    return rows.filter((F.col("e.name") != "") & value.isNotNull()).select(
+        F.col("e.name").alias("name"), null_if_nan(value).alias("value"),
+        F.coalesce(from_seconds(null_if_nan(at)), now).alias("ts"),
         F.coalesce("e.labels", F.create_map().cast("map<string,string>")).alias("labels"),
         F.lit("unknown").alias("source"), F.lit("").alias("unit"))
 
@@ -25,7 +28,7 @@ def append(metrics: DataFrame, path: str) -> int:
     """Append to the store; returns how many rows were written."""
     seen = Observation()
     (metrics.observe(seen, F.count("*").alias("ingested"))
-     .withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path))
+     .withColumn("day", local_time(F.col("ts")).cast("date")).write.mode("append").partitionBy("day").parquet(path))
     return int(seen.get["ingested"])
 
 

@@ -30,7 +30,7 @@ class AlertRules:
     escalation_minutes: float = 30.0
     #: Repeat an escalation this often; None raises an alert once.
     escalate_every_minutes: float | None = None
-    #: Forget a fingerprint this long after its last fire.
+    #: Forget a fingerprint without an open alert this long after its last event.
     idle_hours: float = 24.0
 
 
@@ -93,6 +93,14 @@ def alert_stream(events: DataFrame, watermark: str = "10 minutes", rules: AlertR
     every = int(rules.escalate_every_minutes * 60e6) if rules.escalate_every_minutes else None
     idle = int(rules.idle_hours * 3600e6)
 
+    def forgotten(a: _Alert) -> int | None:
+        """When nothing of the fingerprint matters any more; an open alert always does."""
+        return None if a.open else max(a.last + idle, a.muted_until)
+
+    def over(a: _Alert, at: int) -> bool:
+        end = forgotten(a)
+        return end is not None and at >= end
+
     def due(a: _Alert) -> int | None:
         """When the next escalation of the alert is due."""
         if not a.open or a.state != "firing" or a.severity >= 4 or (a.raised and every is None):
@@ -109,13 +117,13 @@ def alert_stream(events: DataFrame, watermark: str = "10 minutes", rules: AlertR
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fp, now, out = key[0], state.getCurrentWatermarkMs() * 1000, []
         a = _Alert(*state.get) if state.exists else _Alert()
-        if state.hasTimedOut and now >= max(a.last + idle, a.muted_until):
+        if state.hasTimedOut and over(a, now):
             state.remove()
             return
         if not state.hasTimedOut:
             for e in pd.concat(batches).sort_values(["us", "seq"]).itertuples(index=False):
                 raise_until(a, e.us, fp, out)
-                if e.us >= max(a.last + idle, a.muted_until):
+                if over(a, e.us):
                     a = _Alert()
                 what = _apply(a, e, fp, rules)
                 if what:
@@ -123,8 +131,9 @@ def alert_stream(events: DataFrame, watermark: str = "10 minutes", rules: AlertR
         raise_until(a, now, fp, out)
         state.update((a.open, a.id, a.metric_name, a.first, a.last, a.count, a.severity, a.state,
                       a.value, a.score, a.muted_until, a.raised))
-        wake = min(x for x in (due(a), max(a.last + idle, a.muted_until)) if x is not None)
-        state.setTimeoutTimestamp(int(max(wake, now + 1000) // 1000 + 1))
+        wake = [x for x in (due(a), forgotten(a)) if x is not None]
+        if wake:
+            state.setTimeoutTimestamp(int(max(min(wake), now + 1000) // 1000 + 1))
         if out:
             yield pd.DataFrame(out, columns=["fingerprint", "ts", "seq", "change", "id", "metric_name", "severity",
                                              "state", "first_seen", "last_seen", "count", "value", "score"])

@@ -374,3 +374,35 @@ def test_fitted_tables_can_be_stored(spark, series, spiky, tmp_path):
     Iqr().fit(series(spiky)).write.parquet(path)
     got = Iqr().detect(series([0.0, 50.0]), spark.read.parquet(path))
     assert flags(got).tolist() == [0]
+
+
+def test_one_infinite_value_flags_no_series(series):
+    from pulsegrid.operators.outliers import mark_outliers
+    from pulsegrid.plans.detection import DetectionConfig, detect
+
+    rows = series([np.inf if i == 50 else i % 7 for i in range(100)])
+    for d, hits in ((ZScore(), 0), (SlidingZScore(10), 0), (Iqr(), 1), (SeasonalResidual(7), 0)):
+        got = d.fit_detect(rows)
+        assert got.filter("is_anomaly").count() == hits and got.filter("isnan(score)").isEmpty()
+    assert [mark_outliers(rows, m).filter("is_outlier").count() for m in ("iqr", "zscore", "modified_zscore")] == [1, 0, 1]
+    found = detect(rows, DetectionConfig(strategy="any", preprocess=None)).collect()
+    assert [(r.seq, r.severity) for r in found] == [(50, 0)]
+
+
+def test_scores_that_do_not_grow_outwards_are_scaled_by_their_own_largest(spark, series):
+    from pulsegrid.operators.detectors.base import RowDetector
+
+    class Near(RowDetector):
+        name = "near"
+
+        def fit(self, rows):
+            return rows.groupBy("series_id").agg(F.lit(5.0).alias("at"))
+
+        def score(self, value, params):
+            return 1 / (1 + F.abs(value - params("at")))
+
+        def flag(self, score):
+            return score > 0.9
+
+    rows = series([1, 5, 9])
+    assert score(Ensemble([Near()]).fit_detect(rows)) == pytest.approx([0.2, 1.0, 0.2])

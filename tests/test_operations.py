@@ -335,3 +335,29 @@ def test_alerts_from_anomalies(spark, series, spiky, win):
     found = dt.detect(series({"cpu": spiky}), dt.DetectionConfig(preprocess=None))
     all_, fewer = dt.alerts_for(found).count(), dt.alerts_for(found, win.filter("id = 'w1'").withColumn("end_ts", at(6500))).count()
     assert 0 < fewer < all_
+
+
+def test_hours_do_not_follow_the_session_zone(spark):
+    from pulsegrid.functions.scalar import iso_time, temporal_context
+
+    rows = spark.sql("select timestamp'2024-01-15 12:00:00Z' ts union all select timestamp'2024-07-15 23:30:00Z'").cache()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [tuple(r) for z in ("UTC", "Europe/Berlin") for r in rows.orderBy("ts").select(
+            temporal_context(F.col("ts"), zone=z)["hour"], temporal_context(F.col("ts"), zone=z)["day_of_week"],
+            iso_time(F.col("ts"), z)).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [(12, 0, "2024-01-15T12:00:00"), (23, 0, "2024-07-15T23:30:00"),
+                   (13, 0, "2024-01-15T13:00:00"), (1, 1, "2024-07-16T01:30:00")]
+
+
+def test_windows_of_years_make_two_buckets(spark):
+    from pulsegrid.operators import maintenance as mt
+
+    w = spark.sql("""select 'w' id, timestamp'1970-01-01 00:00:00Z' start_ts, timestamp'2023-01-01 00:00:00Z' end_ts, array('s') targets
+                     union all select 'v', timestamp'1970-01-01 00:10:00Z', timestamp'1970-01-01 00:20:00Z', array('*')""")
+    assert mt._bucketed(w).count() <= 4
+    rows = spark.range(100).select(F.lit("s").alias("series_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").alias("seq"))
+    assert (mt.suppressed(rows, w).count(), mt.not_suppressed(rows, w).count(), mt.suppressing(rows, w).count()) == (100, 0, 111)
+    assert mt.not_suppressed(rows, w.filter("false")).count() == 100 and mt.suppressed(rows, w.filter("false")).isEmpty()

@@ -197,3 +197,33 @@ def test_outbox(spark):
     sent = []
     ob.on_each_batch(lambda df: sent.append(df.count()), channels=("webhook",))(alerts, 0)
     assert sent == [1]
+
+
+def test_csv_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,value,timestamp,host\nm,1,10,"say ""hi"", ok"\n')
+    (tmp_path / "b.csv").write_text("host,name,value,timestamp\nh2,m2,2,20\n")
+    rows = {r.name: r for r in files.read_csv(spark, str(tmp_path)).collect()}
+    assert {n: (r.value, r.ts.timestamp()) for n, r in rows.items()} == {"m": (1, 10), "m2": (2, 20)}
+    assert rows["m"].labels == {"host": 'say "hi", ok'} and rows["m2"].labels == {"host": "h2"}
+
+
+def test_csv_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,value,host\nm,1,"one\ntwo"\n')
+    assert files.read_csv(spark, str(tmp_path / "a.csv"), multiline=True).first().labels == {"host": "one\ntwo"}
+
+
+def test_json_documents_that_cannot_be_used(spark, tmp_path):
+    (tmp_path / "good.json").write_text('\n [{"name": "a", "value": 1}]')
+    (tmp_path / "none.json").write_text('{"name": "a", "value": 1}')
+    assert files.read_json(spark, str(tmp_path), received=received()).count() == 1
+    (tmp_path / "cut.json").write_text('[{"name": "a", "value": 1')
+    (tmp_path / "text.json").write_text('"text"')
+    bad = files.read_json(spark, str(tmp_path), rejects=True).collect()
+    assert sorted(r.file.rsplit("/", 1)[1] for r in bad) == ["cut.json", "text.json"]
+    with pytest.raises(Exception, match="cut.json|text.json"):
+        files.read_json(spark, str(tmp_path)).count()
+
+
+def test_payload_values_as_text(spark):
+    got = store.parse_payloads(lines(spark, '{"name": "a", "value": "3", "timestamp": "7"}'), received=received()).first()
+    assert (got.value, got.ts.timestamp()) == (3.0, 7)

@@ -246,6 +246,15 @@ def scores(source: str, score: str, is_anomaly: str, digits: int = 6, seq: str =
 ZS = "abs(value - mean) / sd"
 IQ = "greatest((q1 - 1.5 * (q3 - q1) - value) / (q3 - q1), (value - q3 - 1.5 * (q3 - q1)) / (q3 - q1), 0)"
 ORACLE["detect_zscore"] = f"WITH {Q} " + scores(E, ZS, f"{ZS} > 3", seq="event_id")
+ODD = """ev AS (SELECT event_type AS series_id, event_id AS seq, event_type IN ('click', 'error') AND event_id % 97 = 0 AS odd, value FROM events),
+has AS (SELECT series_id, bool_or(odd) AS odd_series, avg(value) AS mean, stddev_pop(value) AS sd FROM ev GROUP BY 1),
+iv AS (SELECT series_id, seq, CASE WHEN odd THEN 'inf'::DOUBLE ELSE value END AS value, odd FROM ev),
+iq AS (SELECT series_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM iv GROUP BY 1),
+zs AS (SELECT series_id, seq, CASE WHEN odd_series THEN 0 ELSE abs(value - mean) / sd END AS z FROM iv JOIN has USING (series_id))"""
+ORACLE["detect_infinite"] = f"""WITH {ODD}
+SELECT series_id, seq, 'zscore' AS detector, {rnd('z', 'score')}, CAST(z > 3 AS INTEGER) AS is_anomaly FROM zs
+UNION ALL SELECT series_id, seq, 'mask', NULL, CAST(z > 3 AS INTEGER) FROM zs
+UNION ALL SELECT series_id, seq, 'iqr', CASE WHEN NOT odd THEN {rnd(IQ, 'x').removesuffix(' AS x')} END, CAST({IQR_OUT} AS INTEGER) FROM iv JOIN iq USING (series_id)"""
 ORACLE["detect_iqr"] = f"WITH {Q} " + scores(E, IQ, IQR_OUT, seq="event_id")
 SW = f"""{M},
 w AS (SELECT *, count(value) OVER f AS c, avg(value) OVER f AS wm, stddev_pop(value) OVER f AS ws FROM m
@@ -435,6 +444,15 @@ SELECT event_id AS seq, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 A
        CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend,
        CAST(hour(ts) >= 8 AND hour(ts) < 18 AND isodow(ts) < 6 AS INTEGER) AS is_business_hours,
        CAST({MULT} AS DOUBLE) AS multiplier FROM events"""
+# summer time from the last Sunday of March to that of October, at 01:00 UTC
+ORACLE["temporal_context_zone"] = f"""
+WITH y AS (SELECT event_id AS seq, ts, make_date(year(ts), 3, 31) AS m3, make_date(year(ts), 10, 31) AS m10 FROM events),
+z AS (SELECT seq, ts, m3 - CAST(isodow(m3) % 7 AS INTEGER) + INTERVAL 1 HOUR AS a, m10 - CAST(isodow(m10) % 7 AS INTEGER) + INTERVAL 1 HOUR AS b FROM y),
+t AS (SELECT seq, ts + CASE WHEN ts >= a AND ts < b THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS ts FROM z)
+SELECT seq, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,
+       CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend,
+       CAST(hour(ts) >= 8 AND hour(ts) < 18 AND isodow(ts) < 6 AS INTEGER) AS is_business_hours,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S') AS local FROM t"""
 ORACLE["severity_matrix"] = f"""
 WITH a AS (SELECT event_id, user_id AS mins, event_type IN ('error', 'click') AS crit, event_id % 2 = 0 AS corr,
                   {grade('(value / 200)')} AS s FROM events),
@@ -561,7 +579,7 @@ CMDS = lifecycle(f"{CMD}, {PLAIN}", True)
 ORACLE["alert_history"] = f"""WITH {CMDS}
 SELECT id, count, {rnd('(last_us - first_us) / 6e7', 'duration_minutes')} FROM alerts WHERE state = 'resolved'"""
 ORACLE["stream_alerts"] = f"WITH {FULL} {ALERTS} FROM alerts"
-ORACLE["alert_escalated"] = f"""WITH {lifecycle(f"{FIRE}, f AS (SELECT *, false AS muted FROM fire WHERE value < 150)", False, 2_400_000_000)},
+ORACLE["alert_escalated"] = f"""WITH {lifecycle(f"{FIRE}, f AS (SELECT *, false AS muted FROM fire)", False, 2_400_000_000)},
 ticks AS (SELECT DISTINCT epoch_us(date_trunc('day', ts)) AS t FROM events)
 SELECT id, CAST(CASE WHEN cur AND state = 'firing'
                      THEN least(4, severity + (SELECT count(*) FROM ticks WHERE t > first_us + 1800000000)) ELSE severity END AS INTEGER) AS severity
@@ -593,6 +611,12 @@ hits AS (SELECT DISTINCT lab.series_id, seq, id FROM lab JOIN tg ON us BETWEEN s
 ORACLE["maintenance_suppressed"] = f"WITH {HITS} SELECT DISTINCT series_id, seq FROM hits"
 ORACLE["maintenance_survivors"] = f"WITH {HITS} SELECT series_id, seq FROM lab WHERE seq NOT IN (SELECT seq FROM hits)"
 ORACLE["maintenance_matches"] = f"WITH {HITS} SELECT seq, id AS window_id FROM hits"
+ORACLE["maintenance_long_windows"] = f"""WITH {WIN},
+lw AS (SELECT CAST(id AS BIGINT) AS id, e, targets,
+              s - 1000000 * CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN CAST(id AS BIGINT) % 40 * 31536000
+                                                        WHEN 1 THEN CAST(id AS BIGINT) % 50 * 86400 ELSE 0 END AS s FROM win)
+SELECT event_id AS seq, count(*) AS windows, min(id) AS first_window
+FROM events JOIN lw ON epoch_us(ts) BETWEEN s AND e AND len(list_filter(targets, lambda t: contains(event_type, t))) > 0 GROUP BY 1"""
 ORACLE["maintenance_due"] = f"""WITH {WIN}
 SELECT id, name FROM win WHERE recal AND {NOW} > e AND {NOW} >= e + 900000000 AND seg <> 'BUILDING'"""
 ORACLE["maintenance_listing"] = f"""WITH {WIN}
@@ -643,6 +667,8 @@ ORACLE["stream_counters"] = f"WITH {SNMP} SELECT name, seq, {rnd('v', 'value', 1
 ORACLE["csv_roundtrip"] = f"""
 SELECT event_type AS name, {rnd('value', 'value')}, epoch_us(ts) AS us, CAST(user_id AS VARCHAR) AS user_label, event_id AS seq,
        CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS band, 'prod' AS env FROM events WHERE value >= 5"""
+ORACLE["csv_mixed_headers"] = f"""
+SELECT event_type AS name, {rnd('value', 'value')}, epoch_us(ts) AS us, 'say "' || user_id || '", ok' AS note, event_id AS seq FROM events"""
 ORACLE["json_roundtrip"] = f"""
 SELECT event_type AS name, {rnd('value', 'value')}, epoch_us(ts) AS us, CAST(user_id AS VARCHAR) AS user_label, event_id AS seq,
        'prod' AS env FROM events WHERE value >= 5"""

@@ -312,6 +312,20 @@ def detect_zscore_window(spark, d):
     return scores_out(SlidingZScore(50).fit_detect(tb.events(spark, d)))
 
 
+@query
+def detect_infinite(spark, d):
+    """Two of the series hold infinite values: their deviations are undefined and flag nothing, their fences still work."""
+    odd = F.col("series_id").isin("click", "error") & (F.col("seq") % 97 == 0)
+    rows = tb.events(spark, d).withColumn("value", F.when(odd, F.lit(float("inf"))).otherwise(F.col("value")))
+    finite = F.when(F.abs("score") < float("inf"), F.col("score"))
+    parts = [x.fit_detect(rows).select("series_id", "seq", "detector", r(finite, 6, "score"), flag("is_anomaly"))
+             for x in (ZScore(), Iqr())]
+    marked = ot.outliers_zscore(rows).select(
+        "series_id", "seq", F.lit("mask").alias("detector"), F.lit(None).cast("double").alias("score"),
+        F.col("is_outlier").cast("int").alias("is_anomaly"))
+    return parts[0].unionByName(parts[1]).unionByName(marked)
+
+
 @query
 def detect_iqr(spark, d):
     return scores_out(Iqr().fit_detect(tb.events(spark, d)))
@@ -489,6 +503,13 @@ def temporal_context(spark, d):
                     sc.threshold_multiplier(F.col("ts")).alias("multiplier"))
 
 
+@query
+def temporal_context_zone(spark, d):
+    e = cx.with_temporal_context(tb.events(spark, d), zone="Europe/Berlin")
+    return e.select("seq", "hour", "day_of_week", flag("is_weekend"), flag("is_business_hours"),
+                    sc.iso_time(F.col("ts"), "Europe/Berlin").alias("local"))
+
+
 @query
 def severity_matrix(spark, d):
     """Severity over every combination of score, duration, type and correlation the events give."""
@@ -602,7 +623,7 @@ def alert_history(spark, d):
 
 @query
 def alert_escalated(spark, d):
-    runs_ = al.episodes(tb.fires(spark, d).filter("value < 150"), dedup_seconds=2400.0)
+    runs_ = al.episodes(tb.fires(spark, d), dedup_seconds=2400.0)
     return al.escalate(runs_, tb.ticks(spark, d)).select("id", "severity")
 
 
@@ -651,6 +672,17 @@ def maintenance_matches(spark, d):
     return mt.suppressing(_labelled(spark, d), tb.windows(spark, d), labels="labels").select("seq", "window_id")
 
 
+@query
+def maintenance_long_windows(spark, d):
+    """Windows of minutes to decades in one table."""
+    w = tb.windows(spark, d)
+    k = F.col("id").cast("bigint")
+    back = F.when(k % 3 == 0, k % 40 * 31_536_000).when(k % 3 == 1, k % 50 * 86_400).otherwise(0) * 1_000_000
+    w = w.withColumn("start_ts", F.timestamp_micros(micros(F.col("start_ts")) - back))
+    hits = mt.suppressing(tb.events(spark, d), w)
+    return hits.groupBy("seq").agg(F.count("*").alias("windows"), F.min(F.col("window_id").cast("bigint")).alias("first_window"))
+
+
 _NOW = "2024-01-15 12:00:00"
 
 
@@ -752,6 +784,22 @@ def csv_roundtrip(spark, d):
                        F.col("labels")["env"].alias("env"))
 
 
+@query
+def csv_mixed_headers(spark, d):
+    """Files whose columns stand in different order, with quotes and commas in a label."""
+    m = tb.metrics(spark, d)
+    at = (micros(F.col("ts")) / 1e6).cast("decimal(20,6)").cast("string").alias("timestamp")
+    note = F.concat(F.lit('say "'), F.col("labels")["user"], F.lit('", ok')).alias("note")
+    seq = F.col("seq").cast("string").alias("seq")
+    path = new_path(spark, "csv-mixed")
+    for part, cols in (("a", ["name", "value", at, seq, note]), ("b", [note, seq, "value", "name", at])):
+        (m.filter(F.col("seq") % 2 == ("ab".index(part))).select(*cols)
+         .write.option("header", True).option("escape", '"').csv(f"{path}/{part}"))
+    back = files.read_csv(spark, [f"{path}/a", f"{path}/b"])
+    return back.select("name", r("value"), tb.us(), F.col("labels")["note"].alias("note"),
+                       F.col("labels")["seq"].cast("bigint").alias("seq"))
+
+
 @query
 def json_roundtrip(spark, d):
     """One JSON document per user, each an object with a list of metrics."""
