@@ -118,11 +118,14 @@ def sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
 
 
 def matrix_rows(docs: DataFrame, text: str, width: int, late: np.ndarray, part: int, whole: int) -> DataFrame:
-    """(token, f1, late): the first tokens of every set, once for each class and task; ``late`` tokens come last in the order."""
+    """(token, f1, rest, late): the first tokens of every set, once for each class and task; ``late`` tokens come last in the order.
+
+    ``rest`` counts the set's tokens from this one on: two sets whose first common token it is share no more than that.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in chunks(batches, "__text"):
-            token, owner, hot = [], [], []
+            token, owner, hot, after = [], [], [], []
             for x in shingle_sets(batch.column("__text"), width):
                 if not len(x):
                     continue
@@ -140,41 +143,43 @@ def matrix_rows(docs: DataFrame, text: str, width: int, late: np.ndarray, part:
                 token += [first, rest]
                 hot += [np.zeros(len(first), bool), np.ones(len(rest), bool)]
                 owner.append(np.full(len(first) + len(rest), f1, np.uint64))
+                after.append(len(x) - np.arange(len(first) + len(rest)))
             if len(seen) > 1 << 20:
                 seen.clear()
             if token:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(owner).view(np.int64)),
-                    pa.array(np.concatenate(hot))], names=["token", "f1", "late"])
+                    pa.array(np.concatenate(after)), pa.array(np.concatenate(hot))], names=["token", "f1", "rest", "late"])
 
-    return docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "token bigint, f1 bigint, late boolean")
+    return docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "token bigint, f1 bigint, rest bigint, late boolean")
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
     """The rows, without repeats, of tokens that two classes have; ``rows`` holds no frequent token."""
+    names = ["token", "f1", "rest"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3
 
-        def of(token: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        def of(token: np.ndarray, owner: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-            token, owner = token[new], owner[new]
+            token, owner, rest = token[new], owner[new], rest[new]
             twin = np.zeros(len(token), bool)
             same = token[1:] == token[:-1]
             twin[1:] |= same
             twin[:-1] |= same
-            return pa.RecordBatch.from_arrays([pa.array(token[twin]), pa.array(owner[twin])], names=["token", "f1"])
+            return pa.RecordBatch.from_arrays([pa.array(c[twin]) for c in (token, owner, rest)], names=names)
 
         for batch in batches:
-            token = np.concatenate([token, batch.column("token").to_numpy()])
-            owner = np.concatenate([owner, batch.column("f1").to_numpy()])
-            if len(token):
-                cut = int(np.searchsorted(token, token[-1]))
-                yield of(token[:cut], owner[:cut])
-                token, owner = token[cut:], owner[cut:]
-        yield of(token, owner)
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
+            if len(held[0]):
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                yield of(*[h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        yield of(*held)
 
-    return rows.repartition("token").sortWithinPartitions("token", "f1").mapInArrow(run, "token bigint, f1 bigint")
+    return rows.repartition("token").sortWithinPartitions("token", "f1").mapInArrow(run, "token bigint, f1 bigint, rest bigint")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, id: str, text: str, width: int, part: int, whole: int) -> DataFrame:
@@ -248,17 +253,21 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5
 
     # Step 3: a class meets the groups of larger components (by size, then id) that have one of its first tokens.
     all_rows = written(matrix_rows(docs, text, width, late, part, whole), "matrix")
-    shared = shared_tokens(all_rows.where("not late").select("token", "f1")).unionAll(all_rows.where("late").select("token", "f1").distinct())
+    cols = ["token", "f1", "rest"]
+    shared = shared_tokens(all_rows.where("not late").select(*cols)).unionAll(all_rows.where("late").select(*cols).distinct())
     shared = written(shared.join(member.select("f1", "rep", "n", "part", "size", "block", "fewest", "most"), "f1").drop("f1"), "shared")
     discard(all_rows)
     rank = F.struct("size", "part")
     ends = (shared.groupBy("token").agg(F.max(rank).alias("top"), F.min(rank).alias("low")).where("low <> top").select("token", "top"))
     met = shared.join(ends, "token")
-    asking = met.where(rank != F.col("top")).select("token", "rep", "n", rank.alias("own"))
-    matrix = met.select("token", "part", "size", "block", "fewest", "most").distinct().select(
-        "token", rank.alias("theirs"), "part", "block", "fewest", "most")
+    asking = met.where(rank != F.col("top")).select("token", "rep", "n", "rest", rank.alias("own"))
+    matrix = met.groupBy("token", "part", "size", "block", "fewest", "most").agg(F.max("rest").alias("longest")).select(
+        "token", rank.alias("theirs"), "part", "block", "fewest", "most", "longest")
+    # the least overlap with any member that is large enough, against what is left from the first common token on
+    smallest = F.greatest(F.col("fewest") * whole, F.col("n") * part)
     meetings = asking.join(matrix, "token").where(
         (F.col("own") < F.col("theirs")) & (F.col("n") * whole >= F.col("fewest") * part) & (F.col("most") * whole >= F.col("n") * part)
+        & (F.least("rest", "longest") * whole * (whole + part) >= (F.col("n") * whole + smallest) * part)
     ).select("rep", "part", "block").distinct()
 
     # Step 4: bound by the union's bits, open, bound by the members' bits, compare.
@@ -271,18 +280,17 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5
             a, b = [], []
             for rep, n, bits, members in zip(*[batch.column(c) for c in ("rep", "n", "bits", "members")]):
                 n, bits = n.as_py(), _bits(bits.as_py())
-                need = _need(n, part, whole)
-                own = [(m["rep"], _bits(m["bits"])) for m in members.as_py()
+                own = [(m["rep"], _bits(m["bits"]), -(-part * (n + m["n"]) // (whole + part))) for m in members.as_py()
                        if n * whole >= m["n"] * part and m["n"] * whole >= n * part]
                 if not own:
                     continue
-                least = min(len(x) for _, x in own)
+                least = min(len(x) for _, x, _ in own)
                 union = np.zeros(least, bool)
-                for _, x in own:
+                for _, x, _ in own:
                     union |= _folded(x, least)
-                if most_common(n, bits, union) < need:
+                if most_common(n, bits, union) < min(need for _, _, need in own):
                     continue
-                for other, x in own:
+                for other, x, need in own:
                     if most_common(n, bits, x) >= need:
                         a.append(rep.as_py())
                         b.append(other)
