@@ -31,7 +31,7 @@ from pulsegrid.session import discard, written
 #: Random orders for step 2.
 ORDERS = 4
 #: Tokens counted together in a task, and how often one must occur there to count as frequent.
-COUNTED, OFTEN = 4 << 20, 8
+COUNTED, OFTEN = 1 << 20, 8
 #: Ids that are sent to the tasks that read texts; beyond it the texts are joined by a shuffle.
 SENT = 1 << 20
 
