@@ -30,8 +30,10 @@ class AlertRules:
     escalation_minutes: float = 30.0
     #: Repeat an escalation this often; None raises an alert once.
     escalate_every_minutes: float | None = None
-    #: Forget a fingerprint without an open alert this long after its last event.
+    #: Forget a fingerprint this long after its last fire.
     idle_hours: float = 24.0
+    #: Never forget an open alert, as the batch operators do; its state then stays until it is resolved.
+    keep_open: bool = False
 
 
 @dataclass
@@ -94,8 +96,8 @@ def alert_stream(events: DataFrame, watermark: str = "10 minutes", rules: AlertR
     idle = int(rules.idle_hours * 3600e6)
 
     def forgotten(a: _Alert) -> int | None:
-        """When nothing of the fingerprint matters any more; an open alert always does."""
-        return None if a.open else max(a.last + idle, a.muted_until)
+        """When the fingerprint is forgotten; None for never."""
+        return None if a.open and rules.keep_open else max(a.last + idle, a.muted_until)
 
     def over(a: _Alert, at: int) -> bool:
         end = forgotten(a)

@@ -145,3 +145,14 @@ def test_escalation_and_forgetting_follow_event_time(spark, frame, streamed):
     assert got[:3] == [("x", "fired", 1), ("x", "merged", 1), ("x", "escalated", 2)]
     assert ("y", "escalated", 2) not in got                  # acknowledged in time
     assert not any(f == "x" and c == "acknowledged" for f, c, _ in got)      # forgotten after a quiet day
+
+
+def test_open_alerts_are_kept_on_request(spark, frame, streamed):
+    pdf = pd.DataFrame([("x", 0.0, 0, "fire", 4), ("z", 90_000.0, 1, "fire", 0), ("x", 180_000.0, 2, "acknowledge", 0)],
+                       columns=["metric_name", "t", "seq", "kind", "severity"])
+    df = frame(pdf).withColumns({"ts": F.timestamp_seconds(F.col("t") + 1e6), "fingerprint": F.col("metric_name"), "value": F.lit(1.0),
+                                 "score": F.lit(.5), "minutes": F.lit(None).cast("double"), "severity": F.col("severity").cast("int")})
+    rules = sa.AlertRules(keep_open=True)
+    changes = runs.run_available(sa.alert_stream(streamed(df.select(*sa.EVENT_COLUMNS), 3), "1 minute", rules))
+    got = [(r.fingerprint, r.change) for r in changes.orderBy("fingerprint", "ts", "seq").collect()]
+    assert [c for f, c in got if f == "x"] == ["fired", "acknowledged"]
