@@ -19,6 +19,7 @@ from pulsegrid.llm.common import per_text
 from pulsegrid.llm.features import Adam, labelled, sentence_words
 from pulsegrid.llm.hashtable import HashTable
 from pulsegrid.llm.texts import chunks
+from pulsegrid.session import discard, written
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -42,21 +43,13 @@ class Model:
         return sentences
 
 
-def train(words: dict[str, np.ndarray], toxic: np.ndarray, stands_for: np.ndarray, rounds: int = 150,
-          rate: float = 0.2, decay: float = 1e-5) -> Model:
+def train(term: np.ndarray, sentence: np.ndarray, owner: np.ndarray, keys: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray,
+          rounds: int = 150, rate: float = 0.2, decay: float = 1e-5) -> Model:
     """Fit the noisy-or of sentences to the labels of the texts by full gradient steps.
 
-    Terms of fewer texts than 3, or than one in 500, are not learned.
+    ``term`` holds positions in ``keys`` and ``sentence`` the sentence of each; ``owner`` is the text of each sentence.
     """
-    owner, sentence, docs = words["owner"], words["sentence"], len(toxic)
-    keys, at = np.unique(words["term"], return_inverse=True)
-    pairs = np.unique(at.astype(np.int64) * docs + owner[sentence]) // docs
-    kept = np.flatnonzero(np.bincount(pairs, minlength=len(keys)) >= max(3, docs // 500))
-    to = np.full(len(keys), len(kept))
-    to[kept] = np.arange(len(kept))
-    term = to[at]
-    sentence, term = sentence[term < len(kept)], term[term < len(kept)]
-    n = len(kept)
+    docs, n = len(toxic), len(keys)
     weights, bias = Adam(np.zeros(n), rate), Adam(np.array([-6.0]), rate)
     part = stands_for / stands_for.sum()
     for _ in range(rounds):
@@ -66,13 +59,21 @@ def train(words: dict[str, np.ndarray], toxic: np.ndarray, stands_for: np.ndarra
         slope = -p * odds[owner]  # of the loss by each sentence's log-odds
         weights.step(np.bincount(term, slope[sentence], n) + decay * weights.value)
         bias.step(np.array([slope.sum()]))
-    return Model(keys[kept], np.append(weights.value, 0).astype(np.float32), float(bias.value[0]))
+    return Model(keys, np.append(weights.value, 0).astype(np.float32), float(bias.value[0]))
+
+
+def _learned(rows: DataFrame) -> np.ndarray:
+    """Terms of at least 3 texts and one text in 500, ascending: at most a few hundred for each sampled text."""
+    least = max(3, rows.count() // 500)
+    seen = rows.select(F.explode(F.array_distinct("term")).alias("term")).groupBy("term").count().where(F.col("count") >= least)
+    return np.sort(seen.select("term").toArrow()["term"].to_numpy().view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic",
         use: Column | None = None, train_rows: int = 3000) -> Model:
     """A model from about ``train_rows`` labelled documents, half of each label or all there are; rows that ``use`` excludes are not learned from.
 
+    Terms of fewer texts than 3, or than one in 500, are not learned; the tasks drop them, so that only the others reach the driver.
     Without a toxic and a clean document nothing is learned, and every text scores near 0.
     """
     some = labelled(docs, labels, id, text, F.col(label).cast("int"), F.lit(True) if use is None else use, train_rows)
@@ -80,27 +81,43 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__text"):
             found = sentence_words(batch.column("__text"))
-            term_at = np.searchsorted(found["owner"][found["sentence"]], np.arange(batch.num_rows + 1))
-            spans = list(zip(term_at[:-1], term_at[1:]))
-            parts = {k: [found[k][b:e].astype(t) for b, e in spans] for k, t in (("term", np.int64), ("sentence", np.int32))}
+            sentences = np.bincount(found["owner"], minlength=batch.num_rows)
+            text_of = found["owner"][found["sentence"]]
+            inner = found["sentence"] - (np.cumsum(sentences) - sentences)[text_of]
+            at = np.searchsorted(text_of, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "key": batch.column("__key").cast(pa.int64()), "label": batch.column("__label"), "weight": batch.column("__weight"),
-                "term": pa.array(parts["term"], pa.list_(pa.int64())), "sentence": pa.array(parts["sentence"], pa.list_(pa.int32()))})
+                "sentences": pa.array(sentences, pa.int64()), "term": pa.ListArray.from_arrays(at, found["term"].view(np.int64)),
+                "sentence": pa.ListArray.from_arrays(at, inner.astype(np.int32))})
+
+    schema = "key bigint, label int, weight double, sentences bigint, term array<bigint>, sentence array<int>"
+    rows = written(some.mapInArrow(read, schema), "sentences")
+    keys = _learned(rows)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = HashTable(max(8, len(keys)))
+        table.add(keys)
+        for batch in batches:
+            at = np.concatenate([[0], np.cumsum(batch.column("term").value_lengths().to_numpy())])
+            place = table.find(batch.column("term").flatten().to_numpy().view(np.uint64))
+            keep = place >= 0
+            to = np.concatenate([[0], np.cumsum(keep)])[at].astype(np.int32)
+            inner = batch.column("sentence").flatten().to_numpy()
+            yield pa.RecordBatch.from_pydict({
+                **{c: batch.column(c) for c in ("key", "label", "weight", "sentences")},
+                "term": pa.ListArray.from_arrays(to, place[keep]), "sentence": pa.ListArray.from_arrays(to, inner[keep])})
 
-    got = some.mapInArrow(read, "key bigint, label int, weight double, term array<bigint>, sentence array<int>").toArrow()
-    got = got.sort_by("key").combine_chunks()
+    got = rows.orderBy("key").mapInArrow(known, schema.replace("term array<bigint>", "term array<int>")).toArrow()
+    discard(rows)
     toxic = got["label"].to_numpy().astype(bool) if got.num_rows else np.zeros(0, bool)
     if not toxic.any() or toxic.all():
         return Model(np.zeros(0, np.uint64), np.zeros(1, np.float32), -20.0)
-    term, inner = (got[c].combine_chunks().flatten().to_numpy() for c in ("term", "sentence"))
-    size = got["term"].combine_chunks().value_lengths().to_numpy()
-    text_of = np.repeat(np.arange(len(size)), size)
-    new = np.ones(len(term), bool)
-    new[1:] = (text_of[1:] != text_of[:-1]) | (inner[1:] != inner[:-1])
-    words = {"term": term.view(np.uint64), "sentence": np.cumsum(new) - 1, "owner": text_of[new]}
-    weight = got["weight"].to_numpy()
-    del got, term, inner
-    return train(words, toxic, weight)
+    weight, sentences = got["weight"].to_numpy(), got["sentences"].to_numpy()
+    size = np.concatenate([c.value_lengths().to_numpy() for c in got["term"].chunks])
+    term = np.concatenate([c.flatten().to_numpy() for c in got["term"].chunks]).astype(np.int64)
+    sentence = np.concatenate([c.flatten().to_numpy() for c in got["sentence"].chunks]) + np.repeat(np.cumsum(sentences) - sentences, size)
+    del got
+    return train(term, sentence, np.repeat(np.arange(len(toxic)), sentences), keys, toxic, weight)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
