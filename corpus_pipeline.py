@@ -31,20 +31,19 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates; of several rows with an id, the least.
+    """One document of each group of near duplicates: the one with the smallest id; of several rows with its text, the least.
 
-    Documents without an id or without words are linked with nothing and stay.
+    Unlike texts under one id are no duplicates and stay.  Documents without an id or without words are linked with nothing and stay.
     """
-    found = jaccard.join(docs)
-    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")), "kept")
+    kept = written(jaccard.kept(docs), "kept").select(F.col("doc").alias("__id"), F.col("h").alias("__h"), "times")
     if kept.count() <= jaccard.SENT:
         kept = F.broadcast(kept)
     names = docs.columns
-    joined = docs.join(kept, "doc_id").select(*[F.col(f"`{c}`") for c in names], "__rows")
-    single = joined.where("__rows = 1").drop("__rows")
-    several = (joined.where("__rows > 1").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__one"))
-               .select("__one.*"))
-    return single.unionAll(several.select(*[F.col(f"`{c}`") for c in names])).unionAll(docs.where("doc_id is null"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
+    joined = (docs.select(F.col("doc_id").cast("long").alias("__id"), jaccard.text_hash("text").alias("__h"), row).join(kept, ["__id", "__h"]))
+    single = joined.where("times = 1").select("__row.*")
+    several = joined.where("times > 1").groupBy("__id", "__h").agg(F.min("__row").alias("__row")).select("__row.*")
+    return single.unionAll(several).unionAll(docs.where("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

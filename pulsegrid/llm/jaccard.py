@@ -1,6 +1,7 @@
 """Exact Jaccard join of documents on word shingles, by a token-group matrix.
 
-1. A document becomes its set of 64-bit shingle hashes.  Equal sets are one class, represented by its smallest id.
+1. A document becomes its set of 64-bit shingle hashes.  Equal sets are one class, which has a number of its own and is read again from
+   a text of its smallest id.  Classes are the nodes of all that follows; ids come back only with the result.
 2. Similar classes are put into groups: classes that share a least shingle under one of a few random orders are compared with
    the smallest of them, and the links found make components, cut into groups of about ``group`` classes.
 3. The token-group matrix holds, for every group, the tokens that can prove a link, which are the first tokens of its members in one
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.graph import components
@@ -64,9 +65,18 @@ def most_common(n: int, bits: np.ndarray, other: np.ndarray) -> int:
     return int((a & b).sum()) + n - int(a.sum())
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(f"`{text}`"))
+
+
+def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{id}`").cast("long").alias("__id"), text_hash(text).alias("__h"), F.col(f"`{text}`").alias("__text"))
+
+
 def sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """For each row: id, n, a 128-bit fingerprint, the least token in each order, bits.  Rows with a ``token`` count frequent tokens instead."""
-    schema = ("doc bigint, n bigint, f1 bigint, f2 bigint, least array<bigint>, bits binary, token bigint, times bigint")
+    """For each row: id, hash of the text, n, a 128-bit fingerprint, the least token in each order, bits.  Rows with a ``token`` count
+    frequent tokens instead."""
+    schema = ("doc bigint, h bigint, n bigint, f1 bigint, f2 bigint, least array<bigint>, bits binary, token bigint, times bigint")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +89,7 @@ def sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
             token, times = token[times >= OFTEN].view(np.int64), times[times >= OFTEN]
             none = pa.nulls(len(token))
             return pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64())] * 4 + [none.cast(pa.list_(pa.int64())), none.cast(pa.binary()), pa.array(token), pa.array(times)], names=names)
+                [none.cast(pa.int64())] * 5 + [none.cast(pa.list_(pa.int64())), none.cast(pa.binary()), pa.array(token), pa.array(times)], names=names)
 
         for batch in chunks(batches, "__text"):
             found = shingle_sets(batch.column("__text"), width)
@@ -98,7 +108,7 @@ def sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
             f2 = mix(each(np.add, mix(flat * np.uint64(0xD6E8FEB86659FD93))))
             least = np.stack([each(np.minimum, mix(flat ^ np.uint64(0xA0761D6478BD642F * (r + 1) % (1 << 64)))) for r in range(ORDERS)], axis=1)
             yield pa.RecordBatch.from_arrays([
-                batch.column("__id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                batch.column("__id"), batch.column("__h"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
                 pa.array(list(least.view(np.int64)), pa.list_(pa.int64())),
                 pa.array([np.packbits(bitmap(x)).tobytes() for x in found], pa.binary()),
                 pa.nulls(len(n)).cast(pa.int64()), pa.nulls(len(n)).cast(pa.int64())], names=names)
@@ -114,7 +124,7 @@ def sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.select(F.col(f"`{id}`").cast("long").alias("__id"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return _texts(docs, id, text).mapInArrow(run, schema)
 
 
 def matrix_rows(docs: DataFrame, text: str, width: int, late: np.ndarray, part: int, whole: int) -> DataFrame:
@@ -182,8 +192,17 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "f1").mapInArrow(run, "token bigint, f1 bigint, rest bigint")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, id: str, text: str, width: int, part: int, whole: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` of ids whose sets are similar, compared token by token."""
+def _sent(small: DataFrame) -> DataFrame:
+    """The table, sent to all tasks if it is not too long."""
+    return F.broadcast(small) if small.count() <= SENT else small
+
+
+def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, copies: DataFrame | None, id: str, text: str, width: int,
+           part: int, whole: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` of classes whose sets are similar, compared token by token.
+
+    A class is read from the text with its ``rep`` and ``h``.  ``copies`` lists the (doc, h) of several rows, which are read as one.
+    """
     def read(keys: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "__text"):
@@ -192,13 +211,24 @@ def linked(docs: DataFrame, pairs: DataFrame, id: str, text: str, width: int, pa
                                                  names=[*keys, "set"])
         return run
 
-    texts = docs.select(F.col(f"`{id}`").cast("long").alias("__id"), F.col(f"`{text}`").alias("__text"))
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
     few = pairs.count() <= SENT
     small = F.broadcast if few else (lambda x: x)
-    left = (texts.join(small(pairs), F.col("__id") == F.col("a")).select("a", "b", "__text")
+    place = classes.select("node", F.col("rep").alias("__id"), F.col("h").alias("__h"))
+    texts, key = _texts(docs, id, text), ["__id", "__h"]
+
+    def of(wanted: DataFrame) -> DataFrame:
+        """The rows of ``wanted`` with the text of their class."""
+        if copies is None:
+            return texts.join(small(wanted), key)
+        several = _sent(copies.select(F.col("doc").alias("__id"), F.col("h").alias("__h")))
+        one = (texts.join(several, key, "left_semi").join(small(wanted.select(*key).distinct()), key, "left_semi")
+               .groupBy(*key).agg(F.first("__text").alias("__text")))
+        return texts.join(several, key, "left_anti").unionAll(one.select(*texts.columns)).join(small(wanted), key)
+
+    left = (of(place.join(small(pairs), F.col("node") == F.col("a")).select(*key, "a", "b")).select("a", "b", "__text")
             .mapInArrow(read(["a", "b"]), "a bigint, b bigint, set binary"))
-    right = (texts.join(small(pairs.select("b").distinct()), F.col("__id") == F.col("b")).select("b", "__text")
+    right = (of(place.join(small(pairs.select("b").distinct()), F.col("node") == F.col("b")).select(*key, "b")).select("b", "__text")
              .mapInArrow(read(["b"]), "b bigint, set binary").withColumnRenamed("set", "other"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,41 +243,43 @@ def linked(docs: DataFrame, pairs: DataFrame, id: str, text: str, width: int, pa
     return left.join(right.hint("shuffle_merge"), "b").select("a", "b", "set", "other").mapInArrow(compare, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, part: int = 80, whole: int = 100,
-         group: int = 32, late_tokens: int = 1 << 17) -> DataFrame:
-    """(id, n_shingles, component_id) for every row: the size of its set and the smallest id reachable by links, its own included.
-
-    Two documents link when whole * |A and B| >= part * |A or B|.  Words are split at space and U+0009 to U+000D, A-Z count as a-z, and
-    a text of fewer than ``width`` words is one shingle.  A null text or one without words has an empty set and links with nothing; a null id
-    links with nothing and has a null component.  Rows that share an id count as one node.  Other columns are not read.
-    ``late_tokens`` bounds the list of frequent tokens sent to the tasks, which changes the order of tokens, not the links.
-    """
+def _classes(docs: DataFrame, id: str, text: str, width: int, part: int, whole: int, group: int,
+             late_tokens: int) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None, DataFrame]:
+    """Rows (doc, h, n, f1, f2), classes (f1, f2, node, rep, h), the ids and the (doc, h) of several rows if there are any, and links of nodes."""
     spark = docs.sparkSession
     summary = written(sets(docs, id, text, width), "sets")
     rows = summary.where("token is null").drop("token", "times")
     often = (summary.where("token is not null").groupBy("token").agg(F.sum("times").alias("times"))
              .orderBy(F.desc("times"), "token").limit(late_tokens).select("token").toArrow())
     late = np.sort(often["token"].to_numpy().astype(np.int64).view(np.uint64))
-    classes = written(rows.where("n > 0 and doc is not null").groupBy("f1", "f2").agg(
-        F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("bits").alias("bits")), "classes")
+    classes = rows.where("n > 0 and doc is not null").groupBy("f1", "f2").agg(
+        F.min("doc").alias("rep"), F.min_by("h", F.struct("doc", "h")).alias("h"), F.first("n").alias("n"), F.first("least").alias("least"),
+        F.first("bits").alias("bits"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    ids = written(rows.where("doc is not null").groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select("doc"), "ids")
+    copies = None
+    if ids.isEmpty():
+        ids = None
+    else:
+        copies = written(rows.join(_sent(ids), "doc").groupBy("doc", "h").agg(F.count("*").alias("c")).where("c > 1"), "copies")
 
     def may(n: str, m: str):
         return (F.col(n) * whole >= F.col(m) * part) & (F.col(m) * whole >= F.col(n) * part)
 
     # Step 2: every class with the smallest of those that share a least token, the one that shares most.
-    by_least = classes.select("rep", "n", "least", F.posexplode("least").alias("r", "key"))
-    hubs = by_least.groupBy("r", "key").agg(F.min(F.struct("rep", "n", "least")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    near = (by_least.join(hubs, ["r", "key"]).where(F.col("rep") != F.col("hub.rep")).withColumn("m", F.col("hub.n")).where(may("n", "m"))
+    by_least = classes.select("node", "n", "least", F.posexplode("least").alias("r", "key"))
+    hubs = by_least.groupBy("r", "key").agg(F.min(F.struct("node", "n", "least")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    near = (by_least.join(hubs, ["r", "key"]).where(F.col("node") != F.col("hub.node")).withColumn("m", F.col("hub.n")).where(may("n", "m"))
             .withColumn("alike", F.aggregate(F.zip_with("least", "hub.least", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x))
-            .where("alike > 1").groupBy("rep").agg(F.max(F.struct("alike", F.col("hub.rep").alias("b"))).alias("best"))
-            .select(F.col("rep").alias("a"), F.col("best.b").alias("b")))
-    links = written(linked(docs, near, id, text, width, part, whole), "links")
+            .where("alike > 1").groupBy("node").agg(F.max(F.struct("alike", F.col("hub.node").alias("b"))).alias("best"))
+            .select(F.col("node").alias("a"), F.col("best.b").alias("b")))
+    links = written(linked(docs, near, classes, copies, id, text, width, part, whole), "links")
     parts = written(components(links), "parts")
 
-    member = classes.select("f1", "rep", "n", "bits").join(parts, F.col("rep") == F.col("node"), "left").select(
-        "f1", "rep", "n", "bits", F.coalesce("component", "rep").alias("part"))
+    member = classes.select("f1", "node", "n", "bits").join(parts, "node", "left").select(
+        "f1", "node", "n", "bits", F.coalesce("component", "node").alias("part"))
     sizes = member.groupBy("part").agg(F.count("*").alias("size"))
-    member = member.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / group).cast("long")))
+    member = member.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / group).cast("long")))
     extent = member.groupBy("part", "block").agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
     member = written(member.join(extent, ["part", "block"]), "member")
 
@@ -255,12 +287,12 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5
     all_rows = written(matrix_rows(docs, text, width, late, part, whole), "matrix")
     cols = ["token", "f1", "rest"]
     shared = shared_tokens(all_rows.where("not late").select(*cols)).unionAll(all_rows.where("late").select(*cols).distinct())
-    shared = written(shared.join(member.select("f1", "rep", "n", "part", "size", "block", "fewest", "most"), "f1").drop("f1"), "shared")
+    shared = written(shared.join(member.select("f1", "node", "n", "part", "size", "block", "fewest", "most"), "f1").drop("f1"), "shared")
     discard(all_rows)
     rank = F.struct("size", "part")
     ends = (shared.groupBy("token").agg(F.max(rank).alias("top"), F.min(rank).alias("low")).where("low <> top").select("token", "top"))
     met = shared.join(ends, "token")
-    asking = met.where(rank != F.col("top")).select("token", "rep", "n", "rest", rank.alias("own"))
+    asking = met.where(rank != F.col("top")).select("token", "node", "n", "rest", rank.alias("own"))
     matrix = met.groupBy("token", "part", "size", "block", "fewest", "most").agg(F.max("rest").alias("longest")).select(
         "token", rank.alias("theirs"), "part", "block", "fewest", "most", "longest")
     # the least overlap with any member that is large enough, against what is left from the first common token on
@@ -268,19 +300,19 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5
     meetings = asking.join(matrix, "token").where(
         (F.col("own") < F.col("theirs")) & (F.col("n") * whole >= F.col("fewest") * part) & (F.col("most") * whole >= F.col("n") * part)
         & (F.least("rest", "longest") * whole * (whole + part) >= (F.col("n") * whole + smallest) * part)
-    ).select("rep", "part", "block").distinct()
+    ).select("node", "part", "block").distinct()
 
     # Step 4: bound by the union's bits, open, bound by the members' bits, compare.
-    blocks = member.groupBy("part", "block").agg(F.collect_list(F.struct("rep", "n", "bits")).alias("members"))
-    bounded = (meetings.join(member.select("rep", "n", "bits").dropDuplicates(["rep"]), "rep").join(blocks, ["part", "block"])
-               .select("rep", "n", "bits", "members"))
+    blocks = member.groupBy("part", "block").agg(F.collect_list(F.struct("node", "n", "bits")).alias("members"))
+    bounded = (meetings.join(member.select("node", "n", "bits"), "node").join(blocks, ["part", "block"])
+               .select("node", "n", "bits", "members"))
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for rep, n, bits, members in zip(*[batch.column(c) for c in ("rep", "n", "bits", "members")]):
+            for node, n, bits, members in zip(*[batch.column(c) for c in ("node", "n", "bits", "members")]):
                 n, bits = n.as_py(), _bits(bits.as_py())
-                own = [(m["rep"], _bits(m["bits"]), -(-part * (n + m["n"]) // (whole + part))) for m in members.as_py()
+                own = [(m["node"], _bits(m["bits"]), -(-part * (n + m["n"]) // (whole + part))) for m in members.as_py()
                        if n * whole >= m["n"] * part and m["n"] * whole >= n * part]
                 if not own:
                     continue
@@ -292,17 +324,59 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5
                     continue
                 for other, x, need in own:
                     if most_common(n, bits, x) >= need:
-                        a.append(rep.as_py())
+                        a.append(node.as_py())
                         b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     opened = bounded.mapInArrow(open_, "a bigint, b bigint")
-    more = written(linked(docs, opened, id, text, width, part, whole), "links")
+    more = written(linked(docs, opened, classes, copies, id, text, width, part, whole), "links")
     discard(shared, member, parts)
-    final = components(links.unionAll(more))
-    discard(links, more)
-    reps = classes.select("f1", "f2", "rep").join(final, F.col("rep") == F.col("node"), "left").select(
-        "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    return rows.select(F.col("doc"), "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(reps, ["f1", "f2"], "left").select(
-        F.col("doc").alias(id), F.col("n").alias("n_shingles"),
-        F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
+    return rows.select("doc", "h", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2"), classes.select("f1", "f2", "node", "rep", "h"), ids, copies, links.unionAll(more)
+
+
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, part: int = 80, whole: int = 100,
+         group: int = 32, late_tokens: int = 1 << 17) -> DataFrame:
+    """(id, n_shingles, component_id) for every row: the size of its set and the smallest id reachable by links, its own included.
+
+    Two documents link when whole * |A and B| >= part * |A or B|.  Words are split at space and U+0009 to U+000D, A-Z count as a-z, and
+    a text of fewer than ``width`` words is one shingle.  A null text or one without words has an empty set and links with nothing; a null id
+    links with nothing and has a null component.  Rows that share an id count as one node.  Other columns are not read.
+    ``late_tokens`` bounds the list of frequent tokens sent to the tasks, which changes the order of tokens, not the links.
+    """
+    rows, classes, ids, _, found = _classes(docs, id, text, width, part, whole, group, late_tokens)
+    links = found
+    if ids is not None:  # all classes of an id hang on one of them
+        of_id = written(rows.where("n > 0").join(_sent(ids), "doc").join(classes.select("f1", "f2", "node"), ["f1", "f2"]).select("doc", "node").distinct(), "nodes")
+        least = of_id.groupBy("doc").agg(F.min("node").alias("b"))
+        links = links.unionAll(of_id.withColumnRenamed("node", "a").join(least, "doc").where("a <> b").select("a", "b"))
+    parts = components(links)
+    discard(found)
+    named = classes.select("f1", "f2", "node", "rep").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    smallest = named.groupBy("part").agg(F.min("rep").alias("component_id"))
+    reps = named.join(smallest, "part").select("f1", "f2", "node", "component_id")
+    out = rows.join(reps.drop("node"), ["f1", "f2"], "left")
+    if ids is not None:  # rows without words whose id has words in another row
+        blank = of_id.join(reps, "node").groupBy("doc").agg(F.min("component_id").alias("id_component"))
+        out = out.join(blank, "doc", "left").withColumn("component_id", F.coalesce("component_id", "id_component"))
+    return out.select(F.col("doc").alias(id), F.col("n").alias("n_shingles"),
+                      F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
+
+
+def kept(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, part: int = 80, whole: int = 100,
+         group: int = 32, late_tokens: int = 1 << 17) -> DataFrame:
+    """(doc, h, times): the id and ``text_hash`` of the text to keep of each group of near duplicates, and of every text without words.
+
+    Texts are grouped by their own links only, so that unlike texts under one id stay apart.  The text with the smallest id is kept, then
+    with the least hash.  ``times`` is the number of rows with them, 1 where all such rows stay.  A null id is not listed.
+    """
+    rows, classes, _, copies, links = _classes(docs, id, text, width, part, whole, group, late_tokens)
+    parts = components(links)
+    discard(links)
+    named = classes.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    first = named.groupBy("part").agg(F.min("rep").alias("doc"), F.min_by("h", F.struct("rep", "h")).alias("h")).select("doc", "h")
+    if copies is None:
+        first = first.withColumn("times", F.lit(1).cast("long"))
+    else:
+        first = first.join(copies, ["doc", "h"], "left").select("doc", "h", F.coalesce("c", F.lit(1)).alias("times"))
+    blank = rows.where("n = 0 and doc is not null").select("doc", "h").distinct()
+    return first.unionAll(blank.withColumn("times", F.lit(1).cast("long")))

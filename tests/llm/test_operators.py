@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pulsegrid.llm import jaccard, language, neighbours, ppm, quality, repeats, topk, toxicity
 from pulsegrid.llm.common import remainder
 from pulsegrid.llm.graph import components
@@ -86,6 +87,44 @@ def test_jaccard_odd(odd, spark):
     assert jaccard.join(odd.limit(0)).count() == 0
 
 
+def shared_ids():
+    """Rows of (id, text) where ids hold unlike texts, one of them a third of all rows, with near copies under other ids."""
+    rng = random.Random(11)
+
+    def near(t):
+        t = t.split()
+        t[rng.randrange(len(t))] = f"y{rng.randrange(10**6)}"
+        return " ".join(t)
+
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(60)]
+    rows = [(0, t) for t in texts[:30]] + [(100 + i, near(t)) for i, t in enumerate(texts)] + [(200 + i // 2, near(t)) for i, t in enumerate(texts)]
+    rows += [(0, ""), (0, texts[0]), (205, None), (300, ""), (300, " "), (None, texts[1]), (101, rows[31][1])]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_jaccard_ids_with_unlike_texts(spark):
+    rows = shared_ids()
+    want = groups([r for r in rows if r[0] is not None])
+    for part in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(part)
+        got = jaccard.join(df, group=4).collect()
+        assert len(got) == len(rows)
+        assert {(r.doc_id, r.component_id) for r in got} == {(i, c) for i, (_, c) in want.items()} | {(None, None)}
+
+
+def test_jaccard_kept_texts_are_grouped_by_their_own_links(spark):
+    rows = shared_ids()
+    root = groups([(k, t) for k, (i, t) in enumerate(rows) if i is not None and shingles(t)])
+    want = collections.Counter((i, t) for i, t in rows if i is not None and not shingles(t))
+    for c in {c for _, c in root.values()}:
+        want[min((rows[k][0], rows[k][1]) for k in root if root[k][1] == c)] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.one_of_each(spark, df, SF).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in left if r.doc_id is not None) == want
+    assert [r.text for r in left if r.doc_id is None] == [t for i, t in rows if i is None]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
