@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.session import new_path
 
@@ -35,9 +36,32 @@ def run_available(stream: DataFrame, label: str = "stream", mode: str = "append"
     """
     spark = stream.sparkSession
     out, state = new_path(spark, f"{label}-out"), new_path(spark, f"{label}-state")
+    _run(stream, out, state, mode)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _run(stream: DataFrame, out: str, state: str, mode: str) -> None:
     query = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
              .option("checkpointLocation", state).trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def run_closed(rows: DataFrame, make: Callable[[DataFrame], DataFrame], label: str = "stream", time: str = "ts") -> DataFrame:
+    """Run ``make`` of a stream of rows that has ended, and return all it wrote, bins that the watermark had not passed included.
+
+    When all files are read, a closing row far in the future comes from a folder of its own and moves the watermark.
+    Its own bins end after the watermark and never come out.
+    """
+    spark = rows.sparkSession
+    late = new_path(spark, f"{label}-closing")
+    closing = spark.range(1).select(*[
+        (F.lit("9999-01-01") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    closing.limit(0).write.parquet(late)
+    stream = make(rows.unionByName(spark.readStream.schema(rows.schema).parquet(late)))
+    out, state = new_path(spark, f"{label}-out"), new_path(spark, f"{label}-state")
+    _run(stream, out, state, "append")
+    closing.write.mode("append").parquet(late)
+    _run(stream, out, state, "append")
     return spark.read.schema(stream.schema).parquet(out)
 
 

@@ -36,6 +36,17 @@ def rows(series, spiky):
     return series({"a": spiky, "b": spiky[::-1]})
 
 
+def test_closed_streams_return_all_bins(rows, streamed):
+    got = runs.run_closed(streamed(rows), lambda r: sm.resample_stream(r, "10 minutes", "5 minutes", "max"))
+    want = rows.groupBy("series_id", F.window("ts", "10 minutes").alias("w")).agg(F.max("value").alias("v"))
+    assert sorted(map(tuple, got.select("series_id", "bin_start", "value").collect())) == sorted(
+        map(tuple, want.select("series_id", "w.start", "v").collect()))
+    spans = runs.run_closed(streamed(rows), lambda r: sm.sliding_stats(r, "30 minutes", "10 minutes", "5 minutes"))
+    want = rows.groupBy("series_id", F.window("ts", "30 minutes", "10 minutes").alias("w")).agg(F.count("value").alias("n"))
+    assert sorted(map(tuple, spans.select("series_id", "span_start", "n").collect())) == sorted(
+        map(tuple, want.select("series_id", "w.start", "n").collect()))
+
+
 def test_resample_closes_bins_behind_the_watermark(rows, streamed):
     got = runs.run_available(sm.resample_stream(streamed(rows), "10 minutes", "5 minutes", "max"))
     want = rows.groupBy("series_id", F.window("ts", "10 minutes").alias("w")).agg(F.max("value").alias("v"))

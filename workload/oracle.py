@@ -697,3 +697,11 @@ WITH s AS (SELECT event_type AS series_id, value, unnest([epoch_us(ts) // 720000
 b AS (SELECT series_id, span_us, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM s GROUP BY 1, 2)
 SELECT series_id, span_us, n, {rnd('mean', 'mean')}, {rnd('sd', 'sd')} FROM b
 WHERE span_us + 21600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events)"""
+# with a closing row, every bin is emitted
+ORACLE["stream_resample_closed"] = f"""
+WITH b AS (SELECT event_type AS series_id, epoch_us(date_trunc('hour', ts)) AS bin_us, avg(value) AS value FROM events GROUP BY 1, 2)
+SELECT series_id, bin_us, {rnd('value', 'value')} FROM b"""
+ORACLE["stream_sliding_closed"] = f"""
+WITH s AS (SELECT event_type AS series_id, value, unnest([epoch_us(ts) // 7200000000 * 7200000000 - i * 7200000000 for i in range(0, 3)]) AS span_us FROM events),
+b AS (SELECT series_id, span_us, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM s GROUP BY 1, 2)
+SELECT series_id, span_us, n, {rnd('mean', 'mean')}, {rnd('sd', 'sd')} FROM b"""

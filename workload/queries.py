@@ -867,17 +867,31 @@ def _event_stream(spark, d) -> DataFrame:
 
 @query
 def stream_resample(spark, d):
-    """Hourly means; a closing row per series far in the future lets the watermark pass all bins."""
+    """Hourly means of the bins that the watermark, an hour behind the newest row, has passed."""
     out = runs.run_available(sm.resample_stream(_event_stream(spark, d), "1 hour", "1 hour"), "resample")
     return out.select("series_id", micros(F.col("bin_start")).alias("bin_us"), r("value"))
 
 
+@query
+def stream_resample_closed(spark, d):
+    """Hourly means of all bins; a closing row far in the future lets the watermark pass the last."""
+    out = runs.run_closed(_event_stream(spark, d), lambda rows: sm.resample_stream(rows, "1 hour", "1 hour"), "resample")
+    return out.select("series_id", micros(F.col("bin_start")).alias("bin_us"), r("value"))
+
+
 @query
 def stream_sliding(spark, d):
     out = runs.run_available(sm.sliding_stats(_event_stream(spark, d), "6 hours", "2 hours", "1 hour"), "sliding")
     return out.select("series_id", micros(F.col("span_start")).alias("span_us"), "n", r("mean"), r("sd"))
 
 
+@query
+def stream_sliding_closed(spark, d):
+    """All spans, with a closing row."""
+    out = runs.run_closed(_event_stream(spark, d), lambda rows: sm.sliding_stats(rows, "6 hours", "2 hours", "1 hour"), "sliding")
+    return out.select("series_id", micros(F.col("span_start")).alias("span_us"), "n", r("mean"), r("sd"))
+
+
 @query
 def stream_zscore(spark, d):
     out = runs.run_available(sm.sliding_scores(_event_stream(spark, d), 50, "1 hour"), "zscore")
