@@ -267,8 +267,8 @@ def _classes(docs: DataFrame, id: str, text: str, width: int, part: int, whole:
         return (F.col(n) * whole >= F.col(m) * part) & (F.col(m) * whole >= F.col(n) * part)
 
     # Step 2: every class with the smallest of those that share a least token, the one that shares most.
-    by_least = classes.select("node", "n", "least", F.posexplode("least").alias("r", "key"))
-    hubs = by_least.groupBy("r", "key").agg(F.min(F.struct("node", "n", "least")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
+    by_least = classes.select("node", "rep", "n", "least", F.posexplode("least").alias("r", "key"))
+    hubs = by_least.groupBy("r", "key").agg(F.min(F.struct("rep", "node", "n", "least")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     near = (by_least.join(hubs, ["r", "key"]).where(F.col("node") != F.col("hub.node")).withColumn("m", F.col("hub.n")).where(may("n", "m"))
             .withColumn("alike", F.aggregate(F.zip_with("least", "hub.least", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x))
             .where("alike > 1").groupBy("node").agg(F.max(F.struct("alike", F.col("hub.node").alias("b"))).alias("best"))
