@@ -9,13 +9,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pulsegrid.operators.ordering import Layout  # noqa: E402
 from pulsegrid.session import build_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-#: Series cut into many small pieces, so every carry and halo is crossed.
-TINY = Layout(cell_seconds=300.0, block_rows=16)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -56,12 +51,6 @@ def series(frame):
     return make
 
 
-def column(df, name="value", by=("series_id", "ts", "seq")):
-    """A column in series order, missing as NaN."""
-    rows = df.orderBy(*by).select(name).collect()
-    return np.array([np.nan if r[0] is None else float(r[0]) for r in rows])
-
-
 @pytest.fixture
 def spiky():
     rng = np.random.default_rng(42)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import TINY, column
+from helpers import TINY, column
 from pulsegrid.functions import distributions as ds
 from pulsegrid.operators.detectors import vectors as vc
 from pulsegrid.operators.detectors.base import Detector, PandasDetector, scored

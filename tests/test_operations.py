@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import TINY, column
+from helpers import TINY, column
 from pulsegrid.functions import scalar as sc
 from pulsegrid.functions.labels import alert_fingerprint
 from pulsegrid.operators import alerts as al, context as cx, forecast as fc, maintenance as mt

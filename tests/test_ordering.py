@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
-from conftest import TINY, column
+from helpers import TINY, column
 from pulsegrid.operators import ordering as od, stats as st
 from pulsegrid.operators.ordering import Layout
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import TINY, column
+from helpers import TINY, column
 from pulsegrid.functions import scalar as sc
 from pulsegrid.operators import counters as ct, gaps as gp, normalize as nm, outliers as ot, resample as rs, seasonal as se
 from pulsegrid.operators.ordering import Layout

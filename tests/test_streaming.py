@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import column
+from helpers import column
 from pulsegrid.functions.labels import alert_fingerprint
 from pulsegrid.operators import alerts as al, maintenance as mt
 from pulsegrid.operators.detectors.statistical import SlidingZScore, ZScore
