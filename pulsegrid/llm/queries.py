@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import jaccard, language, neighbours, ppm, quality, repeats, topk, toxicity
+from pulsegrid.llm import audit, jaccard, language, neighbours, ppm, quality, repeats, resampling, topk, toxicity, warc
 from pulsegrid.llm.common import remainder, table
 from pulsegrid.llm.mixing import mix, schedule, words
 from pulsegrid.llm.packing import pack
@@ -86,4 +86,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard, op2_packing, op3_ppm, op4_mixing, op5_topk, op6_quality, op7_language, op8_repeats, op9_toxicity, op10_neighbours)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and draw of all documents towards the texts of the benchmark."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written to archives and read back."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in each of their 120 orders."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard, op2_packing, op3_ppm, op4_mixing, op5_topk, op6_quality, op7_language, op8_repeats, op9_toxicity, op10_neighbours, op11_resampling, op12_warc, op13_audit)}
