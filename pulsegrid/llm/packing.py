@@ -89,7 +89,8 @@ class Tokens:
     """Ids of a byte-level BPE file.
 
     A text is cut where no token can span the cut; a piece met before, of which up to ``most``
-    are held by their 64-bit hashes, is looked up and any other encoded.
+    are held by their 64-bit hashes, is looked up and any other encoded.  The bytes of the ids are compared with the
+    texts, so a hash that two pieces share is noticed.
     """
 
     def __init__(self, path: str, most: int = 1 << 20):
@@ -100,6 +101,8 @@ class Tokens:
         self.model = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.bytes[list(ranks.values())] = [len(b) for b in ranks]
+        self.begin = np.cumsum(self.bytes) - self.bytes
+        self.spelled = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
         self.most = most
         self.forget()
 
@@ -147,9 +150,18 @@ class Tokens:
         begin, count = self.first[where], self.first[where + 1] - self.first[where]
         stop = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
         ids = self.ids[np.arange(stop[-1]) + np.repeat(begin - stop[:-1], count)]
+        if not np.array_equal(self.decode(ids), data):  # a piece that has the hash of another one
+            texts = [data[b:e].tobytes().decode() for b, e in zip(at[:-1], at[1:])]
+            return [np.array(self.model.encode_ordinary(t), np.uint32) for t in texts]
         border = stop[np.searchsorted(starts, at)]
         return [ids[b:e] for b, e in zip(border[:-1], border[1:])]
 
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for."""
+        n = self.bytes[ids]
+        upto = np.cumsum(n)
+        return self.spelled[np.arange(upto[-1] if len(n) else 0) + np.repeat(self.begin[ids] - (upto - n), n)]
+
 
 class Packer:
     """Windows of one task.  A piece is (document, start, ids, tokens of the document)."""
