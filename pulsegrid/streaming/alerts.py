@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.functions.scalar import alert_message
-from pulsegrid.schema import micros
+from pulsegrid.streaming.ordered import Step, in_order
 
 #: What goes in: fires and commands in one stream.
 EVENT_COLUMNS = ["fingerprint", "ts", "seq", "kind", "metric_name", "severity", "value", "score", "minutes"]
@@ -22,6 +20,7 @@ _STATE = ("open boolean, id string, metric_name string, first bigint, last bigin
 _CHANGE = ("fingerprint string, ts bigint, seq bigint, change string, id string, metric_name string, "
            "severity int, state string, first_seen bigint, last_seen bigint, count bigint, "
            "value double, score double")
+_CHANGED = [c.split()[0] for c in _CHANGE.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -33,7 +32,7 @@ class AlertRules:
     #: Forget a fingerprint this long after its last fire.
     idle_hours: float = 24.0
     #: Never forget an open alert, as the batch operators do; its state then stays until it is resolved.
-    keep_open: bool = False
+    keep_open: bool = True
 
 
 @dataclass
@@ -85,64 +84,67 @@ def _apply(a: _Alert, e, fp: str, rules: AlertRules) -> str | None:
     return "acknowledged"
 
 
-def alert_stream(events: DataFrame, watermark: str = "10 minutes", rules: AlertRules = AlertRules()) -> DataFrame:
-    """Changes of alerts, in order per fingerprint.
+class _Alerts(Step):
+    state, out = _STATE, _CHANGE
 
-    Escalation and forgetting follow event time: they happen when the watermark
-    passes, even if the fingerprint is quiet.
-    """
-    after = int(rules.escalation_minutes * 60e6)
-    every = int(rules.escalate_every_minutes * 60e6) if rules.escalate_every_minutes else None
-    idle = int(rules.idle_hours * 3600e6)
+    def __init__(self, rules: AlertRules):
+        self.rules = rules
+        self.after = int(rules.escalation_minutes * 60e6)
+        self.every = int(rules.escalate_every_minutes * 60e6) if rules.escalate_every_minutes else None
+        self.idle = int(rules.idle_hours * 3600e6)
+
+    def begin(self) -> tuple:
+        return astuple(_Alert())
 
-    def forgotten(a: _Alert) -> int | None:
+    def forgotten(self, a: _Alert) -> int | None:
         """When the fingerprint is forgotten; None for never."""
-        return None if a.open and rules.keep_open else max(a.last + idle, a.muted_until)
+        return None if a.open and self.rules.keep_open else max(a.last + self.idle, a.muted_until)
 
-    def over(a: _Alert, at: int) -> bool:
-        end = forgotten(a)
+    def over(self, a: _Alert, at: int) -> bool:
+        end = self.forgotten(a)
         return end is not None and at >= end
 
-    def due(a: _Alert) -> int | None:
+    def due(self, a: _Alert) -> int | None:
         """When the next escalation of the alert is due."""
-        if not a.open or a.state != "firing" or a.severity >= 4 or (a.raised and every is None):
+        if not a.open or a.state != "firing" or a.severity >= 4 or (a.raised and self.every is None):
             return None
-        return a.first + after + (a.raised * every if every else 0) + 1
+        return a.first + self.after + (a.raised * self.every if self.every else 0) + 1
 
-    def raise_until(a: _Alert, now: int, fp: str, out: list) -> None:
-        at = due(a)
-        while at is not None and at <= now:
+    def raise_until(self, a: _Alert, now: int, fp: str, out: list) -> None:
+        at = self.due(a)
+        while at is not None and at <= now and not self.over(a, at):
             a.severity, a.raised = a.severity + 1, a.raised + 1
             out.append(a.change(fp, at, -1, "escalated"))
-            at = due(a)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fp, now, out = key[0], state.getCurrentWatermarkMs() * 1000, []
-        a = _Alert(*state.get) if state.exists else _Alert()
-        if state.hasTimedOut and over(a, now):
-            state.remove()
-            return
-        if not state.hasTimedOut:
-            for e in pd.concat(batches).sort_values(["us", "seq"]).itertuples(index=False):
-                raise_until(a, e.us, fp, out)
-                if over(a, e.us):
-                    a = _Alert()
-                what = _apply(a, e, fp, rules)
-                if what:
-                    out.append(a.change(fp, e.us, e.seq, what))
-        raise_until(a, now, fp, out)
-        state.update((a.open, a.id, a.metric_name, a.first, a.last, a.count, a.severity, a.state,
-                      a.value, a.score, a.muted_until, a.raised))
-        wake = [x for x in (due(a), forgotten(a)) if x is not None]
-        if wake:
-            state.setTimeoutTimestamp(int(max(min(wake), now + 1000) // 1000 + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["fingerprint", "ts", "seq", "change", "id", "metric_name", "severity",
-                                             "state", "first_seen", "last_seen", "count", "value", "score"])
-
-    given = events.select(*EVENT_COLUMNS, micros(F.col("ts")).alias("us")).withWatermark("ts", watermark)
-    out = given.groupBy("fingerprint").applyInPandasWithState(
-        step, _CHANGE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+            at = self.due(a)
+
+    def rows(self, key: tuple, state: tuple, frame: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        a, fp, out = _Alert(*state), key[0], []
+        for e in frame.itertuples(index=False):
+            self.raise_until(a, e.us, fp, out)
+            if self.over(a, e.us):
+                a = _Alert()
+            what = _apply(a, e, fp, self.rules)
+            if what:
+                out.append(a.change(fp, e.us, e.seq, what))
+        return astuple(a), pd.DataFrame(out, columns=_CHANGED)
+
+    def until(self, key: tuple, state: tuple, now: int) -> tuple[tuple | None, pd.DataFrame]:
+        a, out = _Alert(*state), []
+        self.raise_until(a, now, key[0], out)
+        return None if self.over(a, now) else astuple(a), pd.DataFrame(out, columns=_CHANGED)
+
+    def wake(self, state: tuple) -> int | None:
+        a = _Alert(*state)
+        return min([x for x in (self.due(a), self.forgotten(a)) if x is not None], default=None)
+
+
+def alert_stream(events: DataFrame, watermark: str = "10 minutes", rules: AlertRules = AlertRules()) -> DataFrame:
+    """Changes of alerts, in event-time order per fingerprint.
+
+    Events go in when the watermark has passed them, in the order (ts, seq).  Escalation and forgetting follow event
+    time too: they happen when the watermark passes, even if the fingerprint is quiet.
+    """
+    out = in_order(events.select(*EVENT_COLUMNS), "fingerprint", _Alerts(rules), watermark)
     return out.withColumns({c: F.timestamp_micros(c) for c in ("ts", "first_seen", "last_seen")})
 
 

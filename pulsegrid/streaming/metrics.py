@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.operators.detectors.base import RowDetector
 from pulsegrid.operators.maintenance import not_suppressed
 
 from pulsegrid.sources.snmp import device_key, name_samples, sample_labels, source_name
 from pulsegrid.sources.statsd import parse_statsd
+from pulsegrid.streaming.ordered import Step, in_order
 
 
 def statsd_intake(lines: DataFrame, received: Column | None = None) -> DataFrame:
@@ -46,25 +46,33 @@ def sliding_stats(rows: DataFrame, size: str, slide: str, watermark: str) -> Dat
                     "n", "mean", "sd"))
 
 
-def sliding_scores(rows: DataFrame, window: int, watermark: str) -> DataFrame:
-    """z-score of each row against itself and the ``window`` rows before it.
+class _Sliding(Step):
+    state = "recent array<double>"
+    out = "series_id string, ts timestamp, seq bigint, value double, score double"
 
-    Keeps the last ``window`` values of a series as state.
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        new = pd.concat(batches).sort_values(["ts", "seq"], ignore_index=True)
-        vals = pd.Series(past + new["value"].tolist(), dtype="float64")
-        roll = vals.rolling(window + 1, min_periods=1)
+    def __init__(self, window: int):
+        self.window = window
+
+    def begin(self) -> tuple:
+        return ([],)
+
+    def rows(self, key: tuple, state: tuple, frame: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        past = list(state[0])
+        vals = pd.Series(past + frame["value"].tolist(), dtype="float64")
+        roll = vals.rolling(self.window + 1, min_periods=1)
         sd = roll.std(ddof=0)
         z = ((vals - roll.mean()) / sd).abs().where(sd > 1e-12 * vals.abs().clip(lower=1.0), 0.0).fillna(0.0)
-        state.update((vals.tail(window).tolist(),))
-        new["score"] = z.iloc[len(past):].to_numpy()
-        yield new[["series_id", "ts", "seq", "value", "score"]]
+        out = pd.DataFrame({"series_id": frame["series_id"], "ts": pd.to_datetime(frame["us"], unit="us", utc=True),
+                            "seq": frame["seq"], "value": frame["value"], "score": z.iloc[len(past):].to_numpy()})
+        return ([None if x != x else float(x) for x in vals.tail(self.window)],), out
 
-    return (rows.withWatermark("ts", watermark).groupBy("series_id").applyInPandasWithState(
-        step, "series_id string, ts timestamp, seq bigint, value double, score double",
-        "recent array<double>", "append", GroupStateTimeout.NoTimeout))
+
+def sliding_scores(rows: DataFrame, window: int, watermark: str) -> DataFrame:
+    """z-score of each row against itself and the ``window`` rows before it in event time.
+
+    A row is scored when the watermark has passed it; the last ``window`` values of a series are kept as state.
+    """
+    return in_order(rows.select("series_id", "ts", "seq", "value"), "series_id", _Sliding(window), watermark)
 
 
 def score_stream(rows: DataFrame, detector: RowDetector, params: DataFrame) -> DataFrame:
@@ -86,32 +94,38 @@ def suppress_each_batch(read_windows: Callable[[], DataFrame], then: Callable[[D
     return each
 
 
+class _Counter(Step):
+    state = "last double"
+    out = "name string, value double, ts timestamp, labels string, source string, unit string, seq bigint"
+
+    def __init__(self, span: float):
+        self.span = span
+
+    def begin(self) -> tuple:
+        return (None,)
+
+    def rows(self, key: tuple, state: tuple, frame: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        value = frame["value"]
+        before = value.shift(1)
+        if state[0] is not None:
+            before.iloc[0] = state[0]
+        rise = value - before
+        delta = before.notna() & frame["name"].str.contains("Octets", regex=False)
+        out = frame[["name", "value", "us", "labels", "source", "unit", "seq"]].rename(columns={"us": "ts"})
+        out["ts"] = pd.to_datetime(out["ts"], unit="us", utc=True)
+        out["value"] = value.where(~delta, rise.where(rise >= 0, self.span - before + value))
+        out["name"] = out["name"].where(~delta, out["name"] + "_delta")
+        return (float(value.iloc[-1]),), out
+
+
 def counter_stream(samples: DataFrame, watermark: str, bits: int = 64, strict_parity: bool = False) -> DataFrame:
     """Polled device samples as metrics, octet counters as increases between polls.
 
-    The last reading of every counter is kept as state, so the result does not
-    depend on where micro-batches are cut.
+    Polls of a counter are taken in event-time order when the watermark has passed them, so a poll that comes late inside
+    it is no wrap, and the result does not depend on where files and micro-batches are cut.
     """
     named = name_samples(samples, strict_parity=strict_parity).select(
         device_key(strict_parity).alias("device"), F.col("value").cast("double").alias("value"), "ts", "seq", "name",
         F.to_json(sample_labels()).alias("labels"), source_name().alias("source"), "unit")
-    span = float(2 ** (64 if bits == 64 else 32))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(batches).sort_values(["ts", "seq"], ignore_index=True)
-        prev = new["value"].shift(1)
-        if state.exists:
-            prev.iloc[0] = state.get[0]
-        known = pd.Series(True, index=new.index)
-        known.iloc[0] = state.exists
-        state.update((float(new["value"].iloc[-1]),))
-        rise = new["value"] - prev
-        delta = known & new["name"].str.contains("Octets", regex=False)
-        new["value"] = new["value"].where(~delta, rise.where(rise >= 0, span - prev + new["value"]))
-        new["name"] = new["name"].where(~delta, new["name"] + "_delta")
-        yield new[["name", "value", "ts", "labels", "source", "unit", "seq"]]
-
-    out = named.withWatermark("ts", watermark).groupBy("device").applyInPandasWithState(
-        step, "name string, value double, ts timestamp, labels string, source string, unit string, seq bigint",
-        "last double", "append", GroupStateTimeout.NoTimeout)
-    return out.withColumn("labels", F.from_json("labels", "map<string,string>"))
+    step = _Counter(float(2 ** (64 if bits == 64 else 32)))
+    return in_order(named, "device", step, watermark).withColumn("labels", F.from_json("labels", "map<string,string>"))

@@ -11,6 +11,7 @@ from pulsegrid.operators import alerts as al, maintenance as mt
 from pulsegrid.operators.detectors.statistical import SlidingZScore, ZScore
 from pulsegrid.sources import snmp
 from pulsegrid.streaming import alerts as sa, metrics as sm, runs
+from workload.tables import in_turn
 
 
 @pytest.fixture
@@ -36,6 +37,12 @@ def rows(series, spiky):
     return series({"a": spiky, "b": spiky[::-1]})
 
 
+@pytest.fixture
+def later(rows):
+    """The same rows not at the epoch: that is where watermarks start, and rows there count as late."""
+    return rows.withColumn("ts", F.col("ts") + F.expr("interval 10 days"))
+
+
 def test_closed_streams_return_all_bins(rows, streamed):
     got = runs.run_closed(streamed(rows), lambda r: sm.resample_stream(r, "10 minutes", "5 minutes", "max"))
     want = rows.groupBy("series_id", F.window("ts", "10 minutes").alias("w")).agg(F.max("value").alias("v"))
@@ -66,8 +73,9 @@ def test_sliding_stats(rows, streamed):
     assert first.n == 60 and first["mean"] == pytest.approx(v.mean()) and first.sd == pytest.approx(v.std())
 
 
-def test_sliding_scores_do_not_depend_on_batches(rows, streamed):
-    got = runs.run_available(sm.sliding_scores(streamed(rows), 30, "1 hour"))
+def test_sliding_scores_do_not_depend_on_batches(later, streamed):
+    rows = later
+    got = runs.run_closed(streamed(rows), lambda r: sm.sliding_scores(r, 30, "1 hour"))
     want = SlidingZScore(30).fit_detect(rows)
     np.testing.assert_allclose(column(got, "score"), column(want, "score"), atol=1e-6)
 
@@ -96,12 +104,12 @@ def test_statsd_text(spark, tmp_path):
 
 def test_counters_across_batches(spark, frame, streamed):
     octets = "1.3.6.1.2.1.2.2.1.10"
-    pdf = pd.DataFrame([(f"h{i % 2}", 161, f"{octets}.{i % 3}", float((i * 997_000_003) % 2**32), i * 30, i) for i in range(120)],
+    pdf = pd.DataFrame([(f"h{i % 2}", 161, f"{octets}.{i % 3}", float((i * 997_000_003) % 2**32), 1e6 + i * 30, i) for i in range(120)],
                        columns=["host", "port", "oid", "value", "t", "seq"])
     df = frame(pdf).withColumns({"ts": F.timestamp_seconds("t"), "port": F.col("port").cast("int"),
                                  "labels": F.create_map(F.lit("x"), F.lit("y"))}).drop("t")
     for strict in (False, True):
-        got = runs.run_available(sm.counter_stream(streamed(df), "1 hour", 32, strict))
+        got = runs.run_closed(streamed(df), lambda r: sm.counter_stream(r, "1 hour", 32, strict))
         want = snmp.parse_samples(df, bits=32, strict_parity=strict)
         assert column(got, "value", ("seq",)).tolist() == column(want, "value", ("seq",)).tolist()
         assert [r.name for r in got.orderBy("seq").collect()] == [r.name for r in want.orderBy("seq").collect()]
@@ -138,9 +146,9 @@ def test_alert_states_equal_batch_episodes(history, streamed, parts):
     commands = history.filter("kind in ('acknowledge', 'resolve')").select("fingerprint", "ts", "seq", F.col("kind").alias("action"))
     silences = history.filter("kind = 'silence'").select("fingerprint", F.col("ts").alias("start_ts"), "minutes")
     want = al.episodes(fires.drop("kind", "minutes"), silences=silences, commands=commands)
-    rules = sa.AlertRules(escalation_minutes=1e7, idle_hours=1e6)
     given = history.select(*sa.EVENT_COLUMNS)
-    got = sa.latest_alerts(runs.run_available(sa.alert_stream(streamed(given, parts), "1 second", rules)))
+    rules = sa.AlertRules(escalation_minutes=1e9)
+    got = sa.latest_alerts(runs.run_closed(streamed(given, parts), lambda e: sa.alert_stream(e, "1 second", rules)))
     assert as_set(got) == as_set(want)
 
 
@@ -151,19 +159,59 @@ def test_escalation_and_forgetting_follow_event_time(spark, frame, streamed):
     # not at the epoch: that is where watermarks start, and rows there count as late
     df = frame(pdf).withColumns({"ts": F.timestamp_seconds(F.col("t") + 1e6), "fingerprint": F.col("metric_name"), "value": F.lit(1.0),
                                  "score": F.lit(.5), "minutes": F.lit(None).cast("double"), "severity": F.col("severity").cast("int")})
-    changes = runs.run_available(sa.alert_stream(streamed(df.select(*sa.EVENT_COLUMNS), 3), "1 minute"))
+    rules = sa.AlertRules(keep_open=False)
+    changes = runs.run_closed(streamed(df.select(*sa.EVENT_COLUMNS), 3), lambda e: sa.alert_stream(e, "1 minute", rules))
     got = [(r.fingerprint, r.change, r.severity) for r in changes.orderBy("fingerprint", "ts", "seq").collect()]
     assert got[:3] == [("x", "fired", 1), ("x", "merged", 1), ("x", "escalated", 2)]
     assert ("y", "escalated", 2) not in got                  # acknowledged in time
     assert not any(f == "x" and c == "acknowledged" for f, c, _ in got)      # forgotten after a quiet day
 
 
-def test_open_alerts_are_kept_on_request(spark, frame, streamed):
+def test_open_alerts_are_kept(spark, frame, streamed):
     pdf = pd.DataFrame([("x", 0.0, 0, "fire", 4), ("z", 90_000.0, 1, "fire", 0), ("x", 180_000.0, 2, "acknowledge", 0)],
                        columns=["metric_name", "t", "seq", "kind", "severity"])
     df = frame(pdf).withColumns({"ts": F.timestamp_seconds(F.col("t") + 1e6), "fingerprint": F.col("metric_name"), "value": F.lit(1.0),
                                  "score": F.lit(.5), "minutes": F.lit(None).cast("double"), "severity": F.col("severity").cast("int")})
-    rules = sa.AlertRules(keep_open=True)
-    changes = runs.run_available(sa.alert_stream(streamed(df.select(*sa.EVENT_COLUMNS), 3), "1 minute", rules))
+    changes = runs.run_closed(streamed(df.select(*sa.EVENT_COLUMNS), 3), lambda e: sa.alert_stream(e, "1 minute"))
     got = [(r.fingerprint, r.change) for r in changes.orderBy("fingerprint", "ts", "seq").collect()]
     assert [c for f, c in got if f == "x"] == ["fired", "acknowledged"]
+
+
+def test_late_rows_inside_the_watermark_are_put_in_order(later):
+    """Rows that come in parts, each up to an hour late, are scored as in one batch; rows later than that are dropped."""
+    rows = later
+    got = runs.run_in_turn(in_turn(rows, 5, late_hours=1), lambda r: sm.sliding_scores(r, 30, "1 hour"))
+    want = SlidingZScore(30).fit_detect(rows)
+    np.testing.assert_allclose(column(got, "score"), column(want, "score"), atol=1e-6)
+    first, late = rows.filter("seq < 300 or seq >= 310"), rows.filter("seq between 300 and 309")
+    got = runs.run_in_turn([first, late], lambda r: sm.sliding_scores(r, 30, "1 hour"))
+    want = SlidingZScore(30).fit_detect(first)
+    np.testing.assert_allclose(column(got, "score"), column(want, "score"), atol=1e-6)
+
+
+def test_late_poll_is_no_wrap(spark, frame):
+    octets = "1.3.6.1.2.1.2.2.1.10.1"
+    pdf = pd.DataFrame([("h", 161, octets, v, 1e6 + t, t) for t, v in ((0, 100.0), (60, 160.0), (30, 130.0), (90, 190.0))],
+                       columns=["host", "port", "oid", "value", "t", "seq"])
+    df = frame(pdf).withColumns({"ts": F.timestamp_seconds("t"), "port": F.col("port").cast("int"),
+                                 "labels": F.create_map(F.lit("x"), F.lit("y"))}).drop("t")
+    parts = [df.filter("seq in (0, 60)"), df.filter("seq in (30, 90)")]
+    got = runs.run_in_turn(parts, lambda r: sm.counter_stream(r, "1 hour", 32))
+    assert column(got, "value", ("seq",)).tolist() == [100.0, 30.0, 30.0, 30.0]
+
+
+@pytest.mark.parametrize("escalation", [30.0, 1e9])
+def test_late_alert_events_equal_batch(history, escalation):
+    """Events up to an hour late, in parts: without escalation as the batch; with it one level more where an alert is left firing."""
+    fires = history.filter("kind = 'fire'")
+    commands = history.filter("kind in ('acknowledge', 'resolve')").select("fingerprint", "ts", "seq", F.col("kind").alias("action"))
+    silences = history.filter("kind = 'silence'").select("fingerprint", F.col("ts").alias("start_ts"), "minutes")
+    want = al.episodes(fires.drop("kind", "minutes"), silences=silences, commands=commands)
+    rules = sa.AlertRules(escalation_minutes=escalation, idle_hours=1.0)
+    changes = runs.run_in_turn(in_turn(history.select(*sa.EVENT_COLUMNS), 4, late_hours=1), lambda e: sa.alert_stream(e, "1 hour", rules))
+    got, want = as_set(sa.latest_alerts(changes)), as_set(want)
+    raised = {r.id for r in changes.filter("change = 'escalated'").collect()}
+    assert {(r[:2] + r[3:]) for r in got} == {(r[:2] + r[3:]) for r in want}
+    higher = {r[0]: r[2] for r in want}
+    assert all(r[2] == higher[r[0]] or (r[0] in raised and r[2] == higher[r[0]] + 1) for r in got)
+    assert bool(raised) == (escalation == 30.0)

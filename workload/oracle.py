@@ -578,7 +578,16 @@ SELECT fingerprint, metric_name, state, count FROM alerts WHERE cur AND state IN
 CMDS = lifecycle(f"{CMD}, {PLAIN}", True)
 ORACLE["alert_history"] = f"""WITH {CMDS}
 SELECT id, count, {rnd('(last_us - first_us) / 6e7', 'duration_minutes')} FROM alerts WHERE state = 'resolved'"""
-ORACLE["stream_alerts"] = f"WITH {FULL} {ALERTS} FROM alerts"
+# an alert that is still firing 30 minutes after its start is raised by one level, from the severity it had until then
+ORACLE["stream_alerts"] = f"""WITH {FULL},
+stops AS (SELECT fp, episode, min(us) FILTER (kind <> 'fire') AS stop, min(us) FILTER (kind = 'fire') AS first_us FROM ch GROUP BY 1, 2),
+ends AS (SELECT fp, episode, first_us + 1800000000 AS due, least(stop, lead(first_us) OVER (PARTITION BY fp ORDER BY episode)) AS stop FROM stops),
+sev AS (SELECT ch.fp, ch.episode, max(severity) AS severity, max(severity) FILTER (us <= due) AS until_due, any_value(due) AS due, any_value(stop) AS stop
+        FROM ch JOIN ends USING (fp, episode) WHERE kind = 'fire' GROUP BY 1, 2),
+raised AS (SELECT fp AS fingerprint, episode,
+                  CASE WHEN (stop IS NULL OR stop > due) AND until_due < 4 THEN greatest(severity, until_due + 1) ELSE severity END AS severity FROM sev)
+SELECT id, fingerprint, metric_name, CAST(raised.severity AS INTEGER) AS severity, state, first_us, last_us, count,
+       {rnd('value', 'value')}, {rnd('score', 'score')}, message FROM alerts JOIN raised USING (fingerprint, episode)"""
 ORACLE["alert_escalated"] = f"""WITH {lifecycle(f"{FIRE}, f AS (SELECT *, false AS muted FROM fire)", False, 2_400_000_000)},
 ticks AS (SELECT DISTINCT epoch_us(date_trunc('day', ts)) AS t FROM events)
 SELECT id, CAST(CASE WHEN cur AND state = 'firing'
@@ -687,16 +696,6 @@ FROM events GROUP BY 1, 2"""
 
 ORACLE["stream_zscore"] = f"WITH {SW} SELECT series_id, seq, {rnd('z', 'score')} FROM wz"
 ORACLE["stream_scored"] = ORACLE["detect_zscore"]
-# a stream emits a bin once the watermark, an hour behind the newest row, has passed its end
-ORACLE["stream_resample"] = f"""
-WITH b AS (SELECT event_type AS series_id, epoch_us(date_trunc('hour', ts)) AS bin_us, avg(value) AS value FROM events GROUP BY 1, 2)
-SELECT series_id, bin_us, {rnd('value', 'value')} FROM b
-WHERE bin_us + 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events)"""
-ORACLE["stream_sliding"] = f"""
-WITH s AS (SELECT event_type AS series_id, value, unnest([epoch_us(ts) // 7200000000 * 7200000000 - i * 7200000000 for i in range(0, 3)]) AS span_us FROM events),
-b AS (SELECT series_id, span_us, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM s GROUP BY 1, 2)
-SELECT series_id, span_us, n, {rnd('mean', 'mean')}, {rnd('sd', 'sd')} FROM b
-WHERE span_us + 21600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events)"""
 # with a closing row, every bin is emitted
 ORACLE["stream_resample_closed"] = f"""
 WITH b AS (SELECT event_type AS series_id, epoch_us(date_trunc('hour', ts)) AS bin_us, avg(value) AS value FROM events GROUP BY 1, 2)
@@ -705,3 +704,4 @@ ORACLE["stream_sliding_closed"] = f"""
 WITH s AS (SELECT event_type AS series_id, value, unnest([epoch_us(ts) // 7200000000 * 7200000000 - i * 7200000000 for i in range(0, 3)]) AS span_us FROM events),
 b AS (SELECT series_id, span_us, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM s GROUP BY 1, 2)
 SELECT series_id, span_us, n, {rnd('mean', 'mean')}, {rnd('sd', 'sd')} FROM b"""
+ORACLE["stream_resample"], ORACLE["stream_sliding"] = ORACLE["stream_resample_closed"], ORACLE["stream_sliding_closed"]

@@ -867,8 +867,8 @@ def _event_stream(spark, d) -> DataFrame:
 
 @query
 def stream_resample(spark, d):
-    """Hourly means of the bins that the watermark, an hour behind the newest row, has passed."""
-    out = runs.run_available(sm.resample_stream(_event_stream(spark, d), "1 hour", "1 hour"), "resample")
+    """Hourly means of rows that come in four parts, each row up to 20 hours late."""
+    out = runs.run_in_turn(tb.in_turn(tb.events(spark, d)), lambda rows: sm.resample_stream(rows, "1 hour", "1 day"), "resample")
     return out.select("series_id", micros(F.col("bin_start")).alias("bin_us"), r("value"))
 
 
@@ -881,7 +881,8 @@ def stream_resample_closed(spark, d):
 
 @query
 def stream_sliding(spark, d):
-    out = runs.run_available(sm.sliding_stats(_event_stream(spark, d), "6 hours", "2 hours", "1 hour"), "sliding")
+    """Statistics of six hours every two hours, of rows that come in four parts, each row up to 20 hours late."""
+    out = runs.run_in_turn(tb.in_turn(tb.events(spark, d)), lambda rows: sm.sliding_stats(rows, "6 hours", "2 hours", "1 day"), "sliding")
     return out.select("series_id", micros(F.col("span_start")).alias("span_us"), "n", r("mean"), r("sd"))
 
 
@@ -894,7 +895,8 @@ def stream_sliding_closed(spark, d):
 
 @query
 def stream_zscore(spark, d):
-    out = runs.run_available(sm.sliding_scores(_event_stream(spark, d), 50, "1 hour"), "zscore")
+    """Scores against the 50 rows before in event time, of rows that come in four parts, each row up to 20 hours late."""
+    out = runs.run_in_turn(tb.in_turn(tb.events(spark, d)), lambda rows: sm.sliding_scores(rows, 50, "1 day"), "zscore")
     return out.select("series_id", "seq", r("score"))
 
 
@@ -924,28 +926,23 @@ def stream_statsd(spark, d):
 
 @query
 def stream_counters(spark, d):
-    path = new_path(spark, "samples")
-    samples = tb.device_samples(spark, d)
-    samples.write.parquet(path)
-    stream = spark.readStream.schema(samples.schema).parquet(path)
-    out = runs.run_available(sm.counter_stream(stream, "10000 days", bits=32), "counters")
+    """Increases of counters whose polls come in four parts, each poll up to 30 days late."""
+    samples = written(tb.device_samples(spark, d), "samples")
+    out = runs.run_in_turn(tb.in_turn(samples, late_hours=720), lambda rows: sm.counter_stream(rows, "40 days", bits=32), "counters")
     return out.select("name", "seq", r("value", 1), "unit", F.col("labels")["ifIndex"].alias("if_index"))
 
 
 @query
 def stream_alerts(spark, d):
-    """Fires, silences and commands as one stream through the alert states."""
+    """Fires, silences and commands in four parts through the alert states, each up to 20 hours late; alerts escalate once after 30 minutes."""
     fire = tb.fires(spark, d).select("fingerprint", "ts", "seq", F.lit("fire").alias("kind"), "metric_name",
                                      "severity", "value", "score", F.lit(None).cast("double").alias("minutes"))
     told = tb.commands(spark, d).withColumnRenamed("action", "kind")
     mute = tb.silences(spark, d).select("fingerprint", F.col("start_ts").alias("ts"), F.lit(0).cast("bigint").alias("seq"),
                                         F.lit("silence").alias("kind"), F.col("minutes").cast("double").alias("minutes"))
     given = fire.unionByName(told, allowMissingColumns=True).unionByName(mute, allowMissingColumns=True)
-    path = new_path(spark, "alert-events")
-    given.write.parquet(path)
-    stream = spark.readStream.schema(given.schema).parquet(path)
-    rules = sa.AlertRules(escalation_minutes=1e7, idle_hours=1e6)
-    changes = runs.run_available(sa.alert_stream(stream, "1 day", rules), "alerts")
+    given = written(given, "alert-events")
+    changes = runs.run_in_turn(tb.in_turn(given), lambda rows: sa.alert_stream(rows, "1 day"), "alerts")
     out = sa.latest_alerts(changes)
     return out.select("id", "fingerprint", "metric_name", "severity", "state",
                       micros(F.col("first_seen")).alias("first_us"), micros(F.col("last_seen")).alias("last_us"),
