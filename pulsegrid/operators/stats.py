@@ -6,17 +6,15 @@ series is pre-aggregated in every task instead of being gathered in one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.operators.ordering import DEFAULT, Layout, with_neighbour
 from pulsegrid.schema import micros
-from pulsegrid.session import planned_bytes, sized, written
+from pulsegrid.session import shared, sized, written
 
-#: ``percentile`` keeps every distinct value of a group; above this many rows a
-#: series is narrowed to a bracket around each quantile first.
-EXACT_ROWS = 2_000_000
-#: Inputs that may be larger than this are checked for such series.
-CHECK_ABOVE_BYTES = 64 << 20
+#: Bits that a round of the selection looks at, and values of one rank that may be sorted in a task.
+DIGIT = 16
+LEAF_ROWS = 1 << 16
 
 
 def join_stats(rows: DataFrame, stats: DataFrame, on: str | list[str] = "series_id",
@@ -33,92 +31,78 @@ def moments(rows: DataFrame, value: str = "value", by: list[str] | None = None)
         F.min(v).alias("vmin"), F.max(v).alias("vmax"))
 
 
-def quantiles(rows: DataFrame, qs: dict[str, float], value: str = "value",
-              exact_rows: int = EXACT_ROWS, check_above_bytes: int = CHECK_ABOVE_BYTES) -> DataFrame:
-    """Exact, linearly interpolated quantiles per series: ``n`` and one column per name."""
-    v = F.col(value)
-    rows = rows.select("series_id", v.alias("v")).filter(F.col("v").isNotNull())
-    if planned_bytes(rows) <= check_above_bytes:
-        return _direct(rows, qs)
-    counts = written(rows.groupBy("series_id").agg(F.count("*").alias("n")), "counts")
-    giant = counts.filter(F.col("n") > exact_rows).select("series_id")
-    if giant.isEmpty():
-        return _direct(rows, qs)
-    small = rows.join(giant, "series_id", "left_anti")
-    large = rows.join(giant, "series_id", "left_semi")
-    out = _direct(small, qs)
-    big = None
-    for name, q in qs.items():
-        one = _narrowed(large, counts, q, exact_rows).withColumnRenamed("quantile", name)
-        big = one if big is None else big.join(one.drop("n"), "series_id")
-    return out.unionByName(big.select(out.columns))
-
-
-def _direct(rows: DataFrame, qs: dict[str, float]) -> DataFrame:
-    # one percentile() per group builds one value map for all the quantiles
-    got = rows.groupBy("series_id").agg(
-        F.count("*").alias("n"),
-        F.percentile("v", F.array(*[F.lit(float(q)) for q in qs.values()])).alias("_q"))
-    return got.select("series_id", "n", *[F.col("_q")[i].alias(k) for i, k in enumerate(qs)])
-
-
-def _narrowed(rows: DataFrame, counts: DataFrame, q: float, exact_rows: int) -> DataFrame:
-    """Exact quantile of very long series: shrink to the values that can decide it.
-
-    Each round brackets the two ranks in question with a sketch, checks the
-    bracket by counting, and keeps only the values inside.  The values outside
-    enter as counts, so the result stays exact.
+def sort_key(v: Column) -> Column:
+    """A bigint that orders as the doubles ``v`` do, different values apart: the bits of |v|, negated below zero; NaN comes last."""
+    size = F.abs(v)
+    guess = F.floor(F.log2(size)).cast("int")  # may be one off next to a power of two
+    exponent = guess + F.when(size < F.pow(F.lit(2.0), guess), -1).when(size >= F.pow(F.lit(2.0), guess + 1), 1).otherwise(0)
+    normal = (exponent + 1023).cast("bigint") * (1 << 52) + ((size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)).cast("bigint")
+    tiny = (size * 2.0 ** 537 * 2.0 ** 537).cast("bigint")  # below 2**-1022 the value counts steps of 2**-1074
+    top = F.lit(2047 << 52)
+    bits = (F.when(F.isnan(v), top + 1).when(size == float("inf"), top).when(size < 2.0 ** -1022, tiny).otherwise(normal))
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
+def quantiles(rows: DataFrame, qs: dict[str, float], value: str = "value", leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Exact, linearly interpolated quantiles per series: ``n`` and one column per name.
+
+    Radix selection: 16 bits of the values' order-preserving keys at a time, a histogram of each series tells in which
+    digit the wanted ranks lie, and only values with the digits found so far go on, until those of a rank are at most
+    ``leaf_rows``, or equal.  So a task holds one histogram or one leaf of a series, however long that is.
     """
-    at = (F.col("n") - 1) * F.lit(float(q))
-    state = written(counts.join(rows.select("series_id").distinct(), "series_id", "left_semi")
-                    .select("series_id", "n", F.floor(at).alias("lo_rank"), F.ceil(at).alias("hi_rank"),
-                            (at - F.floor(at)).alias("frac"), F.lit(0).cast("bigint").alias("below"),
-                            F.col("n").alias("inside")), "ranks")
-    while not state.filter(F.col("inside") > exact_rows).isEmpty():
-        ranked = rows.join(state, "series_id")
-        here = (F.lit(0.5) * (F.col("lo_rank") + F.col("hi_rank")) - F.col("below")) / F.col("inside")
-        grid = [i / 256 for i in range(257)]
-        sketch = ranked.groupBy("series_id").agg(
-            F.percentile_approx("v", F.array(*[F.lit(g) for g in grid]), 20_000).alias("g"),
-            F.first(here).alias("here"), F.min("v").alias("v0"), F.max("v").alias("v1"))
-        slot = F.floor(F.col("here") * 256).cast("int")
-        bracket = written(sketch.select(
-            "series_id", "v0", "v1",
-            F.when(slot <= 1, F.col("v0")).otherwise(F.get("g", slot - 1)).alias("b0"),
-            F.when(slot >= 254, F.col("v1")).otherwise(F.get("g", slot + 2)).alias("b1")), "bracket")
-        checked = rows.join(bracket, "series_id").groupBy("series_id").agg(
-            F.count_if(F.col("v") < F.col("b0")).alias("under"),
-            F.count_if(F.col("v").between(F.col("b0"), F.col("b1"))).alias("kept"))
-        new = written(state.join(checked, "series_id").join(bracket, "series_id").withColumn(
-            "ok", (F.col("lo_rank") >= F.col("below") + F.col("under"))
-            & (F.col("hi_rank") < F.col("below") + F.col("under") + F.col("kept"))), "ranks")
-        # a bracket that missed (or no longer shrinks) leaves its series as it is
-        ok = F.col("ok") & (F.col("kept") < F.col("inside"))
-        if new.filter(ok & (F.col("inside") > exact_rows)).isEmpty():
-            break
-        keep = new.select("series_id", ok.alias("ok"), "b0", "b1")
-        rows = written(rows.join(keep, "series_id").filter(
-            ~F.col("ok") | F.col("v").between(F.col("b0"), F.col("b1"))).select("series_id", "v"), "inside")
-        state = written(new.select(
-            "series_id", "n", "lo_rank", "hi_rank", "frac",
-            F.when(ok, F.col("below") + F.col("under")).otherwise(F.col("below")).alias("below"),
-            F.when(ok, F.col("kept")).otherwise(F.col("inside")).alias("inside")), "ranks")
-    # equal values collapse to one weighted row; running weights locate the ranks
-    return _at_ranks(rows, state)
-
-
-def _at_ranks(rows: DataFrame, state: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    weighted = rows.groupBy("series_id", "v").agg(F.count("*").alias("w"))
-    upto = Window.partitionBy("series_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = weighted.withColumn("end", F.sum("w").over(upto)).join(state, "series_id").withColumns({
-        "first": F.col("below") + F.col("end") - F.col("w"), "last": F.col("below") + F.col("end") - 1})
-    hit = lambda r: F.max(F.when(F.col(r).between(F.col("first"), F.col("last")), F.col("v")))
-    got = placed.groupBy("series_id").agg(F.first("n").alias("n"), F.first("frac").alias("frac"),
-                                          hit("lo_rank").alias("a"), hit("hi_rank").alias("b"))
-    return got.select("series_id", "n",
-                      (F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).alias("quantile"))
+    v = F.col(value).cast("double")
+    wanted = [float(q) for q in qs.values()]
+    keys = shared(rows.select("series_id", v.alias("v"), sort_key(v).alias("key")).filter("v is not null"), "keys")
+    shift = 64
+    state = None
+    while state is None or (shift > 0 and not state.filter(F.array_max("rank.inside") > leaf_rows).isEmpty()):
+        shift -= DIGIT
+        state = written(_narrowed(keys, state, wanted, shift), "ranks")
+    found = _candidates(keys, state, shift).groupBy("series_id", F.shiftright("key", shift).alias("digits")).agg(
+        F.first("n").alias("n"), F.first("rank").alias("rank"),
+        (F.array(F.min("v")) if shift == 0 else F.sort_array(F.collect_list("v"))).alias("leaf"))
+    at = lambda k: F.col("rank")[k]
+    place = lambda k: F.lit(0) if shift == 0 else (at(k)["rank"] - at(k)["below"]).cast("int")
+    ends = found.groupBy("series_id").agg(F.first("n").alias("n"), *[
+        F.max(F.when(at(k)["digits"] == F.col("digits"), F.get("leaf", place(k)))).alias(f"r{k}") for k in range(2 * len(wanted))])
+
+    def between(k: int, q: float) -> Column:
+        low, high, pos = F.col(f"r{2 * k}"), F.col(f"r{2 * k + 1}"), (F.col("n") - 1) * F.lit(q)
+        return F.when(low == high, low).otherwise((F.ceil(pos) - pos) * low + (pos - F.floor(pos)) * high)
+
+    return ends.select("series_id", "n", *[between(k, q).alias(name) for k, (name, q) in enumerate(qs.items())])
+
+
+def _candidates(keys: DataFrame, state: DataFrame, shift: int) -> DataFrame:
+    """Values that share the digits down to ``shift`` with a wanted rank of their series, and its ranks."""
+    return keys.join(state, "series_id").filter(F.array_contains(F.col("rank.digits"), F.shiftright("key", shift)))
+
+
+def _narrowed(keys: DataFrame, state: DataFrame | None, wanted: list[float], shift: int) -> DataFrame:
+    """(series_id, n, rank): for each wanted rank its digits down to ``shift``, the values below them and those inside."""
+    digits = F.shiftright("key", shift).alias("digits")
+    if state is None:
+        counted = keys.groupBy("series_id", digits).agg(F.count("*").alias("w"))
+    else:
+        counted = _candidates(keys, state, shift + DIGIT).groupBy("series_id", digits).agg(
+            F.count("*").alias("w"), F.first("n").alias("n"), F.first("rank").alias("rank"))
+    stem = F.shiftright("digits", DIGIT)
+    upto = Window.partitionBy("series_id", stem).orderBy("digits").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = counted.withColumn("end", F.sum("w").over(upto))
+    if state is None:
+        counted = counted.withColumn("before", F.sum("w").over(Window.partitionBy("series_id").orderBy("digits")) - F.col("w")).withColumn(
+            "n", F.sum("w").over(Window.partitionBy("series_id")))
+        places = [x for q in wanted for x in (F.floor((F.col("n") - 1) * F.lit(q)), F.ceil((F.col("n") - 1) * F.lit(q)))]
+        counted = counted.withColumn("places", F.array(*[x.cast("bigint") for x in places]))
+        rank, below = (lambda k: F.col("places")[k]), (lambda k: F.col("before"))
+        mine = lambda k: F.lit(True)
+    else:
+        rank = lambda k: F.col("rank")[k]["rank"]
+        below = lambda k: F.col("rank")[k]["below"] + F.col("end") - F.col("w")
+        mine = lambda k: F.col("rank")[k]["digits"] == stem
+    hits = [F.max(F.when(mine(k) & (rank(k) >= below(k)) & (rank(k) < below(k) + F.col("w")), F.struct(
+        rank(k).alias("rank"), F.col("digits"), below(k).alias("below"), F.col("w").alias("inside")))) for k in range(2 * len(wanted))]
+    return counted.groupBy("series_id").agg(F.first("n").alias("n"), F.array(*hits).alias("rank"))
 
 
 def mad(rows: DataFrame, value: str = "value") -> DataFrame:

@@ -76,18 +76,39 @@ def test_row_order_and_partitions_do_not_matter(uneven):
     assert (a == b).all()
 
 
-@pytest.mark.parametrize("exact_rows", [10, 120, 10_000])
-def test_quantiles_of_giant_series_stay_exact(series, exact_rows):
-    v = np.concatenate([RNG.lognormal(0, 3, 2000), np.full(700, 1.5)])
-    rows = series({"big": v, "small": v[:37]}, step=1.0)
+@pytest.mark.parametrize("leaf_rows", [1, 10, 120, 10_000])
+def test_quantiles_are_exact_for_any_leaf(series, leaf_rows):
+    """Ranks found digit by digit, whatever the range, the sign and the ties of the values."""
+    wide = np.concatenate([RNG.lognormal(0, 150, 900), -RNG.lognormal(0, 150, 900), [0.0, -0.0, 5e-324, -5e-324, 2.2e-308, 2.0 ** -1022]])
+    shapes = {"big": np.concatenate([RNG.lognormal(0, 3, 2000), np.full(700, 1.5)]), "wide": wide, "same": np.full(500, -7.25),
+              "close": 1e9 + np.arange(600) * 2.0 ** -20, "powers": 2.0 ** np.arange(-40, 40), "one": np.array([3.0])}
+    rows = series({**shapes, "small": shapes["big"][:37], "none": np.array([np.nan])}, step=1.0)
     qs = {"a": 0.01, "b": 0.25, "c": 0.5, "d": 0.999, "e": 0.0, "f": 1.0}
-    got = {r["series_id"]: r for r in st.quantiles(rows, qs, exact_rows=exact_rows, check_above_bytes=0).collect()}
-    for name, vals in (("big", v), ("small", v[:37])):
+    got = {r["series_id"]: r for r in st.quantiles(rows, qs, leaf_rows=leaf_rows).collect()}
+    assert set(got) == {*shapes, "small"}
+    for name, vals in {**shapes, "small": shapes["big"][:37]}.items():
         assert got[name]["n"] == len(vals)
         for k, q in qs.items():
             assert got[name][k] == pytest.approx(np.quantile(vals, q), rel=1e-12)
 
 
+def test_sort_key_orders_all_doubles(spark):
+    rng = np.random.default_rng(3)
+    some = rng.integers(-2 ** 63, 2 ** 63, 20_000, dtype=np.int64).view(np.float64)
+    edges = [s * x for s in (1.0, -1.0) for e in range(-1074, 1024, 7) for x in (2.0 ** e, np.nextafter(2.0 ** e, 0), np.nextafter(2.0 ** e, np.inf))]
+    vals = np.concatenate([some[np.isfinite(some)], edges, [0.0, np.inf, -np.inf, 1.7976931348623157e308]])
+    df = spark.createDataFrame(pd.DataFrame({"v": vals})).select("v", st.sort_key(F.col("v")).alias("k")).toPandas()
+    df = df.sort_values("v", kind="stable")
+    up, rise = np.diff(df.v.to_numpy()) > 0, np.diff(df.k.to_numpy())
+    assert (rise[up] > 0).all() and (rise[~up] == 0).all()
+
+
+def test_quantiles_of_infinite_values(series):
+    rows = series({"s": [1.0, 2.0, float("inf"), float("inf"), 3.0]})
+    got = st.quantiles(rows, {"a": 0.5, "b": 0.75, "c": 0.1}).first()
+    assert (got["a"], got["b"]) == (3.0, float("inf")) and got["c"] == pytest.approx(1.4)
+
+
 def test_hot_series_is_spread_over_tasks(spark, frame):
     """A third of all rows in one series: no window task gets more than a cell or block."""
     pdf = pd.DataFrame({"series_id": ["hot"] * 3000 + [f"s{i % 60}" for i in range(6000)],

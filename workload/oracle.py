@@ -126,20 +126,21 @@ g AS (SELECT series_id, seq, us, idx, CASE WHEN value >= 20 THEN value END AS va
 ORACLE["fill_zero"] = f"WITH {GAPPY} SELECT series_id, seq, {rnd('coalesce(value, 0.0)', 'value')} FROM g"
 
 
-def linear(base: str, table: str, limit: float | None, digits: int = 6) -> str:
+def linear(base: str, table: str, limit: float | None, digits: int | None = 6) -> str:
     inner = "lv + (rv - lv) * ((us - lu)::DOUBLE / (ru - lu))"
     if limit is None:
         guess = f"CASE WHEN lv IS NOT NULL AND rv IS NOT NULL THEN {inner} ELSE coalesce(lv, rv) END"
     else:
         guess = (f"CASE WHEN lv IS NOT NULL AND rv IS NOT NULL THEN CASE WHEN ru - lu <= {limit * 1e6} THEN {inner} END "
                  f"WHEN lv IS NOT NULL AND us - lu <= {limit * 1e6} THEN lv END")
+    filled = f"CASE WHEN value IS NOT NULL THEN value ELSE {guess} END" + (" AS value" if digits is None else "")
     back = "(PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     ahead = "(PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
     return f"""WITH {base},
 p AS (SELECT *, CASE WHEN value IS NOT NULL THEN us END AS vu FROM {table}),
 n AS (SELECT *, last_value(value IGNORE NULLS) OVER {back} AS lv, last_value(vu IGNORE NULLS) OVER {back} AS lu,
              first_value(value IGNORE NULLS) OVER {ahead} AS rv, first_value(vu IGNORE NULLS) OVER {ahead} AS ru FROM p)
-SELECT series_id, seq, {rnd(f'CASE WHEN value IS NOT NULL THEN value ELSE {guess} END', 'value', digits)} FROM n"""
+SELECT series_id, seq, {filled if digits is None else rnd(filled, 'value', digits)} FROM n"""
 
 
 def directional(way: str, limit: float | None) -> str:
@@ -154,6 +155,9 @@ SELECT series_id, seq, {rnd('max(value) OVER (PARTITION BY series_id, part)', 'v
 ORACLE["fill_linear"] = linear(GAPPY, "g", None)
 ORACLE["fill_linear_maxgap"] = linear(GAPPY, "g", 1800.0)
 ORACLE["fill_hourly"] = linear(hourly(), "h", None)
+ORACLE["quantiles_generated"] = f"""WITH filled AS ({linear(BINS.format(w="60000000.0", agg="avg(value)"), "h", None, None)})
+SELECT series_id, count(value) AS n, {", ".join(rnd(f"quantile_cont(value, {q})", c, 5) for c, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))}
+FROM filled GROUP BY 1"""
 ORACLE["fill_ffill"] = directional("ASC", None)
 ORACLE["fill_bfill"] = directional("DESC", None)
 ORACLE["fill_ffill_maxgap"] = directional("ASC", 1800.0)

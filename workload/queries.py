@@ -215,6 +215,14 @@ def fill_hourly(spark, d):
     return values_out(gp.fill_gaps(tb.hourly(spark, d)))
 
 
+@query
+def quantiles_generated(spark, d):
+    """Quartiles of one-minute grids, on which the long gaps between events are filled: many times as many rows as are read."""
+    grid = gp.fill_gaps(rs.resample_uniform(tb.events(spark, d), 60.0))
+    q = st.quantiles(grid, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return q.select("series_id", "n", *[r(c, 5) for c in ("q1", "median", "q3")])
+
+
 # --- outliers, normalisation -----------------------------------------------------
 
 def _outliers(method: str) -> Query:
