@@ -47,12 +47,17 @@ def quantiles(rows: DataFrame, qs: dict[str, float], value: str = "value", leaf_
     """Exact, linearly interpolated quantiles per series: ``n`` and one column per name.
 
     Radix selection: 16 bits of the values' order-preserving keys at a time, a histogram of each series tells in which
-    digit the wanted ranks lie, and only values with the digits found so far go on, until those of a rank are at most
-    ``leaf_rows``, or equal.  So a task holds one histogram or one leaf of a series, however long that is.
+    digit the wanted ranks lie, and only values with the digits found so far go on, until those of a rank are counted as at
+    most ``leaf_rows``, or equal.  So a task holds one histogram or one leaf of a series, however long that is.
     """
     v = F.col(value).cast("double")
     wanted = [float(q) for q in qs.values()]
-    keys = shared(rows.select("series_id", v.alias("v"), sort_key(v).alias("key")).filter("v is not null"), "keys")
+    rows = rows.select("series_id", v.alias("v")).filter("v is not null")
+    longest = rows.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
+    if longest <= leaf_rows:  # no digit is needed: every series is a leaf
+        leaf = rows.groupBy("series_id").agg(F.count("*").alias("n"), F.percentile("v", F.array(*[F.lit(q) for q in wanted])).alias("_q"))
+        return leaf.select("series_id", "n", *[F.col("_q")[k].alias(name) for k, name in enumerate(qs)])
+    keys = shared(rows.withColumn("key", sort_key(F.col("v"))), "keys")
     shift = 64
     state = None
     while state is None or (shift > 0 and not state.filter(F.array_max("rank.inside") > leaf_rows).isEmpty()):
@@ -70,7 +75,12 @@ def quantiles(rows: DataFrame, qs: dict[str, float], value: str = "value", leaf_
         low, high, pos = F.col(f"r{2 * k}"), F.col(f"r{2 * k + 1}"), (F.col("n") - 1) * F.lit(q)
         return F.when(low == high, low).otherwise((F.ceil(pos) - pos) * low + (pos - F.floor(pos)) * high)
 
-    return ends.select("series_id", "n", *[between(k, q).alias(name) for k, (name, q) in enumerate(qs.items())])
+    return ends.select("series_id", "n", *[between(k, q).alias(name) for k, (name, q) in enumerate(zip(qs, wanted))])
+
+
+def _places(wanted: list[float]) -> list[Column]:
+    """The ranks from 0, in a series of ``n`` values, on both sides of each quantile."""
+    return [side((F.col("n") - 1) * F.lit(q)).cast("bigint") for q in wanted for side in (F.floor, F.ceil)]
 
 
 def _candidates(keys: DataFrame, state: DataFrame, shift: int) -> DataFrame:
@@ -92,8 +102,7 @@ def _narrowed(keys: DataFrame, state: DataFrame | None, wanted: list[float], shi
     if state is None:
         counted = counted.withColumn("before", F.sum("w").over(Window.partitionBy("series_id").orderBy("digits")) - F.col("w")).withColumn(
             "n", F.sum("w").over(Window.partitionBy("series_id")))
-        places = [x for q in wanted for x in (F.floor((F.col("n") - 1) * F.lit(q)), F.ceil((F.col("n") - 1) * F.lit(q)))]
-        counted = counted.withColumn("places", F.array(*[x.cast("bigint") for x in places]))
+        counted = counted.withColumn("places", F.array(*_places(wanted)))
         rank, below = (lambda k: F.col("places")[k]), (lambda k: F.col("before"))
         mine = lambda k: F.lit(True)
     else:
