@@ -8,8 +8,8 @@
    order of all tokens (of two sets that overlap enough, each has one of the other's among its first n - need + 1).  The order puts
    tokens that many documents share last; any order gives the same links.  A class meets the groups of other components through these
    tokens, if a member of the group has a size that can match.
-4. The overlap of a class with a group's token union is bounded by bitmaps of hashed tokens.  Only groups that can hold a partner are
-   opened, and only members that can be partners are compared, set with set.
+4. A group is stored with a bitmap of its token union, which bounds the overlap of a class with any of its members.  Only groups that
+   can hold a partner are opened: then their members' own bitmaps are read, and members that can be partners are compared, set with set.
 
 Only components are asked for, so classes that are connected already are not compared again, and a group of near copies costs about as
 many comparisons as it has members.  What is counted, joined or summed by a token, a least shingle, a class or a component goes
@@ -18,6 +18,7 @@ through partial sums and joins that split hot keys.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,6 +193,21 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "f1").mapInArrow(run, "token bigint, f1 bigint, rest bigint")
 
 
+def _unions(groups: DataFrame) -> DataFrame:
+    """The groups with the bits of their token union, as long as the shortest of their members' bitmaps."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unions = []
+            for members in batch.column("members"):
+                bits = [_bits(m["bits"].as_py()) for m in members]
+                least = min(map(len, bits))
+                unions.append(np.packbits(functools.reduce(np.logical_or, [_folded(x, least) for x in bits])).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unions, pa.binary())], names=[*batch.schema.names, "union"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema)
+    return groups.mapInArrow(run, types + ", union binary")
+
+
 def _sent(small: DataFrame) -> DataFrame:
     """The table, sent to all tasks if it is not too long."""
     return F.broadcast(small) if small.count() <= SENT else small
@@ -302,35 +318,38 @@ def _classes(docs: DataFrame, id: str, text: str, width: int, part: int, whole:
         & (F.least("rest", "longest") * whole * (whole + part) >= (F.col("n") * whole + smallest) * part)
     ).select("node", "part", "block").distinct()
 
-    # Step 4: bound by the union's bits, open, bound by the members' bits, compare.
-    blocks = member.groupBy("part", "block").agg(F.collect_list(F.struct("node", "n", "bits")).alias("members"))
-    bounded = (meetings.join(member.select("node", "n", "bits"), "node").join(blocks, ["part", "block"])
-               .select("node", "n", "bits", "members"))
+    # Step 4: bound by the union's bits, open groups that can hold a partner, bound by the members' bits, compare.
+    groups = written(_unions(member.groupBy("part", "block").agg(
+        F.first("fewest").alias("fewest"), F.collect_list(F.struct("node", "n", "bits")).alias("members"))), "groups")
+    asked = meetings.join(member.select("node", "n", "bits"), "node").join(groups.select("part", "block", "fewest", "union"), ["part", "block"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, bits, fewest, union in zip(*[batch.column(c) for c in ("n", "bits", "fewest", "union")]):
+                n = n.as_py()
+                least = max(fewest.as_py(), _need(n, part, whole))  # the smallest member that can be a partner
+                keep.append(most_common(n, _bits(bits.as_py()), _bits(union.as_py())) >= -(-part * (n + least) // (whole + part)))
+            yield batch.select(["part", "block", "node", "n", "bits"]).filter(pa.array(keep, pa.bool_()))
+
+    qualified = asked.mapInArrow(bound, "part bigint, block bigint, node bigint, n bigint, bits binary")
+    bounded = qualified.join(groups.select("part", "block", "members"), ["part", "block"]).select("node", "n", "bits", "members")
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for node, n, bits, members in zip(*[batch.column(c) for c in ("node", "n", "bits", "members")]):
                 n, bits = n.as_py(), _bits(bits.as_py())
-                own = [(m["node"], _bits(m["bits"]), -(-part * (n + m["n"]) // (whole + part))) for m in members.as_py()
-                       if n * whole >= m["n"] * part and m["n"] * whole >= n * part]
-                if not own:
-                    continue
-                least = min(len(x) for _, x, _ in own)
-                union = np.zeros(least, bool)
-                for _, x, _ in own:
-                    union |= _folded(x, least)
-                if most_common(n, bits, union) < min(need for _, _, need in own):
-                    continue
-                for other, x, need in own:
-                    if most_common(n, bits, x) >= need:
+                for m in members.as_py():
+                    may_be = n * whole >= m["n"] * part and m["n"] * whole >= n * part
+                    if may_be and most_common(n, bits, _bits(m["bits"])) >= -(-part * (n + m["n"]) // (whole + part)):
                         a.append(node.as_py())
-                        b.append(other)
+                        b.append(m["node"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     opened = bounded.mapInArrow(open_, "a bigint, b bigint")
     more = written(linked(docs, opened, classes, copies, id, text, width, part, whole), "links")
-    discard(shared, member, parts)
+    discard(shared, member, parts, groups)
     return rows.select("doc", "h", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2"), classes.select("f1", "f2", "node", "rep", "h"), ids, copies, links.unionAll(more)
 
 

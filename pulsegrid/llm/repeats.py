@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.texts import _VALUE, buffer, chunks, mix, powers
+from pulsegrid.llm.texts import _SPACE, _VALUE, buffer, chunks, mix, powers
 from pulsegrid.session import discard, written
 
 #: Bits of a packed key that hold a place; a piece of text that is searched at once is shorter.
@@ -232,11 +232,12 @@ def spans(texts: DataFrame, length: int = 400, gram: int = 200, batches: int = 3
 
 
 def remove(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 200, batches: int = 3,
-           whole_characters: bool = False) -> DataFrame:
+           whole_characters: bool = False, least_words: int = 0) -> DataFrame:
     """All rows with n_bytes, removed (the maximal runs of removed bytes) and kept (the other bytes, joined).
 
     A byte goes if a string of ``length`` bytes that covers it starts at another place too, of the same text or another; strings are
-    judged on the input and none crosses texts.  With ``whole_characters`` a character of which a byte stays, stays.  A null text is empty; a text shorter than ``length`` keeps all.
+    judged on the input and none crosses texts.  With ``whole_characters`` a character of which a byte stays, stays; maximal
+    runs with fewer than ``least_words`` words, cut ones included, stay too.  A null text is empty; a text shorter than ``length`` keeps all.
     Repeated rows repeat each other's text.  Columns of these names are replaced.
     """
     added = ("n_bytes", "removed", "kept")
@@ -264,6 +265,11 @@ def remove(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 2
                     while inner[end].any():
                         end = end - inner[end]
                     start, end = start[start < end], end[start < end]
+                if least_words:
+                    begins = np.append(~_SPACE[data[:1]], ~_SPACE[data[1:]] & _SPACE[data[:-1]])
+                    count = np.append(0, np.cumsum(begins))
+                    n_words = count[end] - count[start] + (~_SPACE[data[start]] & ~begins[start])
+                    start, end = start[n_words >= least_words], end[n_words >= least_words]
                 removed.append([{"start": int(a), "end": int(b)} for a, b in zip(start, end)])
                 gone = np.zeros(len(data) + 1, np.int64)
                 np.add.at(gone, start, 1)
