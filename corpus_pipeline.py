@@ -16,18 +16,34 @@ from pulsegrid.llm.queries import TOKENIZER
 from pulsegrid.session import discard, written
 
 
-def _with_text(docs: DataFrame, names: list[str], text: Column) -> DataFrame:
-    """The columns ``names`` of ``docs`` with another text, and its number of characters where there is such a column."""
-    out = docs.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+#: A passage is repeated in strings of so many bytes, which 50 short words have, found by runs of PASSAGE_GRAM bytes.
+PASSAGE_BYTES, PASSAGE_GRAM, PASSAGE_WORDS = 200, 64, 50
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(__document, text): all other columns as one, so that no name of theirs meets one of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__document"), F.col("text").cast("string").alias("text"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, text: Column, changed: bool = True) -> DataFrame:
+    """The columns of ``docs`` with the text ``text``, and its number of characters in n_chars where there is such a column."""
+    def column(c: str) -> Column:
+        if c == "text":
+            return text.cast(docs.schema["text"].dataType).alias("text")
+        if c == "n_chars" and changed:
+            return F.length(text).cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"__document.`{c}`")
+
+    return rows.select(*[column(c) for c in docs.columns])
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic.  Labels are learned from rows whose crc32(doc_id) mod 5 is not 0."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), use=remainder("doc_id", 5) != 0)
-    return toxicity.score(docs, model).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that are not toxic.  Labels are learned from rows whose crc32(doc_id) mod 5 is not 0.
+
+    A null or empty text is not toxic; repeated rows and those of a null id are judged by their texts.
+    """
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), use=remainder("doc_id", 5) != 0)
+    return _unpacked(toxicity.score(_packed(docs), model).where("predicted = 0"), docs, F.col("text"), changed=False)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,20 +63,27 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages of 400 bytes that repeat; characters that are cut stay whole."""
-    out = repeats.remove(docs, whole_characters=True)
-    return _with_text(out, docs.columns, F.col("kept").cast("string"))
+    """All documents without the passages of PASSAGE_WORDS words or more that repeat; characters that are cut stay whole.
+
+    Such a passage is a run of bytes covered by strings of PASSAGE_BYTES bytes that occur in more than one place.  Null and empty
+    texts stay as they are (a null one empty); a repeated row repeats the text of the other, and both lose it.
+    """
+    out = repeats.remove(_packed(docs), length=PASSAGE_BYTES, gram=PASSAGE_GRAM, whole_characters=True, least_words=PASSAGE_WORDS)
+    return _unpacked(out, docs, F.col("kept").cast("string"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources in its order: a document once for each time it is taken, the last of a source cut to the words taken."""
-    stream = mix(schedule(docs, size=words("text")))
-    text = F.when(F.col("served") < F.col("size"), first_words("text", "served")).otherwise(F.col("text"))
-    return _with_text(stream, docs.columns, text)
+    """The mix of the sources in its order: a document once for each time it is taken, the last of a source cut to the words taken.
+
+    Documents without words are not taken.  A null source is a source, null ids and repeated rows are documents like any other.
+    """
+    rows = _packed(docs).select("*", F.col("__document.doc_id").alias("doc_id"), F.col("__document.source").alias("source"))
+    stream = mix(schedule(rows, size=words("text")))
+    return _unpacked(stream, docs, F.when(F.col("served") < F.col("size"), first_words("text", "served")).otherwise(F.col("text")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 1024 ids."""
+    """Pieces of the documents in windows of 1024 ids; a null text is empty, other columns are not read."""
     return pack(docs, TOKENIZER).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
