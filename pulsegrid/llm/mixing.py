@@ -1,13 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame operations only.
 
-Every document of a source stands in a queue in a shuffled order that its key fixes, once for each
-time the source may be used.  Its virtual finish time is the source's words up to its end divided by
-the source's target.  All sources then reach their targets at virtual time 1, which is when
-the total budget is spent: the mix is the entries in order of virtual finish time, cut at that time,
-and a document in service then is cut to the words served.
-
-Running sums are taken in two steps, within buckets of the shuffled order and over the buckets, so
-that a source with a third of all rows is spread over many tasks.  Sources themselves, one row each, pass one task.
+Every document of a source stands in a queue in a shuffled order that its key fixes, once for each time the source may be
+used.  Its virtual finish time is the source's words up to its end divided by the source's target.  All entries are then
+range-sorted by virtual finish time, their words summed in that order, and the mix is what comes before the total budget,
+the sum of the targets, is spent; the entry at the cut is served in part.  So sources reach their targets together, to
+within a document each.
+
+Running sums are taken in range partitions and over one row for each, so a source with a third of all rows is spread
+over many tasks.  Sources themselves, one row each, pass one task.
 """
 
 from __future__ import annotations
@@ -54,13 +54,31 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
             .select("__nosource", "__source", "source_size", "target"))
 
 
+def _running(rows: DataFrame, order: list[str], by: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before, in ``order`` and within equal ``by``, which ``order`` begins with.
+
+    The rows are sorted by ranges, so that many equal keys spread by the later columns; sums of whole partitions, one row
+    for each and value of ``by``, give what the earlier ones hold.
+    """
+    way = [F.asc(c) for c in order]
+    placed = written(rows.repartitionByRange(*way).sortWithinPartitions(*way).withColumn("__at", F.monotonically_increasing_id()), "queue")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    line = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*by, "__part").agg(F.sum(value).alias("__sum")).select(
+        *by, "__part", F.coalesce(F.sum("__sum").over(line), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("__inside", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return placed.join(before, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__inside")).drop("__at", "__part", "__before", "__inside")
+
+
 def schedule(df: DataFrame, id: str = "doc_id", source: str = "source", size: Column | None = None,
              weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """All rows of ``df`` with size, source_size, target, place and entries; columns of these names are replaced.
 
-    ``place`` numbers the rows.  ``entries`` holds for each use of the row its number (from 0), virtual finish time
-    (null without words) and the words served.  Sources weigh ``weights`` in turn, by code point, null last.  A null
-    text has size 0; a null or repeated key is a key like any other, and equal rows are interchangeable.
+    ``place`` numbers the rows.  ``entries`` holds for each use of the row its number (from 0), virtual finish time and the
+    words served: all before the total budget is spent, what is left of it at the cut, none after.  Sources weigh ``weights``
+    in turn, by code point, null last.  A row without words has no entries, a null text size 0; a null or repeated
+    key is a key like any other, and equal rows are interchangeable.
     """
     size = words("text") if size is None else size
     shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id}`").cast("string"), F.lit(""))))
@@ -69,31 +87,21 @@ def schedule(df: DataFrame, id: str = "doc_id", source: str = "source", size: Co
         *[F.col(f"`{c}`") for c in keep], size.alias("size"), F.monotonically_increasing_id().alias("place"),
         shuffled.alias("__order"), F.col(f"`{source}`").isNull().alias("__nosource"),
         F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("__source")), "mix")
-    buckets = 1 << max(0, math.ceil(math.log2(max(1, rows.count())) / 2))
-    bucket = F.floor(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int")
     key = ["__nosource", "__source"]
-    rows = rows.withColumn("__bucket", bucket)
-    sums = rows.groupBy(*key, "__bucket").agg(F.sum("size").alias("__sum"))
-    line = Window.partitionBy(*key).orderBy("__bucket")
-    sums = sums.withColumn("__ahead", F.coalesce(F.sum("__sum").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    goals = targets(sums.groupBy(*key).agg(F.sum("__sum").alias("source_size")), weights, share, most)
-    ahead = sums.drop("__sum").join(goals, key)
-    slim = rows.select(*key, "__bucket", "__order", "size", "place", F.col(f"`{id}`").alias("__id"))
-    within = Window.partitionBy(*key, "__bucket").orderBy("__order", "__id", "size", "place").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (slim.withColumn("__inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-              .join(ahead, [*key, "__bucket"])
-              .withColumn("__start", F.col("__ahead") + F.col("__inside")))
-    goal = F.floor(F.col("target") + F.lit(1e-6)).cast("long")
-
-    def entry(use: int) -> Column:
-        start = F.col("__start") + F.col("source_size") * use
-        served = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - start))
-        finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target"))
-        return F.struct(F.lit(use).alias("use"), finish.alias("finish"), served.alias("served"))
-
-    placed = placed.select("place", "source_size", "target", F.array(*[entry(u) for u in range(math.ceil(most))]).alias("entries"))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "size", "place").join(placed, "place").select(
-        *[F.col(f"`{c}`") for c in keep], *ADDED)
+    slim = rows.select(*key, "__order", "size", "place", F.col(f"`{id}`").alias("__id"))
+    goals = written(targets(slim.groupBy(*key).agg(F.sum("size").alias("source_size")), weights, share, most), "goals")
+    budget = math.floor((goals.agg(F.sum("target")).first()[0] or 0.0) + 1e-6)
+    queue = _running(slim, [*key, "__order", "__id", "size", "place"], key, "size", "__start").join(goals, key).where("size > 0 and target > 0")
+
+    start = F.col("__start") + F.col("source_size") * F.col("use")
+    room = F.least(F.col("size"), F.floor(F.col("source_size") * F.lit(float(most))) - start)  # what the limit of the source leaves
+    uses = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(most) - 1)))
+    entry = queue.withColumn("use", uses).select(
+        ((start + F.col("size")) / F.col("target")).alias("finish"), "__order", "__id", "use", *key, "place", room.alias("room")).where("room > 0")
+    stream = _running(entry, ["finish", "__order", "__id", "use", *key, "place"], [], "room", "__ahead")
+    served = F.greatest(F.lit(0).cast("long"), F.least(F.col("room"), F.lit(budget) - F.col("__ahead")))
+    entries = stream.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("use", "finish", served.alias("served")))).alias("entries"))
+    return rows.join(goals, key).join(entries, "place", "left").select(*[F.col(f"`{c}`") for c in keep], *ADDED)
 
 
 def mix(scheduled: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ ORACLE = {}
 
 ORACLE["op4_mixing"] = """
 WITH d AS (
-  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, source,
+  SELECT row_number() OVER () AS r, doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, source,
          md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -22,13 +22,17 @@ t AS (
          least(lim, weight * coalesce(max(CASE WHEN (budget - bef) / rest <= lim / weight THEN (budget - bef) / rest END) OVER (), 1e300)) AS target
   FROM f),
 q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 1e-6) AS BIGINT) AS goal,
+  SELECT d.r, d.doc_id, d.h, d.source, d.size, t.source_size, t.target,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size)) AS BIGINT) AS taken
-FROM q
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT *, unnest([0, 1]) AS use FROM q WHERE size > 0 AND target > 0),
+e AS (SELECT *, CAST(start + use * source_size + size AS DOUBLE) / target AS finish FROM u),
+c AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, h, doc_id NULLS FIRST, use, source NULLS LAST
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM e),
+k AS (SELECT r, sum(greatest(0, least(size, (SELECT floor(sum(target) + 1e-6) FROM t) - ahead))) AS taken FROM c GROUP BY r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN k USING (r)
 """
 
 ORACLE["op5_topk"] = """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import audit, jaccard, language, neighbours, ppm, quality, repeats, resampling, topk, toxicity, warc
 from pulsegrid.llm.common import remainder, table
-from pulsegrid.llm.mixing import mix, schedule, words
+from pulsegrid.llm.mixing import schedule, words
 from pulsegrid.llm.packing import pack
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,10 +34,9 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
-    scheduled = schedule(table(spark, sf_dir, "documents").select("doc_id", "source", words("text").alias("size")), size=F.col("size"))
-    taken = mix(scheduled.select("place", "entries")).groupBy("place").agg(F.sum("served").alias("taken"))
-    return scheduled.join(taken, "place", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    rows = schedule(table(spark, sf_dir, "documents").select("doc_id", "source", words("text").alias("size")), size=F.col("size"))
+    served = F.aggregate(F.coalesce("entries.served", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select("doc_id", "size", "source_size", "target", served.alias("taken"))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
