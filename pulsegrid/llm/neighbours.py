@@ -124,13 +124,14 @@ def widen(tree: Tree, points: np.ndarray, k: int, recall: float, queries: int =
 
 
 def search(df: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", recall: float = 0.97,
-           sample: int = 16384, branching: int = 16, leaf_rows: int = 64, block: int = 8192) -> DataFrame:
+           sample: int = 16384, branching: int = 16, leaf_rows: int = 1024, block: int = 8192) -> DataFrame:
     """The ``k`` nearest found of each row of ``queries``, by inner product in double precision, but those of its own id.
 
     Ties go to the smaller id; there are fewer rows where there are fewer candidates.  Vectors that are null,
     empty, zero, of another than the usual length or hold null or non-finite components take no part, nor do rows without an id.
     Repeated rows are candidates each; a query's id that comes with several vectors is searched with the least of
-    them.  About ``sample`` rows fit the tree and calibrate the visits; all rows are indexed.  A leaf with more than ``block`` rows or
+    them.  About ``sample`` rows fit the tree and calibrate the visits; all rows are indexed.  The tree is split until a leaf stands for
+    about ``leaf_rows`` rows of the table, within 128 to a sixteenth of ``sample`` leaves.  A leaf with more than ``block`` rows or
     visitors is dealt in blocks to several tasks.
     """
     spark = df.sparkSession
@@ -148,7 +149,8 @@ def search(df: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector
     if not some.num_rows:
         some = rows.limit(sample).toArrow()
     points = matrix(some["v"], size)[np.argsort(some["vec_id"].to_numpy(), kind="stable")]
-    tree = Tree.fit(points, branching, leaf_rows)
+    leaves = min(max(128, total // leaf_rows), max(128, sample // 16))
+    tree = Tree.fit(points, branching, max(1, len(points) // leaves))
     most = widen(tree, points, k, recall)
     kind = rows.schema["v"].dataType.simpleString()
 
