@@ -171,7 +171,7 @@ class Trie:
         return out
 
 
-def score(docs: DataFrame, use: Column, text: str = "text", most: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, use: Column, text: str = "text", most: int = 2 << 20) -> DataFrame:
     """All rows with n_tokens, n_known, train_tokens, base_score and score, learned from the rows that ``use`` allows.
 
     Tokens are words, A-Z as a-z, and one end for each text.  base_score adds log10((c + 1) / (N + V + 1)) over them, with c the
