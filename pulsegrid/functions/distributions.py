@@ -1,30 +1,35 @@
-"""Normal and Student t terms.
-
-Spark has no such functions, so small numeric helpers are applied to the few
-rows (one per series or forecast step) that need them.
-"""
+"""Normal and Student t terms: tails as columns, quantiles as numbers that parameters need."""
 
 from __future__ import annotations
 
 import math
 from statistics import NormalDist
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal_tail(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2.0)), na_action="ignore")
+def normal_tail(z: Column) -> Column:
+    """P(Z > z).
+
+    Near 0 one half less the series of z**(2k+1) / (1 3 5 ... (2k+1)); further out the continued fraction of Mills' ratio,
+    from its 100th level up.
+    """
+    a = F.abs(z)
+    density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
+    first = F.struct(a.alias("term"), a.alias("sum"))
 
+    def add(s: Column, k: Column) -> Column:
+        term = s["term"] * a * a / (2 * k + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
 
-def normal_tail(z: Column) -> Column:
-    """P(Z > z)."""
-    return _normal_tail(z)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), first, add, lambda s: s["sum"])
+    mills = F.aggregate(F.sequence(F.lit(100), F.lit(1), F.lit(-1)), a, lambda f, k: a + k / f)
+    tail = F.when(a < 2.5, 0.5 - density * series).otherwise(density / mills)
+    return F.when(z < 0, 1 - tail).otherwise(tail)
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -84,17 +89,35 @@ def t_quantile(p: float, df: float) -> float:
     return 0.5 * (lo + hi)
 
 
-@F.pandas_udf(T.DoubleType())
-def _slope_p_value(r2: pd.Series, n: pd.Series) -> pd.Series:
-    def one(r2, n):
-        if pd.isna(r2) or n < 3:
-            return None
-        if r2 >= 1.0:
-            return 0.0
-        return t_two_sided(math.sqrt(r2 * (n - 2) / (1.0 - r2)), n - 2)
-    return pd.Series([one(a, b) for a, b in zip(r2, n)], dtype="float64")
+#: From so many degrees of freedom on, t is turned into a normal deviate; the difference is below 1e-13.
+MANY = 60
 
 
 def slope_p_value(r2: Column, n: Column) -> Column:
-    """Two-sided p-value of a least-squares slope, from r squared and the row count."""
-    return _slope_p_value(r2, n.cast("double"))
+    """Two-sided p-value of a least-squares slope, from r squared and the row count; NULL for under three rows.
+
+    t has n - 2 degrees of freedom, and r squared is the squared sine of its angle: for few degrees the tail is a finite sum
+    of powers of the cosine, for many Hill's expansion gives the normal deviate with the same tail.
+    """
+    df = (n - 2).cast("int")
+    sine, cosine = F.sqrt(r2), F.sqrt(1 - r2)
+    odd = df % 2 == 1
+
+    def add(s: Column, k: Column) -> Column:
+        factor = F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        term = s["term"] * factor * (1 - r2)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    last = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
+    terms = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(terms, one, add, lambda s: s["sum"])
+    inside = (F.when(df == 1, 2 / math.pi * F.atan2(sine, cosine))
+              .when(odd, 2 / math.pi * (F.atan2(sine, cosine) + sine * cosine * total)).otherwise(sine * total))
+
+    a = df - 0.5
+    b = 48 * a * a
+    y = -a * F.log1p(-r2)
+    deviate = (((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b) + y + 3.0) / b + 1.0) * F.sqrt(y)
+    few = F.greatest(F.lit(0.0), 1 - inside)
+    return F.when(df >= 1, F.when(r2 >= 1, 0.0).when(df < MANY, few).otherwise(2 * normal_tail(deviate)))

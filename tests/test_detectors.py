@@ -48,6 +48,24 @@ def test_t_and_normal_tails(spark):
     assert [r[0] for r in got.collect()] == pytest.approx([0.5, 0.025, 0.8413447460685429])
 
 
+def test_normal_tail_far_out(spark):
+    z = [-40.0, -3.0, -0.1, 0.5, 2.4999, 2.5, 5.0, 12.0, 37.0, float("inf"), None]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select(ds.normal_tail(F.col("z"))).collect()
+    for x, (p,) in zip(z, got):
+        assert p is None if x is None else p == pytest.approx(0.5 * math.erfc(x / math.sqrt(2)), rel=1e-11, abs=1e-300)
+
+
+def test_slope_p_value_for_few_and_many_rows(spark):
+    rows = [(r2, n) for n in (2, 3, 4, 5, 6, 11, 60, 61, 62, 63, 200, 100_000) for r2 in (0.0, 1e-9, 1e-4, 0.03, 0.4, 0.97, 1.0)] + [(None, 9)]
+    got = spark.createDataFrame(rows, "r2 double, n long").select("r2", "n", ds.slope_p_value(F.col("r2"), F.col("n")).alias("p")).collect()
+    for r2, n, p in got:
+        if r2 is None or n < 3:
+            assert p is None
+        else:
+            want = 0.0 if r2 == 1 else ds.t_two_sided(math.sqrt(r2 * (n - 2) / (1 - r2)), n - 2)
+            assert p == pytest.approx(want, abs=1e-9)
+
+
 # --- statistical -------------------------------------------------------------
 
 def test_zscore(series, spiky):

@@ -492,7 +492,7 @@ fit AS (SELECT series_id, count(*) AS n, regr_slope(value, idx) AS slope, regr_i
                regr_r2(value, idx) AS r2, avg(value) AS mean, stddev_pop(value) AS sd, arg_max(value, idx) AS cur,
                max(us) AS last_us FROM s GROUP BY 1),
 res AS (SELECT s.series_id, stddev_pop(value - (slope * idx + icept)) AS rsd FROM s JOIN fit USING (series_id) GROUP BY 1)"""
-ORACLE["forecast_points"] = f"""WITH {REV}, {FIT}, {acf('s')},
+PROJECTED = f"""{REV}, {FIT}, {acf('s')},
 t AS (SELECT a.series_id, a.idx, any_value(a.value) AS value, any_value(p.period) AS period, a.idx % any_value(p.period) AS phase,
              avg(b.value) AS trend
       FROM s a JOIN best p ON a.series_id = p.series_id
@@ -504,9 +504,28 @@ p AS (SELECT steps.series_id, step, last_us + CAST(round((step + 1) * dt * 1e6)
              slope * (n + step) + icept + seasonal AS predicted,
              {Z95} * rsd * sqrt(1 + 1.0 / n + power(n + step - (n - 1) / 2.0, 2) / (n * (n * n - 1.0) / 12)) AS w
       FROM steps JOIN iv USING (series_id) JOIN res USING (series_id)
-      JOIN se ON se.series_id = steps.series_id AND se.phase = (n + step) % period)
+      JOIN se ON se.series_id = steps.series_id AND se.phase = (n + step) % period)"""
+ORACLE["forecast_points"] = f"""WITH {PROJECTED}
 SELECT series_id, CAST(step AS INTEGER) AS step, us, {rnd('predicted', 'predicted', 2)}, {rnd('predicted - w', 'lower', 2)},
        {rnd('predicted + w', 'upper', 2)} FROM p"""
+# one half less the series z + z^3 / 3 + z^5 / 15 + ... times the density
+ORACLE["sla_risk"] = f"""WITH {PROJECTED},
+z AS (SELECT series_id, step, (500000.0 - predicted) / (w / {Z95}) AS z FROM p WHERE step < 24 AND w > 0),
+k AS (SELECT series_id, step, any_value(z) AS z, sum(exp((2 * k + 1) * ln(abs(z)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))) AS total
+      FROM (SELECT *, unnest(range(0, 200)) AS k FROM z) WHERE abs(z) < 9 GROUP BY 1, 2),
+c AS (SELECT series_id, CASE WHEN z.z <= -9 THEN 1.0 WHEN z.z >= 9 THEN 0.0
+             ELSE 0.5 - sign(z.z) * exp(-z.z * z.z / 2) / sqrt(2 * pi()) * coalesce(total, 0) END AS chance
+      FROM z LEFT JOIN k USING (series_id, step))
+SELECT series_id, {rnd('coalesce(max(chance), 0.0)', 'sla_risk_score')} FROM fit LEFT JOIN c USING (series_id) GROUP BY 1"""
+# P(|T| > t) with n - 2 degrees of freedom, where r2 is the squared sine of the angle: a finite sum of powers of its cosine
+ORACLE["trend_pvalue"] = f"""WITH {REV}, {FIT},
+terms AS (SELECT series_id, n - 2 AS df, r2, unnest(range(0, (n - 2 - CASE WHEN n % 2 = 1 THEN 1 ELSE 0 END) // 2)) AS k FROM fit),
+sums AS (SELECT series_id, sum(exp(k * ln(1 - r2) + CASE WHEN df % 2 = 0 THEN lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)
+                                   ELSE 2 * lgamma(k + 1) - lgamma(2 * k + 2) + k * ln(4) END)) AS total FROM terms GROUP BY 1),
+pv AS (SELECT series_id, greatest(0.0, 1 - CASE WHEN n % 2 = 0 THEN sqrt(r2) * total
+                                     ELSE 2 / pi() * (atan2(sqrt(r2), sqrt(1 - r2)) + sqrt(r2 * (1 - r2)) * total) END) AS p
+       FROM fit JOIN sums USING (series_id))
+SELECT series_id, {rnd('p', 'p_value', 8)}, CAST(p < 0.05 AS INTEGER) AS significant FROM pv"""
 ORACLE["forecast_summary"] = f"""WITH {CUM}, {FIT},
 x AS (SELECT *, slope * n + icept AS level, CASE WHEN slope > 0 AND slope * n + icept < 1000000.0
              THEN (1000000.0 - (slope * n + icept)) / slope * dt END AS ahead FROM fit JOIN iv USING (series_id))
