@@ -25,7 +25,7 @@ def plain(rows):
     return Window.partitionBy("series_id").orderBy("ts", "seq")
 
 
-BURST = Layout(cell_seconds=1e9, max_cell_rows=20, check_above_bytes=0, block_rows=16)
+BURST = Layout(cell_seconds=1e9, max_cell_rows=20, block_rows=16)
 
 
 @pytest.mark.parametrize("layout", [TINY, BURST], ids=["cells", "burst"])
@@ -37,7 +37,7 @@ def test_index_equals_plain_window(uneven, layout):
 
 def test_burst_on_one_timestamp_is_cut_by_seq(series):
     rows = series(np.arange(500.0), seconds=np.zeros(500))
-    cut = od.with_cells(rows, Layout(max_cell_rows=50, check_above_bytes=0))
+    cut = od.with_cells(rows, Layout(max_cell_rows=50))
     largest = cut.groupBy(*od.CELL).count().agg(F.max("count")).first()[0]
     assert largest <= 50
     assert (column(od.with_index(cut), "idx") == np.arange(500)).all()
@@ -109,6 +109,26 @@ def test_quantiles_of_infinite_values(series):
     assert (got["a"], got["b"]) == (3.0, float("inf")) and got["c"] == pytest.approx(1.4)
 
 
+def test_burst_of_one_time_is_cut(spark, frame):
+    """Half of the rows at one instant, some of them alike in every column: positions and carries stay right, cells stay small."""
+    n = 600
+    pdf = pd.DataFrame({"series_id": "s", "ts": pd.to_datetime([0] * 100 + [60] * 400 + list(range(120, 220)), unit="s"),
+                        "seq": list(range(100)) + [7] * 250 + list(range(100, 250)) + list(range(250, 350)),
+                        "value": [1.0] * 100 + [2.0] * 400 + [3.0] * 100})
+    rows = frame(pdf).withColumn("ts", F.col("ts").cast("timestamp"))
+    layout = Layout(cell_seconds=1e9, max_cell_rows=40, block_rows=16)
+    cut = od.with_cells(rows, layout)
+    assert cut.groupBy(*od.CELL).count().agg(F.max("count")).first()[0] <= 40
+    got = od.with_running(od.with_index(cut, layout), {"total": F.col("value")}, layout).orderBy("idx").toPandas()
+    assert got.idx.tolist() == list(range(n)) and got.total.tolist() == np.cumsum(sorted(pdf.value)).tolist()
+    assert list(zip(got.ts, got.seq)) == sorted(zip(got.ts, got.seq))
+
+
+def test_own_columns_named_like_ours_are_replaced(uneven):
+    given = uneven.withColumns({"idx": F.lit(5), "cell": F.lit(1), "sub": F.lit(2)})
+    assert (column(od.with_index(given, TINY), "idx") == column(od.with_index(uneven, TINY), "idx")).all()
+
+
 def test_hot_series_is_spread_over_tasks(spark, frame):
     """A third of all rows in one series: no window task gets more than a cell or block."""
     pdf = pd.DataFrame({"series_id": ["hot"] * 3000 + [f"s{i % 60}" for i in range(6000)],
