@@ -120,4 +120,4 @@ def slope_p_value(r2: Column, n: Column) -> Column:
     y = -a * F.log1p(-r2)
     deviate = (((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b) + y + 3.0) / b + 1.0) * F.sqrt(y)
     few = F.greatest(F.lit(0.0), 1 - inside)
-    return F.when(df >= 1, F.when(r2 >= 1, 0.0).when(df < MANY, few).otherwise(2 * normal_tail(deviate)))
+    return F.when(r2.isNotNull() & (df >= 1), F.when(r2 >= 1, 0.0).when(df < MANY, few).otherwise(2 * normal_tail(deviate)))
