@@ -18,7 +18,6 @@ through partial sums and joins that split hot keys.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,19 +192,30 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "f1").mapInArrow(run, "token bigint, f1 bigint, rest bigint")
 
 
-def _unions(groups: DataFrame) -> DataFrame:
-    """The groups with the bits of their token union, as long as the shortest of their members' bitmaps."""
+def _unions(member: DataFrame) -> DataFrame:
+    """(part, block, fewest, union) of the groups of ``member``: the bits of the token union, as long as the shortest of the members' bitmaps."""
+    names = ["part", "block", "fewest", "union"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, union = None, None
         for batch in batches:
-            unions = []
-            for members in batch.column("members"):
-                bits = [_bits(m["bits"].as_py()) for m in members]
-                least = min(map(len, bits))
-                unions.append(np.packbits(functools.reduce(np.logical_or, [_folded(x, least) for x in bits])).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unions, pa.binary())], names=[*batch.schema.names, "union"])
+            done = []
+            for *key, bits in zip(*[batch.column(c).to_pylist() for c in ("part", "block", "fewest", "bits")]):
+                bits = _bits(bits)
+                if key != here:
+                    if here:
+                        done.append((*here, np.packbits(union).tobytes()))
+                    here, union = key, bits
+                else:
+                    m = min(len(union), len(bits))
+                    union = _folded(union, m) | _folded(bits, m)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, d)) for d in done], schema)
+        if here:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (*here, np.packbits(union).tobytes())))], schema)
 
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema)
-    return groups.mapInArrow(run, types + ", union binary")
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("fewest", pa.int64()), ("union", pa.binary())])
+    rows = member.select("part", "block", "fewest", "bits").repartition("part", "block").sortWithinPartitions("part", "block")
+    return rows.mapInArrow(run, "part bigint, block bigint, fewest bigint, union binary")
 
 
 def _sent(small: DataFrame) -> DataFrame:
@@ -319,9 +329,8 @@ def _classes(docs: DataFrame, id: str, text: str, width: int, part: int, whole:
     ).select("node", "part", "block").distinct()
 
     # Step 4: bound by the union's bits, open groups that can hold a partner, bound by the members' bits, compare.
-    groups = written(_unions(member.groupBy("part", "block").agg(
-        F.first("fewest").alias("fewest"), F.collect_list(F.struct("node", "n", "bits")).alias("members"))), "groups")
-    asked = meetings.join(member.select("node", "n", "bits"), "node").join(groups.select("part", "block", "fewest", "union"), ["part", "block"])
+    groups = written(_unions(member), "groups")
+    asked = meetings.join(member.select("node", "n", "bits"), "node").join(groups, ["part", "block"])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,19 +342,14 @@ def _classes(docs: DataFrame, id: str, text: str, width: int, part: int, whole:
             yield batch.select(["part", "block", "node", "n", "bits"]).filter(pa.array(keep, pa.bool_()))
 
     qualified = asked.mapInArrow(bound, "part bigint, block bigint, node bigint, n bigint, bits binary")
-    bounded = qualified.join(groups.select("part", "block", "members"), ["part", "block"]).select("node", "n", "bits", "members")
+    others = member.select("part", "block", F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("theirs"))
+    bounded = qualified.join(others, ["part", "block"]).where(may("n", "m")).select(F.col("node").alias("a"), "b", "n", "m", "bits", "theirs")
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for node, n, bits, members in zip(*[batch.column(c) for c in ("node", "n", "bits", "members")]):
-                n, bits = n.as_py(), _bits(bits.as_py())
-                for m in members.as_py():
-                    may_be = n * whole >= m["n"] * part and m["n"] * whole >= n * part
-                    if may_be and most_common(n, bits, _bits(m["bits"])) >= -(-part * (n + m["n"]) // (whole + part)):
-                        a.append(node.as_py())
-                        b.append(m["node"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            keep = [most_common(n, _bits(x.as_py()), _bits(y.as_py())) >= -(-part * (n + m) // (whole + part)) for n, m, x, y in zip(
+                batch.column("n").to_pylist(), batch.column("m").to_pylist(), batch.column("bits"), batch.column("theirs"))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     opened = bounded.mapInArrow(open_, "a bigint, b bigint")
     more = written(linked(docs, opened, classes, copies, id, text, width, part, whole), "links")
