@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,10 @@ from pulsegrid.operators.stats import join_stats
 from pulsegrid.schema import safe_div
 from pulsegrid.session import shared, written
 
-#: Rows per block when lagged products are summed.
-LAG_BLOCK = 512
+#: Values that one task transforms at a time when lagged products are searched.
+FFT_BAND = 1 << 20
+#: Lagged products that differ by less than this share of a series' energy count as equal.
+LAG_SLACK = 1e-12
 
 
 def moving_average(rows: DataFrame, window: int, name: str = "trend",
@@ -59,25 +62,148 @@ def _moving_average_each(rows: DataFrame, layout: Layout) -> DataFrame:
             .drop("_n", "_m", "_call"))
 
 
-def _lag_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum of products per lag for pairs of blocks."""
-    for batch in batches:
-        out = []
-        for sid, left, right, apart, lo, hi in batch.itertuples(index=False):
-            lag = apart * LAG_BLOCK + np.arange(-(len(left) - 1), len(right))
-            dot = np.correlate(np.asarray(right), np.asarray(left), "full")
-            use = (lag >= lo) & (lag <= hi)
-            out.append(pd.DataFrame({"series_id": sid, "lag": lag[use], "dot": dot[use]}))
-        yield pd.concat(out) if out else pd.DataFrame({"series_id": [], "lag": [], "dot": []})
+def _local_best(lags: np.ndarray, dots: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """The lags that can be the first to come within ``slack`` of the highest product, whatever other tasks hold.
+
+    ``lags`` ascend.  Such a lag exceeds all before it, so a flat stretch sends one lag only.
+    """
+    if not len(lags):
+        return lags, dots
+    if np.isnan(dots).any():  # an infinite value: no lag is better than the first
+        return lags[:1], np.array([np.inf])
+    before = np.concatenate([[-np.inf], np.maximum.accumulate(dots)[:-1]])
+    keep = (dots > before) & (dots >= dots.max() - slack)
+    return lags[keep], dots[keep]
+
+
+def _best_table(lags: np.ndarray, dots: np.ndarray, sid: str, slack: float) -> pd.DataFrame:
+    lags, dots = _local_best(lags, dots, slack)
+    return pd.DataFrame({"series_id": sid, "lag": lags, "dot": dots})
+
+
+def _lags_at_once(lo: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Lagged products of a series that fits one band."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sid, bits, longest, slack = key
+        x = np.zeros(1 << bits)
+        x[rows["idx"].to_numpy()] = rows["c"].to_numpy()
+        spectrum = np.fft.rfft(x)
+        dots = np.fft.irfft(spectrum.real ** 2 + spectrum.imag ** 2, len(x))[lo:longest + 1]
+        return _best_table(np.arange(lo, longest + 1), dots, sid, slack)
+    return run
+
+
+@dataclass(frozen=True)
+class _Grid:
+    """A transform of ``2**bits`` places as a matrix: place ``row * cols + col``, cut into bands of whole columns or rows."""
+
+    bits: int
+    band: int
+
+    @property
+    def rows(self) -> int:
+        return 1 << self.bits // 2
+
+    @property
+    def cols(self) -> int:
+        return 1 << self.bits - self.bits // 2
+
+    @property
+    def wide(self) -> int:
+        """Columns per band."""
+        return max(1, min(self.cols, self.band // self.rows))
+
+    @property
+    def high(self) -> int:
+        """Rows per band."""
+        return max(1, min(self.rows, self.band // self.cols))
+
+    def turn(self, row: np.ndarray, col: np.ndarray, sign: int) -> np.ndarray:
+        angle = (2 * np.pi / (1 << self.bits)) * (row[:, None] * col[None, :])
+        return np.exp(sign * 1j * angle)
+
+
+def _blocks(sid: str, bits: int, longest: int, slack: float, source: int, parts: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"series_id": sid, "bits": bits, "longest": longest, "slack": slack, "band": range(len(parts)),
+                         "source": source, "data": [np.ascontiguousarray(p).tobytes() for p in parts]})
+
+
+def _columns_out(band: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """A band of columns, each transformed along the rows; sent on by bands of rows."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sid, bits, longest, slack, at = key
+        g = _Grid(bits, band)
+        idx, first = rows["idx"].to_numpy(), at * g.wide
+        m = np.zeros((g.rows, g.wide))
+        m[idx // g.cols, idx % g.cols - first] = rows["c"].to_numpy()
+        out = np.fft.fft(m, axis=0) * g.turn(np.arange(g.rows), first + np.arange(g.wide), -1)
+        return _blocks(sid, bits, longest, slack, at, [out[i:i + g.high] for i in range(0, g.rows, g.high)])
+    return run
+
+
+def _rows_there_and_back(band: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """A band of rows: the rest of the transform, its power, and the first half of the way back; sent by bands of columns."""
+    def run(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        sid, bits, longest, slack, at = key
+        g = _Grid(bits, band)
+        m = np.zeros((g.high, g.cols), dtype=complex)
+        for source, data in zip(parts["source"], parts["data"]):
+            m[:, source * g.wide:(source + 1) * g.wide] = np.frombuffer(data, complex).reshape(g.high, g.wide)
+        spectrum = np.fft.fft(m, axis=1)
+        back = np.fft.ifft(spectrum.real ** 2 + spectrum.imag ** 2, axis=1)
+        back *= g.turn(at * g.high + np.arange(g.high), np.arange(g.cols), 1)
+        return _blocks(sid, bits, longest, slack, at, [back[:, i:i + g.wide] for i in range(0, g.cols, g.wide)])
+    return run
+
+
+def _columns_back(band: int, lo: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """A band of columns of lags: the products, and the lags that can be best."""
+    def run(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        sid, bits, longest, slack, at = key
+        g = _Grid(bits, band)
+        m = np.zeros((g.rows, g.wide), dtype=complex)
+        for source, data in zip(parts["source"], parts["data"]):
+            m[source * g.high:(source + 1) * g.high] = np.frombuffer(data, complex).reshape(g.high, g.wide)
+        dots = np.fft.ifft(m, axis=0).real
+        lags = np.arange(g.rows)[:, None] * g.cols + (at * g.wide + np.arange(g.wide))[None, :]
+        use = (lags >= lo) & (lags <= longest)  # row by row, so lags ascend
+        return _best_table(lags[use], dots[use], sid, slack)
+    return run
+
+
+def _lag_products(rows: DataFrame, lo: int, band: int, split: bool) -> DataFrame:
+    """Candidates ``(series_id, lag, dot)`` from rows ``(series_id, idx, c, bits, longest, slack)``.
+
+    The products of all lags are the transform of the power of a series padded with zeros.  A series of more than
+    ``band`` places is transformed as a matrix, by columns and then by rows, and back by columns: three shuffles of the
+    series, whatever its length, in pieces of ``band`` places.
+    """
+    best, block = "series_id string, lag bigint, dot double", (
+        "series_id string, bits int, longest bigint, slack double, band bigint, source bigint, data binary")
+    keys = ["series_id", "bits", "longest", "slack"]
+    fits = F.pow(F.lit(2.0), "bits") <= band
+    whole = rows.filter(fits).groupBy(*keys).applyInPandas(_lags_at_once(lo), best)
+    if not split:
+        return whole
+    tall = F.floor(F.col("bits") / 2)
+    cols, high = F.pow(F.lit(2.0), F.col("bits") - tall), F.pow(F.lit(2.0), tall)
+    wide = F.greatest(F.lit(1.0), F.least(cols, F.floor(F.lit(band) / high))).cast("bigint")
+    at = F.floor((F.col("idx") % cols.cast("bigint")) / wide).cast("bigint")
+    out = (rows.filter(~fits).withColumn("band", at).groupBy(*keys, "band").applyInPandas(_columns_out(band), block)
+           .groupBy(*keys, "band").applyInPandas(_rows_there_and_back(band), block)
+           .groupBy(*keys, "band").applyInPandas(_columns_back(band, lo), best))
+    return whole.unionByName(out)
 
 
 def estimate_period(rows: DataFrame, min_period: int = 2, max_period: int | None = None,
-                    layout: Layout = DEFAULT) -> DataFrame:
+                    layout: Layout = DEFAULT, band: int = FFT_BAND) -> DataFrame:
     """Lag with the highest autocorrelation per series, as ``period``.
 
-    Searches ``min_period`` .. ``max_period`` (default a third of the series, at
-    most half).  Products are summed per pair of blocks, so neither a long series
-    nor a long lag needs more than two blocks in memory.
+    Searches ``min_period`` .. ``max_period`` (default a third of the series, at most half), the shortest lag among those
+    whose products differ by less than ``LAG_SLACK`` of the series' energy.  The search is a Fourier transform, cut into
+    pieces of ``band`` values for a series that is longer, so its cost grows with the length of a series and not with the
+    number of lags.  NULL values count as the mean; a series with an infinite value, without variation or of fewer than
+    two periods has ``min_period``.
     """
     rows = shared(with_index(rows, layout).select("series_id", "idx", "value"), "indexed")
     stats = rows.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"),
@@ -85,25 +211,21 @@ def estimate_period(rows: DataFrame, min_period: int = 2, max_period: int | None
     n = F.col("n")
     longest = F.lit(max_period) if max_period is not None else F.greatest(
         F.lit(min_period + 1), F.floor(n / 3))
-    stats = stats.withColumn("longest", F.least(longest, F.floor(n / 2)).cast("bigint"))
-    centred = F.coalesce(F.col("value") - F.col("mean"), F.lit(0.0))
-    blocks = (join_stats(rows, stats.select("series_id", "mean", "longest"))
-              .groupBy("series_id", F.floor(F.col("idx") / LAG_BLOCK).alias("block"))
-              .agg(F.sort_array(F.collect_list(F.struct("idx", centred.alias("c")))).alias("cells"),
-                   F.first("longest").alias("longest"))
-              .select("series_id", "block", F.col("cells.c").alias("vals"), "longest"))
-    reach = F.floor((F.col("longest") - 1) / LAG_BLOCK) + 1
-    left = (blocks.filter(F.col("longest") >= min_period)
-            .withColumn("apart", F.explode(F.sequence(F.lit(0).cast("bigint"), reach)))
-            .withColumn("other", F.col("block") + F.col("apart")))
-    right = blocks.select("series_id", F.col("block").alias("other"), F.col("vals").alias("right"))
-    pairs = left.join(right, ["series_id", "other"]).select(
-        "series_id", F.col("vals").alias("left"), "right", "apart",
-        F.lit(min_period).alias("lo"), F.col("longest").alias("hi"))
-    products = pairs.mapInPandas(_lag_products, "series_id string, lag bigint, dot double")
-    best = (products.groupBy("series_id", "lag").agg(F.sum("dot").alias("dot"))
-            .groupBy("series_id").agg(F.max_by("lag", F.struct("dot", -F.col("lag"))).alias("best")))
+    longest = F.least(longest, F.floor(n / 2)).cast("bigint")
+    # places enough that no lag up to the longest wraps round
+    stats = written(stats.withColumns({
+        "longest": longest, "bits": F.ceil(F.log2((n + longest).cast("double"))).cast("int"),
+        "slack": F.col("energy") * LAG_SLACK}), "period-stats")
     usable = (n >= 2 * min_period) & (F.col("energy") > 0)
+    searched = stats.filter(usable & (F.col("longest") >= min_period))
+    bits = searched.agg(F.max("bits")).first()[0] or 0
+    centred = F.coalesce(F.col("value") - F.col("mean"), F.lit(0.0))
+    centred = join_stats(rows, searched.select("series_id", "mean", "longest", "bits", "slack"), how="inner").select(
+        "series_id", "idx", centred.alias("c"), "bits", "longest", "slack")
+    found = written(_lag_products(centred, min_period, band, 1 << bits > band), "lags")
+    top = found.groupBy("series_id").agg(F.max("dot").alias("top"))
+    best = (found.join(top, "series_id").join(stats.select("series_id", "slack"), "series_id")
+            .filter(F.col("dot") >= F.col("top") - F.col("slack")).groupBy("series_id").agg(F.min("lag").alias("best")))
     period = F.coalesce(F.when(usable, F.col("best")), F.lit(min_period)).cast("bigint")
     # one row per series that everything downstream depends on: computed once
     return written(stats.join(best, "series_id", "left").select("series_id", period.alias("period")), "period")

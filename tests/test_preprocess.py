@@ -239,6 +239,34 @@ def test_period_equals_brute_force(series, n):
     assert se.estimate_period(series(v)).first().period == brute_period(v)
 
 
+@pytest.mark.parametrize("n,band", [(700, 64), (1300, 256), (3000, 32), (3000, 1 << 20)])
+def test_period_in_bands(series, n, band):
+    """A series cut into bands of a transform, one that fits, and one that is flat, side by side."""
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=n) + 2 * np.sin(np.arange(n) / 9)
+    v[rng.random(n) < 0.05] = np.nan
+    w = rng.normal(size=37)
+    got = {r.series_id: r.period for r in se.estimate_period(
+        series({"long": v, "short": w, "flat": np.ones(n), "inf": np.r_[np.inf, np.zeros(n)]}), band=band).collect()}
+    assert got == {"long": brute_period(v), "short": brute_period(w), "flat": 2, "inf": 2}
+
+
+def test_period_ties_take_the_shortest_lag(series):
+    v = np.zeros(400)
+    v[[0, 50, 120]] = 1  # three lags of one product, but for the mean
+    want = brute_period(v)
+    assert se.estimate_period(series(v)).first().period == want
+    assert se.estimate_period(series(v), band=64).first().period == want
+
+
+def test_period_limits(series):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=500)
+    for lo, hi in ((2, 2), (7, 30), (100, 240), (2, 10_000)):
+        got = se.estimate_period(series(v), lo, hi, band=64).first().period
+        assert got == brute_period(v, lo, hi)
+
+
 def test_short_series_period(series):
     assert se.estimate_period(series([1, 2, 3])).first().period == 2
 

@@ -214,6 +214,9 @@ dots AS (SELECT l.series_id, l.lag, sum(a.c * b.c) AS dot
 best AS (SELECT series_id, arg_max(lag, (dot, -lag)) AS period FROM dots GROUP BY 1)"""
 
 
+ORACLE["period_long"] = f"""WITH w AS (
+  SELECT 'all' AS series_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, count(*) OVER () AS n, value FROM events), {acf('w')}
+SELECT series_id, CAST(period AS BIGINT) AS period FROM best"""
 ORACLE["period_estimate"] = f"WITH {hourly()}, {acf('h')} SELECT series_id, CAST(period AS BIGINT) AS period FROM best"
 
 

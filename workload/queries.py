@@ -289,6 +289,13 @@ def period_estimate(spark, d):
     return se.estimate_period(tb.hourly(spark, d))
 
 
+@query
+def period_long(spark, d):
+    """All events as one series, searched in bands that its length exceeds."""
+    whole = tb.events(spark, d).withColumn("series_id", F.lit("all"))
+    return se.estimate_period(whole, band=1 << 12)
+
+
 def _parts(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select("series_id", "seq", "period", r("trend", digits), r("seasonal", digits), r("residual", digits))
 
