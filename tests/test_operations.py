@@ -248,6 +248,41 @@ def test_suppression(spark, win):
     assert mt.not_suppressed(rows, win).count() == 4              # labels not looked at
 
 
+def test_many_targets_equal_plain_matching(spark):
+    """Targets of several lengths, shared, repeated, NULL, empty and missing; rows that repeat, without a name, time or labels."""
+    rng = np.random.default_rng(5)
+    names, hosts = ["cpu_usage", "cpu", "disk_é", "", None], ["web-01", "web-012", "db", "é", None]
+    rows = [(names[rng.integers(5)], None if rng.random() < .05 else float(rng.integers(0, 200_000)),
+             None if rng.random() < .2 else {"host": hosts[rng.integers(5)], "zone": hosts[rng.integers(5)]}) for _ in range(150)]
+    rows += rows[:20]
+    pool = ["cpu", "cpu_usage", "web-01", "b", "é", "", "*", "absent", None]
+    windows = []
+    for i in range(60):
+        s, long = int(rng.integers(0, 200_000)), int(rng.choice([0, 600, 90_000, -5]))
+        targets = None if i % 20 == 0 else [] if i % 20 == 1 else [pool[j] for j in rng.integers(0, len(pool), rng.integers(1, 4))]
+        windows.append((f"w{i}", s, s + long, targets))
+
+    def hit(row, w):
+        name, t, tags = row
+        texts = [x for x in (name, *(tags or {}).values()) if x is not None]
+        return t is not None and w[1] <= t <= w[2] and (
+            not w[3] or any(g == "*" or (g is not None and any(g in x for x in texts)) for g in w[3]))
+
+    win = spark.createDataFrame(windows, "id string, s long, e long, targets array<string>").select(
+        "id", F.timestamp_seconds("s").alias("start_ts"), F.timestamp_seconds("e").alias("end_ts"), "targets")
+    data = points(spark, rows)
+    key = lambda r: (r[0], r[1], sorted((r[2] or {}).items(), key=str))
+    back = lambda df: sorted((key((r.series_id, r.t, r.labels)) for r in df.collect()), key=str)
+    inside = [any(hit(r, w) for w in windows) for r in rows]
+    assert 20 < sum(inside) < len(rows) - 10
+    assert back(mt.suppressed(data, win, labels="labels")) == sorted((key(r) for r, i in zip(rows, inside) if i), key=str)
+    assert back(mt.not_suppressed(data, win, labels="labels")) == sorted((key(r) for r, i in zip(rows, inside) if not i), key=str)
+    pairs = mt.suppressing(data, win, labels="labels")
+    assert pairs.columns == data.columns + ["window_id", "start_ts", "end_ts", "targets"]
+    got = sorted((str((key((r.series_id, r.t, r.labels)), r.window_id)) for r in pairs.collect()))
+    assert got == sorted(str((key(r), w[0])) for r in rows for w in windows if hit(r, w))
+
+
 def at(sec):
     return F.timestamp_seconds(F.lit(sec))
 

@@ -646,6 +646,11 @@ hits AS (SELECT DISTINCT lab.series_id, seq, id FROM lab JOIN tg ON us BETWEEN s
 ORACLE["maintenance_suppressed"] = f"WITH {HITS} SELECT DISTINCT series_id, seq FROM hits"
 ORACLE["maintenance_survivors"] = f"WITH {HITS} SELECT series_id, seq FROM lab WHERE seq NOT IN (SELECT seq FROM hits)"
 ORACLE["maintenance_matches"] = f"WITH {HITS} SELECT seq, id AS window_id FROM hits"
+ORACLE["maintenance_many_targets"] = f"""WITH {WIN},
+own AS (SELECT id, s, s + (CAST(id AS BIGINT) % 24 + 1) * 3600000000 AS e, unnest([id, 'ic' || id, right(name, 2)]) AS t FROM win),
+lab AS (SELECT event_type AS series_id, event_id AS seq, epoch_us(ts) AS us, CAST(user_id AS VARCHAR) AS u, {K} AS k FROM events)
+SELECT DISTINCT seq, id AS window_id FROM lab JOIN own ON us BETWEEN s AND e
+  AND (contains(series_id, t) OR contains(u, t) OR contains(k, t))"""
 ORACLE["maintenance_long_windows"] = f"""WITH {WIN},
 lw AS (SELECT CAST(id AS BIGINT) AS id, e, targets,
               s - 1000000 * CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN CAST(id AS BIGINT) % 40 * 31536000

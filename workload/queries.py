@@ -687,6 +687,15 @@ def maintenance_matches(spark, d):
     return mt.suppressing(_labelled(spark, d), tb.windows(spark, d), labels="labels").select("seq", "window_id")
 
 
+@query
+def maintenance_many_targets(spark, d):
+    """A window per customer, hours to a day long, with targets of its own."""
+    w = tb.windows(spark, d).withColumns({
+        "targets": F.array(F.col("id"), F.concat(F.lit("ic"), F.col("id")), F.substring("name", -2, 2)),
+        "end_ts": F.timestamp_micros(micros(F.col("start_ts")) + (F.col("id").cast("bigint") % 24 + 1) * 3_600_000_000)})
+    return mt.suppressing(_labelled(spark, d), w, labels="labels").select("seq", "window_id")
+
+
 @query
 def maintenance_long_windows(spark, d):
     """Windows of minutes to decades in one table."""
