@@ -5,8 +5,9 @@ contains an anchor, the place of least hash among its runs of ``gram`` bytes, an
 offset.  So only the suffixes at anchors are indexed, about two for every ``length - gram`` bytes, in the order of the hash of their first ``gram`` bytes:
 suffixes with a long match stand together.
 
-Documents come in batches.  A batch gets its own sorted array, is merge-scanned against the arrays of all levels for suffixes that begin
-alike, and becomes the lowest level; two levels of equal size merge into one of twice the size, so a suffix is merged a logarithmic number of times.
+Documents come in batches, in one call or over time (``Family``).  A batch gets its own sorted array, is scanned against the sorted arrays of
+all levels for suffixes that begin alike, and becomes the lowest level; two levels of equal size merge into one of twice the size, so a suffix
+is merged a logarithmic number of times.  Suffixes that nothing met before are not read again until the matches are resolved.
 
 The suffixes that matched are then resolved exactly.  An anchor speaks for the strings whose least run it is, which start in a
 range.  Where the whole stretch that the range covers occurs again, all of it is repeated.  Otherwise the stretches that share
@@ -15,22 +16,25 @@ an anchor's run are compared string by string, by counts of the hashes of all th
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pulsegrid.llm.texts import _SPACE, _VALUE, buffer, chunks, mix, powers
-from pulsegrid.session import discard, written
+from pulsegrid.session import discard, new_path, written
 
 #: Bits of a packed key that hold a place; a piece of text that is searched at once is shorter.
 PLACE = 22
 #: Rows whose numbers are sent to the tasks that read texts; beyond it the texts are joined by a shuffle.
 SENT = 1 << 20
 
+_SUFFIXES = "run bigint, stretch bigint, row bigint, low bigint, back smallint, wide smallint, times tinyint"
+_SUFFIX = [c.split()[0] for c in _SUFFIXES.split(", ")]
+
 _ROLL: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -139,30 +143,95 @@ def sampled(docs: DataFrame, length: int, gram: int, at_once: int = 2 << 20) ->
     return docs.mapInArrow(run, "row bigint, low bigint, back smallint, wide smallint, run bigint, stretch bigint, times tinyint")
 
 
-class Levels:
-    """Sorted arrays (run, times) of the suffixes so far; a level of rank r holds 2**r batches."""
-
-    def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Index a batch; the runs that occur twice in it or in it and in a level."""
-        own = written(batch.groupBy("run").agg(F.sum("times").alias("times")).sortWithinPartitions("run"), "suffixes")
-        hits = own.where("times > 1").select("run")
-        for _, level in self.levels:
-            hits = hits.unionAll(own.select("run").join(level.select("run"), "run"))
-        hits = written(hits.distinct(), "hits")
-        self.levels.append((0, own))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
-            merged = a.unionAll(b).groupBy("run").agg(F.sum("times").alias("times")).sortWithinPartitions("run")
-            self.levels.append((rank + 1, written(merged, "suffixes")))
-            discard(a, b)
+class Family:
+    """Suffix arrays of all batches so far, in a folder that outlives the call.
+
+    An array holds suffixes (run, stretch, row, low, back, wide, times), range-sorted by run and stretch; the one of rank r
+    holds 2**r batches, so after n batches the ranks are the binary digits of n.  The folder of one that was made before is opened
+    again with its number of ``batches``.  A batch whose ``add`` failed can be added again: files that are in use go last.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, batches: int = 0, length: int = 400, gram: int = 200):
+        self.spark, self.length, self.gram = spark, length, gram
+        self.folder = folder or new_path(spark, "family")
+        self.batches = batches
+
+    def _path(self, name: str) -> str:
+        return f"{self.folder.rstrip('/')}/pulsegrid/{name}"
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(self._path(name))
+        return self._read(df.schema, name)
+
+    def _read(self, schema: StructType | str, *names: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[self._path(n) for n in names])
+
+    def _levels(self) -> list[tuple[int, int]]:
+        """(rank, batches up to its last) of every array, the largest first."""
+        ranks = [r for r in range(self.batches.bit_length() - 1, -1, -1) if self.batches >> r & 1]
+        return [(r, self.batches >> r << r) for r in ranks]
+
+    def _array(self, rows: DataFrame, rank: int, upto: int) -> DataFrame:
+        ordered = rows.repartitionByRange("run", "stretch").sortWithinPartitions("run", "stretch")
+        return self._write(ordered, f"level-{rank}-{upto}")
+
+    def add(self, texts: DataFrame) -> DataFrame:
+        """Index a batch of rows (row, text); the runs that begin more than one suffix, one of them in this batch.
+
+        Numbers of rows must differ between batches.  A null or short text has no suffixes; an empty batch counts as one.
+        """
+        found = written(sampled(texts, self.length, self.gram), "anchors")
+        hits = self.add_suffixes(found)
+        discard(found)
         return hits
 
+    def add_suffixes(self, found: DataFrame) -> DataFrame:
+        """``add`` for suffixes that ``sampled`` has listed.  The batch alone is scanned against the arrays."""
+        n = self.batches + 1
+        own = self._array(found.where("times > 0").select(*_SUFFIX), 0, n)
+        self._write(found.where("times <> 1").select("row", "low", "wide"), f"sure-{n}")
+        # An array is sorted, so that nearly all repeats of a run go before the shuffle.
+        hits = own.groupBy("run").agg(F.sum("times").alias("times")).where("times > 1").select("run")
+        runs = own.select("run").distinct()
+        for level in self._levels():
+            hits = hits.unionAll(runs.join(self._read(own.schema, "level-%d-%d" % level).select("run").distinct(), "run"))
+        hits = self._write(hits.distinct(), f"hits-{n}")
+        rank, merged, gone = 0, own, []
+        for before, upto in reversed(self._levels()):
+            if before != rank:
+                break
+            older = self._read(own.schema, f"level-{before}-{upto}")
+            gone += [older, merged]
+            rank += 1
+            merged = self._array(older.unionAll(merged), rank, n)
+        self.batches = n
+        discard(*gone)
+        return hits
+
+    def suffixes(self) -> DataFrame:
+        """The suffixes of all arrays."""
+        return self._read(_SUFFIXES, *["level-%d-%d" % level for level in self._levels()])
+
+    def matched(self) -> DataFrame:
+        """The suffixes that share their run with another one, met in whatever batch."""
+        hits = self._read("run bigint", *[f"hits-{n + 1}" for n in range(self.batches)]).distinct()
+        return self.suffixes().join(hits, "run")
+
+    def sure(self) -> DataFrame:
+        """(row, low, wide) of the stretches that the tasks saw repeated."""
+        return self._read("row bigint, low bigint, wide smallint", *[f"sure-{n + 1}" for n in range(self.batches)])
+
     def close(self) -> None:
-        """Delete the arrays."""
-        discard(*[level for _, level in self.levels])
+        """Delete all files."""
+        discard(self.suffixes(), *[self._read("run bigint", f"hits-{n + 1}") for n in range(self.batches)],
+                *[self._read("row bigint", f"sure-{n + 1}") for n in range(self.batches)])
+
+    def spans(self, texts: DataFrame) -> DataFrame:
+        """(row, spans): of every row (row, text) with repeated bytes the stretches to remove, which may overlap.
+
+        ``texts`` has the rows of all batches.
+        """
+        return _resolved(texts, self.matched(), self.sure(), self.length)
 
 
 def _with_text(texts: DataFrame, side: DataFrame) -> DataFrame:
@@ -172,19 +241,25 @@ def _with_text(texts: DataFrame, side: DataFrame) -> DataFrame:
     return texts.join(side, "row")
 
 
-def spans(texts: DataFrame, length: int = 400, gram: int = 200, batches: int = 3) -> DataFrame:
+def spans(texts: DataFrame, length: int = 400, gram: int = 200, batches: int = 4) -> DataFrame:
     """(row, spans): of every row (row, text) with repeated bytes the stretches to remove, which may overlap."""
     index = written(sampled(texts, length, gram), "anchors")
-    levels, hits = Levels(), []
+    family = Family(texts.sparkSession, length=length, gram=gram)
     for b in range(batches):
-        hits.append(levels.add(index.where((F.pmod(F.xxhash64("row"), F.lit(batches)) == b) & (F.col("times") > 0)).select("run", "times")))
-    levels.close()
-    matched = written(index.where("times > 0").join(functools.reduce(DataFrame.unionAll, hits).distinct(), "run"), "matched")
-    discard(*hits)
+        family.add_suffixes(index.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == b))
+    out = family.spans(texts)
+    family.close()
+    discard(index)
+    return out
+
+
+def _resolved(texts: DataFrame, matched: DataFrame, sure: DataFrame, length: int) -> DataFrame:
+    """The repeated stretches among suffixes that share a run, compared exactly, and the sure ones."""
+    matched = written(matched, "matched")
     stretch = F.struct("row", "low", "back", "wide")
     variants = written(matched.groupBy("run", "stretch").agg(F.sum("times").alias("times"), F.min(stretch).alias("one")), "variants")
     whole = matched.join(variants.where("times > 1").select("run", "stretch"), ["run", "stretch"]).select("row", "low", "wide")
-    sure = index.where("times <> 1").select("row", "low", "wide").unionAll(whole).select(
+    sure = sure.unionAll(whole).select(
         "row", F.col("low").alias("start"), (F.col("low") + F.col("wide") + length).alias("end"))
 
     # Stretches that differ although they share a run, where one of them occurs only once.
@@ -227,11 +302,11 @@ def spans(texts: DataFrame, length: int = 400, gram: int = 200, batches: int = 3
         "row", (F.col("low") + F.col("i")).alias("start"), (F.col("low") + F.col("i") + length).alias("end"))
     found = sure.unionAll(partly)
     out = written(found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    discard(index, matched, variants, open_, some)
+    discard(matched, variants, open_, some)
     return out
 
 
-def remove(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 200, batches: int = 3,
+def remove(docs: DataFrame, text: str = "text", length: int = 400, gram: int = 200, batches: int = 4,
            whole_characters: bool = False, least_words: int = 0) -> DataFrame:
     """All rows with n_bytes, removed (the maximal runs of removed bytes) and kept (the other bytes, joined).
 

@@ -290,6 +290,35 @@ def test_repeats_equal_plain_version(spark):
     assert all(bytes(r.kept).decode() is not None for r in whole)
 
 
+def test_repeats_family_takes_batches_one_by_one(spark, tmp_path):
+    """Seven batches, the family opened anew for each, give what one call gives; no array but those in use stays."""
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcd ") for _ in range(90)) for _ in range(6)]
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 120))) + rng.choice(passages)[rng.randint(0, 60):] for _ in range(70)]
+    texts += [None, "", passages[0], passages[0]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    folder = str(tmp_path / "family")
+    hits = []
+    for b in range(7):
+        family = repeats.Family(spark, folder, b, length=40, gram=20)
+        hits.append(family.add(rows.where(f"row % 7 = {b}")).count())
+    assert [r for r, _ in family._levels()] == [2, 1, 0] and sum(hits[3:]) > 0
+    assert sorted(p.name for p in (tmp_path / "family" / "pulsegrid").glob("level-*")) == ["level-0-7", "level-1-6", "level-2-4"]
+    for part in (tmp_path / "family" / "pulsegrid" / "level-2-4").glob("*.parquet"):
+        order = [tuple(r) for r in spark.read.parquet(str(part)).select("run", "stretch").collect()]
+        assert order == sorted(order)
+    family.add(rows.limit(0))
+    got = {r.row: r.spans for r in family.spans(rows).collect()}
+    for (n_bytes, n_gone, _, _), (i, _) in zip(plain_repeats(texts, 40), enumerate(texts)):
+        gone = {p for s in got.get(i, []) for p in range(s.start, s.end)}
+        assert len(gone) == n_gone
+    once = {r.row: r.spans for r in repeats.spans(rows, 40, 20, batches=1).collect()}
+    cover = lambda d: {k: sorted({p for s in v for p in range(s.start, s.end)}) for k, v in d.items()}
+    assert cover(got) == cover(once)
+    family.close()
+    assert not list((tmp_path / "family" / "pulsegrid").glob("level-*"))
+
+
 def test_row_wise_operators_on_odd_rows(odd, spark):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (8, 0, 1), (7, 1, None), (99, None, 0)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(odd, labels)
