@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions.labels import literal_labels, merge_labels
 from pulsegrid.schema import METRIC_SCHEMA, from_seconds, null_if_nan
+from pulsegrid.sources.documents import array_entries
 from pulsegrid.sources.text import number, pair
 
 _FIELDS = {"name": "string", "value": "string", "timestamp": "string", "labels": "map<string,string>", "unit": "string"}
@@ -76,15 +77,20 @@ def _csv_rows(raw: DataFrame, name_col: str, value_col: str, timestamp_col: str,
 
 
 def read_json(spark: SparkSession, path: str | list[str], labels: dict[str, str] | None = None,
-              received: Column | None = None, lines: bool = False, rejects: bool = False) -> DataFrame:
+              received: Column | None = None, lines: bool = False, rejects: bool = False, split: bool = False) -> DataFrame:
     """Metric rows from documents that are a JSON array of entries, or an object whose ``metrics`` is one.
 
     A document that is neither, or not JSON, stops the read; ``rejects`` returns
     ``(file, reason)`` of those instead.  ``lines`` reads one entry, or one such
     object, per line, which large files should use because they can then be
-    split.  Entries without a name or a numeric value are skipped.
+    split.  ``split`` divides large documents too, over as many tasks as they have blocks; they must be arrays, and it
+    costs two shuffles of the text.  Entries without a name or a numeric value are skipped.
     """
-    if lines:
+    if split:
+        if lines or rejects:
+            raise ValueError("split documents are neither lines nor listed as rejects")
+        entries = array_entries(spark, path, _ENTRY)
+    elif lines:
         raw = spark.read.schema(_LINE).json(path).withColumn("file", F.col("_metadata.file_path"))
         single = F.array(F.struct("name", "value", "timestamp", "labels", "unit"))
         entries = raw.select("file", F.explode(F.coalesce("metrics", single)).alias("e"))

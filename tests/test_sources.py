@@ -227,3 +227,37 @@ def test_json_documents_that_cannot_be_used(spark, tmp_path):
 def test_payload_values_as_text(spark):
     got = store.parse_payloads(lines(spark, '{"name": "a", "value": "3", "timestamp": "7"}'), received=received()).first()
     assert (got.value, got.ts.timestamp()) == (3.0, 7)
+
+
+@pytest.mark.parametrize("block", [100, 1 << 20])
+def test_json_documents_are_split(spark, tmp_path, block):
+    """Wherever the blocks end: strings with brackets, quotes and escapes, nested lists, elements that are no entries."""
+    rng = np.random.default_rng(3)
+    odd = ["}", "{", '"', "\\", '\\"}', "]", "[{", "é}", "\n", ""]
+    full = [{"name": f"m{i}", "value": i, "timestamp": i, "labels": {"t": "".join(rng.choice(odd, 5)), "{": "}"}} for i in range(60)]
+    texts = ["[", " 1, \"}\", [[{\"name\": \"no\", \"value\": 1}], {}], null"]
+    for i, e in enumerate(full):
+        texts.append(", " + json.dumps(e, indent=i % 3 or None, ensure_ascii=i % 2 == 0))
+        if i % 7 == 0:
+            texts.append(", {}, true, [\"]\", {\"name\": \"x\", \"value\": 2}]")
+    (tmp_path / "a.json").write_text("".join(texts) + ", [{}], 3 ]\n", newline="")
+    (tmp_path / "b.json").write_text("\n[]")
+    (tmp_path / "c.json").write_text('[{"name": "c", "value": 1}]')
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        rows = files.read_json(spark, str(tmp_path), split=True, received=received()).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.name, r.value, r.labels.get("t")) for r in rows) == sorted(
+        [(e["name"], float(e["value"]), e["labels"]["t"]) for e in full] + [("c", 1.0, None)], key=str)
+
+
+@pytest.mark.parametrize("text", ['{"metrics": []}', '[{"name": "a", "value": 1}', '[{"name": "a", "value": 1}]}', '[{"name": "a}]',
+                                  '[{"name": "a", "value": 1} {"name": "b"}]', '[{"name": "a", "value": 1}][{"name": "b"}]'])
+def test_split_json_that_is_no_array(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="bad.json: not a"):
+        files.read_json(spark, str(tmp_path), split=True).collect()

@@ -96,6 +96,9 @@ c AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY us, seq) AS pre
 delta AS (SELECT *, CASE WHEN prev IS NULL THEN 0.0 WHEN value >= prev THEN value - prev
                          ELSE 4294967296.0 - prev + value END AS d FROM c)"""
 ORACLE["counter_delta"] = f"WITH {C} SELECT series_id, seq, {rnd('d', 'value', 2)} FROM delta"
+ORACLE["counter_delta_64"] = f"""WITH {C}
+SELECT series_id, seq, {rnd("CASE WHEN value < prev THEN pow(2.0, 64) - prev + value ELSE d END / pow(2.0, 32)", 'value')}
+FROM delta"""
 ORACLE["counter_max_rate"] = f"""WITH {C}
 SELECT series_id, seq, {rnd('CASE WHEN d > 40000000.0 THEN 0.0 ELSE d END', 'value', 2)} FROM delta"""
 ORACLE["counter_wraps"] = f"""WITH {C}
@@ -474,6 +477,9 @@ reach AS (SELECT DISTINCT series_id AS m, series_id AS o FROM a
           UNION SELECT reach.m, links.m2 FROM reach JOIN links ON links.m1 = reach.o),
 comp AS (SELECT m AS metric, min(o) AS component, count(*) AS size FROM reach GROUP BY 1),
 big AS (SELECT * FROM comp WHERE size > 1 OR (SELECT count(*) FROM comp) = 1)"""
+ORACLE["severity_symbols"] = f"""
+SELECT event_id, ['ℹ️', '🟡', '🟠', '🔴', '🚨'][severity + 1] AS symbol,
+       coalesce(['ℹ️', '🟡', '🟠', '🔴', '🚨'][severity + 4], '❓') AS beyond FROM ({ORACLE['severity_matrix']})"""
 ORACLE["correlated_metrics"] = f"WITH RECURSIVE {CORR} SELECT metric, component, size FROM big"
 ORACLE["regraded"] = f"""WITH RECURSIVE {CORR}
 SELECT series_id, seq, CASE WHEN metric IS NOT NULL AND severity < 4 THEN severity + 1 ELSE severity END AS severity
@@ -661,6 +667,9 @@ ORACLE["maintenance_due"] = f"""WITH {WIN}
 SELECT id, name FROM win WHERE recal AND {NOW} > e AND {NOW} >= e + 900000000 AND seg <> 'BUILDING'"""
 ORACLE["maintenance_listing"] = f"""WITH {WIN}
 SELECT id, CAST({NOW} BETWEEN s AND e AS INTEGER) AS is_active, {rnd('(e - s) / 6e7', 'duration_minutes')} FROM win WHERE NOT ({NOW} > e)"""
+ORACLE["maintenance_json"] = f"""WITH {WIN}
+SELECT id, {rnd('s / 1e6', 'start_time', 3)}, {rnd('e / 1e6', 'end_time', 3)}, len(targets) AS targets, CAST(recal AS INTEGER) AS recalibrate,
+       CAST({NOW} BETWEEN s AND e AS INTEGER) AS is_active, {rnd('(e - s) / 6e7', 'duration_minutes')} FROM win"""
 ORACLE["maintenance_expired"] = f"WITH {WIN} SELECT id FROM win WHERE e < {NOW} - 86400000000"
 BARE = f"""{WIN}, bare AS (SELECT event_type AS series_id, event_id AS seq, epoch_us(ts) AS us, value FROM events),
 bhits AS (SELECT DISTINCT series_id, seq, id, e, recal FROM bare JOIN tg ON us BETWEEN s AND e AND contains(series_id, t))"""
@@ -712,6 +721,11 @@ SELECT event_type AS name, {rnd('value', 'value')}, epoch_us(ts) AS us, 'say "'
 ORACLE["json_roundtrip"] = f"""
 SELECT event_type AS name, {rnd('value', 'value')}, epoch_us(ts) AS us, CAST(user_id AS VARCHAR) AS user_label, event_id AS seq,
        'prod' AS env FROM events WHERE value >= 5"""
+ORACLE["json_one_document"] = f"""
+SELECT event_type AS name, {rnd('value', 'value')}, epoch_us(ts) AS us, CAST(user_id AS VARCHAR) AS user_label, event_id AS seq,
+       'a }} "]" {{' AS note FROM events WHERE value >= 5"""
+ORACLE["format_auto"] = f"""
+SELECT event_type AS name, {rnd('value', 'value')}, epoch_us(ts) AS us, event_id AS seq FROM events"""
 ORACLE["store_ingest"] = """
 SELECT event_type AS name, count(*) AS points, (SELECT count(*) FROM events WHERE value >= 5) AS ingested
 FROM events WHERE value >= 5 GROUP BY 1"""

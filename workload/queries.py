@@ -155,6 +155,12 @@ def counter_delta(spark, d):
     return values_out(ct.unwrap_counters(tb.order_counter(spark, d), bits=32), 2)
 
 
+@query
+def counter_delta_64(spark, d):
+    """Increases in units of 2^32, for counters that start over at 2^64."""
+    return values_out(ct.unwrap_counters(tb.order_counter(spark, d), bits=64).withColumn("value", F.col("value") / 2.0 ** 32))
+
+
 @query
 def counter_max_rate(spark, d):
     return values_out(ct.unwrap_counters(tb.order_counter(spark, d), bits=32, max_rate=40_000_000.0), 2)
@@ -535,6 +541,14 @@ def severity_matrix(spark, d):
     return e.select("event_id", level.alias("severity"), sc.severity_label(level).alias("label"))
 
 
+@query
+def severity_symbols(spark, d):
+    """The symbol of each event's severity; of levels that there are not, the unknown one."""
+    graded = QUERIES["severity_matrix"](spark, d)
+    return graded.select("event_id", sc.severity_emoji(F.col("severity")).alias("symbol"),
+                         sc.severity_emoji(F.col("severity") + 3).alias("beyond"))
+
+
 @query
 def correlated_metrics(spark, d):
     found = cx.correlated_metrics(dt.detect(tb.events(spark, d), _RAW), 300.0)
@@ -723,6 +737,18 @@ def maintenance_listing(spark, d):
     return out.select("id", flag("is_active"), r("duration_minutes"))
 
 
+@query
+def maintenance_json(spark, d):
+    """Fields of the JSON texts of all windows."""
+    texts = serde.windows_to_json(tb.windows(spark, d), F.lit(_NOW).cast("timestamp"))
+    w = F.from_json("json", "id string, start_time double, end_time double, targets array<string>, recalibrate boolean, is_active boolean, "
+                            "duration_minutes double")
+    return texts.select(w.alias("w")).select(
+        "w.id", r("w.start_time", 3, "start_time"), r("w.end_time", 3, "end_time"), F.size("w.targets").cast("bigint").alias("targets"),
+        F.col("w.recalibrate").cast("int").alias("recalibrate"), F.col("w.is_active").cast("int").alias("is_active"),
+        r("w.duration_minutes", name="duration_minutes"))
+
+
 @query
 def maintenance_expired(spark, d):
     return mt.expired(tb.windows(spark, d), F.lit(_NOW).cast("timestamp")).select("id")
@@ -840,6 +866,34 @@ def json_roundtrip(spark, d):
                        F.col("labels")["seq"].cast("bigint").alias("seq"), F.col("labels")["env"].alias("env"))
 
 
+@query
+def json_one_document(spark, d):
+    """All events as one JSON array in one file, read by as many tasks as it has blocks."""
+    m = tb.metrics(spark, d)
+    entry = F.to_json(F.struct(
+        F.when(F.col("value") >= 5, F.col("name")).alias("name"), "value", (micros(F.col("ts")) / 1e6).cast("decimal(20,6)").alias("timestamp"),
+        F.map_concat("labels", F.create_map(F.lit("seq"), F.col("seq").cast("string"), F.lit("note"), F.lit('a } "]" {'))).alias("labels")))
+    head, tail = (spark.range(1).select(F.lit(t).alias("value")) for t in ('["first"', "]"))
+    path = new_path(spark, "json-document")
+    head.unionAll(m.select(F.concat(F.lit(", "), entry))).unionAll(tail).coalesce(1).write.text(path)
+    back = files.read_json(spark, path, {"env": "prod"}, split=True)
+    return back.select("name", r("value"), tb.us(), F.col("labels")["user"].alias("user_label"),
+                       F.col("labels")["seq"].cast("bigint").alias("seq"), F.col("labels")["note"].alias("note"))
+
+
+@query
+def format_auto(spark, d):
+    """Events with odd numbers as CSV, the others as JSON documents of a user each, read by the suffix of their folders."""
+    m = tb.metrics(spark, d).withColumn("timestamp", (micros(F.col("ts")) / 1e6).cast("decimal(20,6)").cast("string"))
+    path = new_path(spark, "auto")
+    m.filter("seq % 2 = 1").select("name", "value", "timestamp", F.col("seq").cast("string").alias("seq")).write.csv(f"{path}/m.csv", header=True)
+    entry = F.struct("name", "value", "timestamp", F.create_map(F.lit("seq"), F.col("seq").cast("string")).alias("labels"))
+    (m.filter("seq % 2 = 0").groupBy(F.col("labels")["user"]).agg(F.collect_list(entry).alias("metrics")).select("metrics")
+     .write.json(f"{path}/m.json"))
+    back = files.union_metrics(files.read_metrics(spark, f"{path}/m.csv"), files.read_metrics(spark, f"{path}/m.json", lines=True))
+    return back.select("name", r("value"), tb.us(), F.col("labels")["seq"].cast("bigint").alias("seq"))
+
+
 @query
 def store_ingest(spark, d):
     """Events as JSON payloads appended to the store; the catalogue is read from it."""
