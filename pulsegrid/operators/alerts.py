@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegrid.functions.labels import alert_fingerprint, literal_labels
 from pulsegrid.functions.scalar import alert_message, minutes_between, severity_label
-from pulsegrid.operators.ordering import DEFAULT, Layout, with_neighbour, with_running
+from pulsegrid.operators.ordering import DEFAULT, Layout, with_latest, with_neighbour, with_running
 from pulsegrid.schema import micros
 from pulsegrid.session import shared, sized
 
@@ -29,30 +29,41 @@ def with_fingerprint(fires: DataFrame) -> DataFrame:
     return fires.withColumn("fingerprint", alert_fingerprint(F.col("metric_name"), F.col("labels")))
 
 
-def silence_spans(silences: DataFrame) -> DataFrame:
+def silence_spans(silences: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     """``(fingerprint, start_ts, until_ts)`` from ``(fingerprint, start_ts, minutes)``.
 
     A later silence of the same fingerprint replaces the one before it.
     """
-    end = F.timestamp_micros((micros(F.col("start_ts")) + F.col("minutes").cast("double") * 60e6).cast("bigint"))
-    following = F.lead("start_ts").over(Window.partitionBy("fingerprint").orderBy("start_ts"))
-    return silences.select("fingerprint", "start_ts",
-                           F.least(end, F.coalesce(following, end)).alias("until_ts"))
+    line = silences.select(F.col("fingerprint").alias("series_id"), F.col("start_ts").alias("ts"),
+                           F.lit(0).cast("bigint").alias("seq"), "minutes")
+    line = with_neighbour(line, ["ts"], "next", forward=True, layout=layout)
+    end = F.timestamp_micros((micros(F.col("ts")) + F.col("minutes").cast("double") * 60e6).cast("bigint"))
+    return line.select(F.col("series_id").alias("fingerprint"), F.col("ts").alias("start_ts"),
+                       F.least(end, F.coalesce("next_ts", end)).alias("until_ts"))
 
 
-def _silence_join(fires: DataFrame, silences: DataFrame, how: str) -> DataFrame:
-    s = sized(silence_spans(silences), "silences")
-    on = ((fires["fingerprint"] == s["fingerprint"]) & (fires["ts"] >= s["start_ts"])
-          & (fires["ts"] < s["until_ts"]))
-    return fires.join(s, on, how)
+def _with_muted(rows: DataFrame, silences: DataFrame, key: str = "fingerprint", layout: Layout = DEFAULT) -> DataFrame:
+    """Add ``muted``, whether a silence of the row's fingerprint covers its time; rows without one of the two are left out.
+
+    The spans of a fingerprint do not overlap, so the last one that began decides: rows and spans are laid on one timeline, and
+    no row meets all the spans of its fingerprint.
+    """
+    spans = silence_spans(silences, layout).filter("until_ts > start_ts").select(
+        F.col("fingerprint").alias("series_id"), F.col("start_ts").alias("ts"),
+        F.lit(0).cast("bigint").alias("seq"), "until_ts")
+    line = rows.select(F.col(key).alias("series_id"), "ts", F.lit(1).cast("bigint").alias("seq"), F.struct("*").alias("_row"))
+    line = line.unionByName(spans, allowMissingColumns=True)
+    line = with_latest(line, F.col("seq") == 0, ["until_ts"], "span", layout=layout).filter("seq = 1")
+    return line.select("_row.*", F.coalesce(F.col("ts") < F.col("span.until_ts"), F.lit(False)).alias("muted"))
 
 
 def silenced(fires: DataFrame, silences: DataFrame) -> DataFrame:
-    return _silence_join(fires, silences, "left_semi")
+    return _with_muted(fires, silences).filter("muted").drop("muted")
 
 
 def not_silenced(fires: DataFrame, silences: DataFrame) -> DataFrame:
-    return _silence_join(fires, silences, "left_anti")
+    apart = fires.filter("fingerprint is null or ts is null")
+    return _with_muted(fires, silences).filter("not muted").drop("muted").unionByName(apart)
 
 
 def episodes(fires: DataFrame, dedup_seconds: float = DEDUP_SECONDS, silences: DataFrame | None = None,
@@ -73,12 +84,7 @@ def episodes(fires: DataFrame, dedup_seconds: float = DEDUP_SECONDS, silences: D
                           F.lit("fire").alias("kind"), *facts, F.to_json("labels").alias("labels"))
     rest = None
     if silences is not None:
-        # spans of a fingerprint do not overlap, so a fire meets at most one
-        span = sized(silence_spans(silences), "silences").withColumnRenamed("fingerprint", "_fp")
-        inside = ((F.col("series_id") == F.col("_fp")) & (F.col("ts") >= F.col("start_ts"))
-                  & (F.col("ts") < F.col("until_ts")))
-        events = shared(events.join(span, inside, "left").withColumn("muted", F.col("_fp").isNotNull())
-                        .drop("_fp", "start_ts", "until_ts"), "fires")
+        events = shared(_with_muted(events, silences, "series_id", layout), "fires")
         rest = events.filter("muted").withColumn("kind", F.lit("muted")).drop("muted")
         events = events.filter("not muted").drop("muted")
     if commands is not None:

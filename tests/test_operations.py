@@ -214,6 +214,30 @@ def test_silences(spark):
     assert al.silenced(al.with_fingerprint(f), shorter).count() == 0
 
 
+def test_silences_on_a_timeline(spark):
+    """Many silences of one fingerprint, equal starts, ends and fires on one instant, rows without a time or fingerprint."""
+    rng = np.random.default_rng(3)
+    given = [(str(rng.choice(["a", "b"])), float(t), float(rng.choice([1, 30, 90, -3]))) for t in rng.choice(np.arange(0, 200_000, 60), 80, replace=False)]
+    given += [("a", None, 5.0), (None, 60.0, 5.0), ("b", 300_000.0, None)]
+    fired = [(str(rng.choice(["a", "b", "c"])), float(rng.integers(0, 4000)) * 60) for _ in range(300)] + [("a", None), (None, 120.0), ("b", 300_060.0)]
+    fired += fired[:20]
+    s = spark.createDataFrame(given, "fingerprint string, t double, minutes double").select("fingerprint", F.timestamp_seconds("t").alias("start_ts"), "minutes")
+    f = spark.createDataFrame([(i, *x) for i, x in enumerate(fired)], "seq long, fingerprint string, t double").select(
+        "*", F.timestamp_seconds("t").alias("ts"), F.create_map(F.lit("span"), F.lit("x")).alias("labels"), F.lit(1).alias("cell"))
+
+    def muted(name, t):
+        began = [x for x in given if x[0] == name and name is not None and t is not None and x[1] is not None and x[1] <= t]
+        last = max(began, key=lambda x: x[1], default=None)
+        return last is not None and last[2] is not None and t < last[1] + last[2] * 60
+
+    want = [i for i, x in enumerate(fired) if muted(*x)]
+    assert 20 < len(want) < 250
+    for got, ids_ in ((al.silenced(f, s), want), (al.not_silenced(f, s), [i for i in range(len(fired)) if i not in want])):
+        assert got.columns == f.columns and sorted(r.seq for r in got.collect()) == ids_
+        # no join by fingerprint in which every fire meets every silence
+        assert not any("Join" in line and ">=" in line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
 def test_escalation(spark):
     f = fires(spark, [("a", {}, 0.0, 0, 1, 1.0, .5), ("b", {}, 0.0, 1, 3, 1.0, .5), ("c", {}, 5000.0, 2, 0, 1.0, .5)])
     ticks = spark.createDataFrame([(t,) for t in (60.0, 1800.0, 1801.0, 4000.0)], "t double").select(F.timestamp_seconds("t").alias("ts"))
