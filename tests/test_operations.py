@@ -420,3 +420,22 @@ def test_windows_of_years_make_two_buckets(spark):
     rows = spark.range(100).select(F.lit("s").alias("series_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").alias("seq"))
     assert (mt.suppressed(rows, w).count(), mt.not_suppressed(rows, w).count(), mt.suppressing(rows, w).count()) == (100, 0, 111)
     assert mt.not_suppressed(rows, w.filter("false")).count() == 100 and mt.suppressed(rows, w.filter("false")).isEmpty()
+
+
+def test_rows_are_not_paired_with_every_window_that_covers_them(spark, monkeypatch):
+    """Whether a row is covered, and until when, needs no pairs; a target that holds another of its window makes none."""
+    rows = spark.range(50).select(F.lit("cpu").alias("series_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").alias("seq"))
+    w = spark.range(200).select(
+        F.col("id").cast("string").alias("id"), F.timestamp_seconds(F.col("id") % 7 * 60).alias("start_ts"),
+        F.timestamp_seconds(F.lit(1200) + F.col("id") % 11).alias("end_ts"), F.array(F.lit("cpu"), F.lit("pu"), F.lit("other")).alias("targets"))
+    by_target = mt._by_target(mt._bucketed(w))
+    assert {(r._target, *r._earlier) for r in by_target.collect()} == {("pu",), ("other", "pu")}
+    size = F.lit(3600.0) * F.pow(F.lit(4.0), F.col("_level"))
+    long = F.unix_seconds("end_ts") - F.unix_seconds("start_ts")
+    assert by_target.filter((F.col("_level") > 0) & (size > long * 1.001)).isEmpty()
+    pairs = mt.suppressing(rows, w)
+    inside = sum(i % 7 * 60 <= t <= 1200 + i % 11 for i in range(200) for t in range(0, 3000, 60))
+    assert pairs.count() == pairs.select("seq", "window_id").distinct().count() == inside
+    monkeypatch.setattr(mt, "_pairs", None)
+    assert (mt.suppressed(rows, w).count(), mt.not_suppressed(rows, w).count()) == (21, 29)
+    assert {r.seq for r in mt.rows_after_maintenance(rows, w).collect()} == set(range(36, 50))
