@@ -84,7 +84,7 @@ def read_json(spark: SparkSession, path: str | list[str], labels: dict[str, str]
     ``(file, reason)`` of those instead.  ``lines`` reads one entry, or one such
     object, per line, which large files should use because they can then be
     split.  ``split`` divides large documents too, over as many tasks as they have blocks; they must be arrays, and it
-    costs two shuffles of the text.  Entries without a name or a numeric value are skipped.
+    costs three shuffles of the text.  Entries without a name or a numeric value are skipped.
     """
     if split:
         if lines or rejects:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import labels as lab
 from pulsegrid.operators import alerts as al
 from pulsegrid.schema import METRIC_SCHEMA
-from pulsegrid.sources import files, outbox as ob, prometheus, serde, snmp, statsd, store
+from pulsegrid.sources import documents, files, outbox as ob, prometheus, serde, snmp, statsd, store
 
 def received():
     return F.timestamp_seconds(F.lit(5000))
@@ -255,6 +255,18 @@ def test_json_documents_are_split(spark, tmp_path, block):
         [(e["name"], float(e["value"]), e["labels"]["t"]) for e in full] + [("c", 1.0, None)], key=str)
 
 
+def test_json_blocks_are_cut_by_records(spark, tmp_path, monkeypatch):
+    """What Spark reads at once is cut again, anywhere, and dealt to as many tasks as the text has pieces."""
+    monkeypatch.setattr(documents, "BLOCK_RECORDS", 3)
+    monkeypatch.setattr(documents, "TASK_BYTES", 200)
+    text = "[" + ", ".join(json.dumps({"name": f"m{i}", "value": i, "labels": {"t": 'a } "]" {'}}) for i in range(40)) + "]"
+    (tmp_path / "a.json").write_text(text)
+    rows = files.read_json(spark, str(tmp_path), split=True, received=received())
+    assert sorted((r.value, r.name, r.labels["t"]) for r in rows.collect()) == [(i, f"m{i}", 'a } "]" {') for i in range(40)]
+    tasks = documents._tasks(spark, str(tmp_path))
+    assert tasks == -(-len(text) // 200) and rows.rdd.getNumPartitions() == tasks
+
+
 @pytest.mark.parametrize("text", ['{"metrics": []}', '[{"name": "a", "value": 1}', '[{"name": "a", "value": 1}]}', '[{"name": "a}]',
                                   '[{"name": "a", "value": 1} {"name": "b"}]', '[{"name": "a", "value": 1}][{"name": "b"}]'])
 def test_split_json_that_is_no_array(spark, tmp_path, text):
