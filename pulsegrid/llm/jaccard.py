@@ -35,6 +35,8 @@ ORDERS = 4
 COUNTED, OFTEN = 1 << 20, 8
 #: Ids that are sent to the tasks that read texts; beyond it the texts are joined by a shuffle.
 SENT = 1 << 20
+#: Bytes of text that a task cuts into shingles at once.
+PIECE = 1 << 18
 
 
 def _need(n: np.ndarray | int, part: int, whole: int):
@@ -91,7 +93,7 @@ def sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [none.cast(pa.int64())] * 5 + [none.cast(pa.list_(pa.int64())), none.cast(pa.binary()), pa.array(token), pa.array(times)], names=names)
 
-        for batch in chunks(batches, "__text"):
+        for batch in chunks(batches, "__text", PIECE):
             found = shingle_sets(batch.column("__text"), width)
             n = np.array([len(x) for x in found], np.int64)
             flat = np.concatenate([np.zeros(0, np.uint64), *found])
@@ -134,7 +136,7 @@ def matrix_rows(docs: DataFrame, text: str, width: int, late: np.ndarray, part:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in chunks(batches, "__text"):
+        for batch in chunks(batches, "__text", PIECE):
             token, owner, hot, after = [], [], [], []
             for x in shingle_sets(batch.column("__text"), width):
                 if not len(x):
@@ -231,7 +233,7 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, copies: DataFr
     """
     def read(keys: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, "__text"):
+            for batch in chunks(batches, "__text", PIECE):
                 found = shingle_sets(batch.column("__text"), width)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array([x.tobytes() for x in found], pa.binary())],
                                                  names=[*keys, "set"])
