@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm_plain import groups, low, shingles
+from pulsegrid import session
 from pulsegrid.llm import jaccard, language, neighbours, ppm, quality, repeats, topk, toxicity
 from pulsegrid.llm.common import remainder
 from pulsegrid.llm.graph import components
@@ -290,6 +292,54 @@ def test_repeats_equal_plain_version(spark):
     assert all(bytes(r.kept).decode() is not None for r in whole)
 
 
+def test_repeats_compare_few_strings_and_keep_no_arrays_meanwhile(spark, tmp_path, monkeypatch):
+    """Runs that are shared without a repeated string bring no strings to compare, and what is on disk is gone before they are compared."""
+    rng = random.Random(10)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = some(24)
+    texts = [some(70) + line + some(70) for _ in range(40)]
+    strings, there, write = [], [], repeats.written
+
+    def watched(df, label="table"):
+        out = write(df, label)
+        if label == "strings":
+            strings.append(out.selectExpr("coalesce(sum(size(strings)), 0) n").first().n)
+            there.extend(p.name for p in tmp_path.rglob("*") if p.name.startswith(("anchors-", "level-")))
+        return out
+
+    monkeypatch.setattr(repeats, "written", watched)
+    number = itertools.count()
+    for module in (repeats, session):
+        monkeypatch.setattr(module, "new_path", lambda spark, label: f"{tmp_path}/pulsegrid/{label}-{next(number)}")
+
+    def removed(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return [(r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest())
+                for r in repeats.remove(df, length=40, gram=20).orderBy("doc_id").collect()]
+
+    assert removed(texts) == plain_repeats(texts, 40)
+    assert strings == [0] and there == []
+    texts += [t[:100] + some(30) for t in texts] + [some(50) + t[20:] for t in texts[:9]]
+    assert removed(texts) == plain_repeats(texts, 40)
+    assert strings[1] > 0
+
+
+@pytest.mark.parametrize("length, gram", [(10, 4), (16, 16), (33, 5)])
+def test_repeats_of_other_lengths_equal_plain_version(spark, length, gram):
+    rng = random.Random(length)
+    some = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    passages = [some(60) for _ in range(3)]
+    texts = [None, "", "a" * 50]
+    for _ in range(60):
+        cut = rng.randint(0, 40)
+        texts.append(some(rng.randint(0, 40)) + rng.choice(passages)[cut:cut + rng.randint(0, 50)] + some(rng.randint(0, 40)))
+    texts += [texts[9], None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = repeats.remove(df, length=length, gram=gram).orderBy("doc_id").collect()
+    assert [(r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest())
+            for r in got] == plain_repeats(texts, length)
+
+
 def test_repeats_family_takes_batches_one_by_one(spark, tmp_path):
     """Seven batches, the family opened anew for each, give what one call gives; no array but those in use stays."""
     rng = random.Random(9)
